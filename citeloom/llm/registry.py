@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, packing
+from citeloom.llm import byte_bpe, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
     }
 
