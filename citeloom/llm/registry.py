@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, packing, simhash
+from citeloom.llm import byte_bpe, language_id, packing, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op8_language_id": language_id.op8_language_id,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
     }
