@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, language_id, packing, simhash, toxicity
+from citeloom.llm import byte_bpe, language_id, packing, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
         "op8_language_id": language_id.op8_language_id,
