@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, language_id, packing, simhash, suffix_dedup, toxicity
+from citeloom.llm import byte_bpe, language_id, packing, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_token_files": token_files.op5_token_files,
         "op8_language_id": language_id.op8_language_id,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
