@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, language_id, packing, simhash, suffix_dedup, token_files, toxicity
+from citeloom.llm import byte_bpe, embedding_dedup, language_id, packing, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
         "op8_language_id": language_id.op8_language_id,
