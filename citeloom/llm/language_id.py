@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import pieces, utf8_bytes
+from citeloom.llm.sampling import sampled_keys
 
 HIDDEN, WINDOW, LANES = 8, 128, 2048
 #: Labelled documents to learn from, training steps, windows of a step and their bytes.
@@ -191,8 +192,11 @@ def document_probabilities(model: dict, column: pa.Array) -> np.ndarray:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """A bounded sample of rows to learn from: text and lang of documents outside the held-out fifth."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").filter(~held)
-    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).select("text", "lang")
+    labelled = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held)
+    keys = F.broadcast(sampled_keys(labelled, "doc_id", sample))  # at most `sample` longs
+    rows = labelled.filter("text IS NOT NULL AND text != ''").join(keys, "doc_id", "left_semi")
+    # Rows that share a doc_id count once.
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).orderBy("doc_id").select("r.text", "r.lang")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> dict | None:
