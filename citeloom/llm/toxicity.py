@@ -1,8 +1,9 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams (hashed
-to BUCKETS), so a misspelling shares most of what its word has learnt. Words
-are averaged over segments of SEGMENT words and go to a linear softmax; a
+A word's vector is the mean of the vectors of its character n-grams and of the
+word itself (hashed to BUCKETS), so a misspelling shares most of what its word has learnt. Words
+are averaged over segments of SEGMENT words (places a short one lacks count as
+zero) and go to a linear softmax; a
 document is as toxic as its worst segment, so a long clean text does not hide
 an insult. Training sees documents' labels only: the gradient flows through
 the segments in proportion to how much they decide their document.
@@ -25,25 +26,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import compact_text, pieces, utf8_bytes
+from citeloom.llm.sampling import sampled_keys
 
 BUCKETS, DIM, SEGMENT, GRAMS = 1 << 16, 8, 6, (3, 4, 5)
 #: Clean and toxic labelled documents to learn from at most; training steps, documents of a step, and weight decay.
-SAMPLE, STEPS, BATCH, DECAY = (6_000, 2_500), 240, 128, 1e-6
+SAMPLE, STEPS, BATCH, DECAY = (4_000, 2_000), 240, 128, 1e-5
+SIT_OUT = 0.25
 #: A document's score from which it counts as toxic.
 THRESHOLD = 0.7
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Codes of all words in order, the distinct words, and the number of words of each row."""
+    """Codes of all words in order, the distinct words, and the number of words of each row.
+
+    A word that repeats at once counts once.
+    """
     text = pc.replace_substring_regex(pc.utf8_lower(compact_text(column)), r"[^\pL\pN]+", " ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text))
     coded = lists.flatten().dictionary_encode()
-    per = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    return coded.indices.to_numpy(), coded.dictionary, per
+    per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(per)), per)
+    again = np.append(False, (codes[1:] == codes[:-1]) & (row[1:] == row[:-1]))[: len(codes)]
+    return codes[~again], coded.dictionary, per - np.bincount(row[again], minlength=len(per))
 
 
 def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of <word>, word after word, and how many each word has."""
+    """Buckets of the n-grams of <word> and of the whole, word after word, and how many each word has."""
     raw, at = utf8_bytes(words)
     n = np.diff(at) + 2
     end = np.cumsum(n)
@@ -53,7 +61,7 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner[end - 1] = inner[end - n] = False
     marked[inner] = raw
     left = np.repeat(end, n) - np.arange(len(marked))  # bytes from here to the word's end
-    word = np.repeat(np.arange(len(n)), n)
+    word = np.repeat(np.arange(len(n), dtype=np.int32), n)
     buckets, owner = [], []
     h = np.full(len(marked), 1469598103934665603, np.uint64)
     for size in range(1, max(GRAMS) + 1):
@@ -62,11 +70,16 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if size in GRAMS:
             fits = left[: len(h)] >= size
             mixed = h[fits] * np.uint64(0x9E3779B97F4A7C15)
-            buckets.append((mixed >> np.uint64(48)).astype(np.int64) % BUCKETS)
+            buckets.append((mixed >> np.uint64(48)).astype(np.int32) % BUCKETS)
             owner.append(word[: len(h)][fits])
+    if len(n):  # and the whole word
+        power = np.multiply.accumulate(np.full(int(n.max()), 0x100000001B3, np.uint64))
+        whole = np.add.reduceat(marked * power[np.repeat(n, n) - left], end - n) * np.uint64(0x9E3779B97F4A7C15)
+        buckets.append((whole >> np.uint64(48)).astype(np.int32) % BUCKETS)
+        owner.append(np.arange(len(n), dtype=np.int32))
     owners, all_buckets = np.concatenate(owner), np.concatenate(buckets)
-    order = np.argsort(owners, kind="stable")
-    return all_buckets[order], np.bincount(owners, minlength=len(n))
+    counts = np.bincount(owners, minlength=len(n))
+    return all_buckets[np.argsort(owners, kind="stable")], counts
 
 
 def segments_of(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +104,9 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, batch: int =
     """
     rng = np.random.default_rng(seed)
     codes, words, per = words_of(pa.array(texts, pa.string()))
-    buckets, grams = grams_of(words)
-    buckets, gram_at, word_at = buckets.astype(np.int32), np.cumsum(grams) - grams, np.cumsum(per) - per
+    parts = [grams_of(words.slice(i, 50_000)) for i in range(0, len(words), 50_000)]
+    buckets, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+    gram_at, word_at = np.cumsum(grams) - grams, np.cumsum(per) - per
     emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype("f4")
     out = rng.normal(0, 0.5, (DIM, 2)).astype("f4")
     bias = np.zeros(2, "f4")
@@ -116,11 +130,15 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, batch: int =
         size = np.diff(np.append(first, len(code)))
         segment, doc, doc_at = np.repeat(np.arange(len(first)), size), np.repeat(np.arange(len(docs)), count), np.cumsum(count) - count
         vectors = np.stack([np.bincount(word_of_gram, emb[bucket, k], len(here)) for k in range(DIM)], axis=1) / n_grams[:, None]
-        mean = np.add.reduceat(vectors[code], first, axis=0) / size[:, None]
+        mean = np.add.reduceat(vectors[code], first, axis=0) / SEGMENT
         both = mean @ out + bias
         logit = both[:, 1] - both[:, 0]
-        # Documents: a soft maximum of their segments, harder as training goes on.
-        heat = 1 + 3 * step / steps
+        # Documents: a soft maximum of their segments, harder as training goes on. Some segments
+        # sit out at random, so that one insult does not spare the model from learning the others.
+        heat = 0.7 + 3 * (step / steps) ** 2
+        out_of_play = rng.random(len(logit)) < SIT_OUT
+        out_of_play[doc_at] = False
+        logit = np.where(out_of_play, -30.0, logit)
         top = np.maximum.reduceat(logit, doc_at)
         e = np.exp(heat * (logit - top[doc]))
         total = np.add.reduceat(e, doc_at)
@@ -128,7 +146,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, batch: int =
         error = (1 / (1 + np.exp(-level)) - toxic[docs]) * np.where(toxic[docs] == 1, 0.5, 1.5) / len(docs)
         dlogit = error[doc] * e / total[doc]
         dboth = np.stack([-dlogit, dlogit], axis=1)
-        dmean = (dboth @ out.T) / size[:, None]
+        dmean = (dboth @ out.T) / SEGMENT
         dword = np.stack([np.bincount(code, dmean[segment, k], len(here)) for k in range(DIM)], axis=1) / n_grams[:, None]
         demb = np.stack([np.bincount(bucket, dword[word_of_gram, k], BUCKETS) for k in range(DIM)], axis=1)
         rate = 0.1 * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -148,8 +166,7 @@ def score_column(model: dict, column: pa.Array) -> np.ndarray:
         buckets, grams = grams_of(words)
         word = np.bincount(np.repeat(np.arange(len(grams)), grams), model["scores"][buckets], len(grams)) / np.maximum(grams, 1)
         first, count = segments_of(per)
-        size = np.diff(np.append(first, len(codes)))
-        segment = np.add.reduceat(word[codes], first) / size + model["bias"]
+        segment = np.add.reduceat(word[codes], first) / SEGMENT + model["bias"]
         some = count > 0
         logits[some] = np.maximum.reduceat(segment, (np.cumsum(count) - count)[some])
     return 1 / (1 + np.exp(-logits))
@@ -162,14 +179,14 @@ def held_out() -> "F.Column":
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, steps: int = STEPS) -> dict | None:
     """A model from at most `sample` clean and toxic documents outside the held-out third.
 
-    The sample is the documents with the smallest hashes, so it is the same on
-    every run. Labels that contradict one another for a document are left out.
+    Labels that contradict one another for a document are left out.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(marks.select("doc_id", "toxic"), "doc_id")
     found = []
     for toxic in (0, 1):
-        found += rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample[toxic]).select("text", "toxic").collect()
+        keys = F.broadcast(sampled_keys(marks.filter(F.col("toxic") == toxic), "doc_id", sample[toxic]))  # at most that many longs
+        rows = docs.filter("text IS NOT NULL").join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        found += rows.orderBy("doc_id").select("text", F.lit(toxic).alias("toxic")).collect()
     if len({r["toxic"] for r in found}) < 2:
         return None
     return train([r["text"] for r in found], np.array([r["toxic"] for r in found]), steps)
