@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, embedding_dedup, language_id, packing, simhash, suffix_dedup, token_files, toxicity
+from citeloom.llm import byte_bpe, embedding_dedup, flac, language_id, packing, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
+        "op6_flac": flac.op6_flac,
         "op8_language_id": language_id.op8_language_id,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
