@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, embedding_dedup, flac, language_id, packing, simhash, suffix_dedup, token_files, toxicity
+from citeloom.llm import byte_bpe, embedding_dedup, flac, language_id, packing, quality, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
         "op6_flac": flac.op6_flac,
+        "op7_quality": quality.op7_quality,
         "op8_language_id": language_id.op8_language_id,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,

@@ -31,7 +31,7 @@ from citeloom.llm.sampling import sampled_keys
 BUCKETS, DIM, SEGMENT, GRAMS = 1 << 16, 8, 6, (3, 4, 5)
 #: Clean and toxic labelled documents to learn from at most; training steps, documents of a step, and weight decay.
 SAMPLE, STEPS, BATCH, DECAY = (4_000, 2_000), 240, 128, 1e-5
-SIT_OUT = 0.25
+SIT_OUT = 0.3
 #: A document's score from which it counts as toxic.
 THRESHOLD = 0.7
 
@@ -133,10 +133,10 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, batch: int =
         mean = np.add.reduceat(vectors[code], first, axis=0) / SEGMENT
         both = mean @ out + bias
         logit = both[:, 1] - both[:, 0]
-        # Documents: a soft maximum of their segments, harder as training goes on. Some segments
-        # sit out at random, so that one insult does not spare the model from learning the others.
+        # Documents: a soft maximum of their segments, harder as training goes on. At first some
+        # segments sit out at random, so that one insult does not spare the model from learning the others.
         heat = 0.7 + 3 * (step / steps) ** 2
-        out_of_play = rng.random(len(logit)) < SIT_OUT
+        out_of_play = rng.random(len(logit)) < SIT_OUT * (step < 0.85 * steps)
         out_of_play[doc_at] = False
         logit = np.where(out_of_play, -30.0, logit)
         top = np.maximum.reduceat(logit, doc_at)
