@@ -2,16 +2,16 @@
 
 import hashlib
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
 
 from citeloom.llm import byte_bpe, packing
 
+from test_packing_helpers import check_packed
+
 ODD = [None, "", " ", "a", "I'll don't  x\t\n y ", "ß ﬁ \U0001f600‍! İ ΑΣ", "a\x1cb ! \x85 z", "<|endoftext|> <|startoftext|>x", "x" * 3000, "wörd, wörd. " * 900, "two  spaces " * 700 + "\n\n\n", "A.B, c.. d., 'S 's"]
 WORD = P.path("word_bpe_49k.json")
 
@@ -41,28 +41,6 @@ def test_byte_bpe_empty_table(spark):
     assert byte_bpe.encode(table(spark, ODD).limit(0), path, P.PATTERN).count() == 0
 
 
-def check_packed(rows, texts, capacity=2048):
-    library = Tokenizer.from_file(WORD)
-    by_doc, by_sequence = {}, {}
-    for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(r)
-        by_sequence.setdefault(r.sequence_id, []).append(r)
-    for i, text in texts.items():
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
-        at = 0
-        for r in sorted(by_doc[i], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids)
-            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
-            at += r.length
-        assert at == len(ids)
-    for own in by_sequence.values():
-        at = 0
-        for r in sorted(own, key=lambda r: r.offset):
-            assert r.offset == at
-            at += r.length
-        assert at <= capacity and (at == capacity or at & (at - 1) == 0)
-
-
 def test_packing_covers_every_id_once(spark):
     rng = random.Random(3)
     words = ["alpha", "Beta", "gamma,", "delta.", "x1", "¿qué?"]
