@@ -208,7 +208,7 @@ def packed_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     # Only pieces that were cut once more need their ids again.
     cut = placed.filter("cut").drop("ids_crc32")
-    keys = cut.select("doc_id", "row_hash").distinct()
+    keys = written(cut.select("doc_id", "row_hash").distinct(), "cut")  # its files tell Spark whether it is small
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     again = hashed.join(keys, hashed["doc_id"].eqNullSafe(keys["doc_id"]) & (hashed["row_hash"] == keys["row_hash"]), "left_semi")
     redone = _cut_ids(again, cut, path, end_id, capacity).withColumn("ids_crc32", F.crc32("ids"))
