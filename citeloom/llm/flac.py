@@ -29,7 +29,7 @@ from citeloom.llm.arrow import binary_array, pieces, utf8_bytes
 
 BLOCK, RATE, LPC_ORDER, PRECISION = 4096, 8000, 4, 10
 #: Bytes of files that a task decodes in step.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 2 << 20
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -588,7 +588,7 @@ def encode_payloads(df: DataFrame, column: str = "text", unit: int = 64) -> Data
     schema = df.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
 
     def run(batches):
-        for batch in pieces(batches, column, 2 << 20):
+        for batch in pieces(batches, column, 1 << 20):
             raw, at = utf8_bytes(batch.column(column))
             size = np.diff(at)
             padded = np.maximum(1, -(-size // unit)) * unit
