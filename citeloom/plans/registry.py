@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.plans import join_queries, key_queries, window_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = key_queries.QUERIES | join_queries.QUERIES | window_queries.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Documents and their survivors after the cascade of keys."""
+    return join_queries.dedupe_key_cascade(spark, sf_dir)

@@ -7,13 +7,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
+def spark():
     from citeloom.session import local_session
 
-    root = tmp_path_factory.mktemp("spark")
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(root / "warehouse")).config("spark.checkpoint.dir", str(root / "shared"))
     session = local_session("4", "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
