@@ -15,7 +15,6 @@ name of an output column, which replaces them.
 from __future__ import annotations
 
 import base64
-import functools
 from array import array
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.arrow import binary_array, pieces, with_columns
+from citeloom.llm.arrow import binary_array, pieces, tidy, with_columns
 
 #: Characters of a chunk, and by how many a chunk reaches into the next.
 CHUNK, OVERLAP = 65_536, 4_096
@@ -74,10 +73,20 @@ class Codec(dict):
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
-@functools.cache
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each worker process."""
-    return Codec(path, pattern)
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = Codec(path, pattern)
+    return _CODECS[path, pattern]
+
+
+def forget() -> None:
+    """Drop the ids that this worker remembers; what loading cost stays."""
+    for own in _CODECS.values():
+        own.clear()
 
 
 def _schema(df: DataFrame, drop: set[str], **new: T.DataType) -> tuple[list[str], T.StructType]:
@@ -99,7 +108,7 @@ def encode_pieces(df: DataFrame, path: str, pattern: str, column: str = "text")
             texts = batch.column(column).to_pylist()
             yield with_columns(batch, keep, ids=_blobs([c.encode(c.pattern.findall(t or "")) for t in texts]))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, forget), schema)
 
 
 def _stitched(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -117,7 +126,7 @@ def _stitched(df: DataFrame, path: str, pattern: str) -> DataFrame:
     w = Window.partitionBy("__row").orderBy("__k")
     own = F.expr(f"transform(filter(at, x -> x >= {CHUNK} AND x <= length(chunk) - {UNSURE}), x -> x - {CHUNK})")
     early = F.expr(f"filter(at, x -> x < {OVERLAP})")
-    met = chunks.mapInArrow(bounds, schema).withColumn("stop", F.array_min(F.array_intersect(own, F.lead(early).over(w))))
+    met = chunks.mapInArrow(tidy(bounds, forget), schema).withColumn("stop", F.array_min(F.array_intersect(own, F.lead(early).over(w))))
     met = met.withColumn("start", F.when(F.col("__k") == 0, 0).otherwise(F.lag("stop").over(w)))
     met = met.withColumn("whole", F.bool_and(F.col("start").isNotNull() & (F.col("last") | F.col("stop").isNotNull())).over(Window.partitionBy("__row")))
     cut = met.filter("whole").select("__row", "__k", "at", "start", F.when(F.col("last"), F.length("chunk")).otherwise(F.col("stop") + CHUNK).alias("end"), "chunk")
@@ -133,7 +142,7 @@ def _stitched(df: DataFrame, path: str, pattern: str) -> DataFrame:
             yield with_columns(batch, keep2, ids=_blobs(out))
 
     joined = F.expr("aggregate(array_sort(collect_list(struct(__k, ids))), cast('' AS binary), (a, x) -> concat(a, x.ids))")
-    done = cut.mapInArrow(encode, schema2).groupBy("__row").agg(joined.alias("ids"))
+    done = cut.mapInArrow(tidy(encode, forget), schema2).groupBy("__row").agg(joined.alias("ids"))
     # A run without a shared boundary in some overlap: its text is encoded in one piece.
     rest = df.join(met.filter("NOT whole").select("__row").distinct(), "__row", "left_semi").select("__row", "text")
     return done.unionByName(encode_pieces(rest, path, pattern))
@@ -162,7 +171,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in pieces(batches, "ids"):
             yield with_columns(batch, keep, decoded=_blobs([c.decode(x or b"") for x in batch.column("ids").to_pylist()]))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, forget), schema)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

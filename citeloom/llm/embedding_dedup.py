@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import key_groups
+from citeloom.llm.arrow import key_groups, tidy
 from citeloom.operators.components import connected_components
 from citeloom.session import written
 
@@ -165,7 +165,7 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
                         )
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    dealt = classes.select("cid", "label", "weight", "embedding").mapInArrow(deal, f"block byte, cell long, home boolean, cid long, label long, weight long, embedding {kind}")
+    dealt = classes.select("cid", "label", "weight", "embedding").mapInArrow(tidy(deal), f"block byte, cell long, home boolean, cid long, label long, weight long, embedding {kind}")
     parts = F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("int")).over(Window.partitionBy("block", "cell")) / PART)).cast("int")
     dealt = dealt.withColumn("parts", parts).withColumn("own", F.pmod(F.col("cid"), F.col("parts")).cast("int"))
     # A resident lives in one part of its bucket and, like a visitor, visits the others.
@@ -192,7 +192,7 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cid", "links", "root"])
 
-    return dealt.mapInArrow(join, "cid long, links long, root long")
+    return dealt.mapInArrow(tidy(join), "cid long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

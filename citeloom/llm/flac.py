@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.arrow import binary_array, pieces, utf8_bytes
+from citeloom.llm.arrow import binary_array, pieces, tidy, utf8_bytes
 
 BLOCK, RATE, LPC_ORDER, PRECISION = 4096, 8000, 4, 10
 #: Bytes of files that a task decodes in step.
@@ -598,7 +598,7 @@ def encode_payloads(df: DataFrame, column: str = "text", unit: int = 64) -> Data
             media = encode(payload, padded)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(size), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode_blocks(df: DataFrame, column: str = "media") -> DataFrame:
@@ -615,7 +615,7 @@ def decode_blocks(df: DataFrame, column: str = "media") -> DataFrame:
             errors = [None if f is None else x[1] for f, x in zip(files, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(blocks, kind), pa.array(errors, pa.string())], names=[*keep, "blocks", "error"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def features(column: str = "blocks") -> "F.Column":

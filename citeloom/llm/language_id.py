@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import pieces, utf8_bytes
+from citeloom.llm.arrow import pieces, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 HIDDEN, WINDOW, LANES = 8, 128, 2048
@@ -231,7 +231,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 scores[letter] = np.clip(p.max(axis=1)[letter], 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import binary_array, pieces
-from citeloom.llm.word_tokens import word_tokenizer
+from citeloom.llm.arrow import binary_array, pieces, tidy
+from citeloom.llm.word_tokens import forget, word_tokenizer
 from citeloom.session import written
 
 CAPACITY = 2048
@@ -156,7 +156,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
                 names=["doc_id", "row_hash", "start", "length", "doc_tokens", "ids"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, start long, length long, doc_tokens long, ids binary")
+    return docs.mapInArrow(tidy(run, forget), "doc_id long, row_hash long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:

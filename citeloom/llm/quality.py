@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import binary_array, pieces, utf8_bytes
+from citeloom.llm.arrow import binary_array, pieces, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 BUCKETS, HASHED = 2048, 24
@@ -162,7 +162,7 @@ def sampled_features(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 text, page = text_features(own.column("text")), page_features(own)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), *(binary_array(v, np.full(len(v), v.shape[1] * 4)) for v in (text, page))], names=["doc_id", "text_view", "page_view"])
 
-    return rows.mapInArrow(run, "doc_id long, text_view binary, page_view binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_view binary, page_view binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> list[dict] | None:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, models: list[dict] | None) -> DataFrame:
             each = [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (odds[0], odds[1], odds.mean(axis=0))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *map(pa.array, each)], names=[*keep, *new])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

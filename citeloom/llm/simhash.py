@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import key_groups, pieces
+from citeloom.llm.arrow import key_groups, pieces, tidy
 from citeloom.operators.components import connected_components
 from citeloom.session import written
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
     schema = docs.select(*keep).schema.add("fp", "long")
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(tidy(run), schema)
 
 
 def block_choice(n: int, radius: int = RADIUS, bits: int = BITS) -> tuple[list[int], list[tuple[int, ...]]]:
@@ -164,7 +164,7 @@ def star_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

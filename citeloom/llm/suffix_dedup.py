@@ -41,14 +41,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import binary_array, pieces, utf8_bytes
+from citeloom.llm.arrow import binary_array, pieces, tidy, utf8_bytes
 from citeloom.session import written
 
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
 HOT = 20_000
 #: Window starts that are hashed at a time, and anchors that a task merges at a time.
-BLOCK, MERGED = 1 << 20, 1_000_000
+BLOCK, MERGED = 1 << 20, 500_000
 BASE = 0x9E3779B97F4A7C15
 OUTPUT = ("kept", "n_bytes", "n_removed", "n_spans")
 
@@ -197,7 +197,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if n:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "gram long, context long, doc long, pos long")
+    return docs.mapInArrow(tidy(run), "gram long, context long, doc long, pos long")
 
 
 def _repeated_leaves(rows: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _repeated_leaves(rows: DataFrame) -> DataFrame:
             yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = rows.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "doc long, kind byte, a long, b long")
+    return dealt.mapInArrow(tidy(run), "doc long, kind byte, a long, b long")
 
 
 def _contexts(docs: DataFrame, needs: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def _contexts(docs: DataFrame, needs: DataFrame) -> DataFrame:
             take = np.repeat(at[row] + pos - left - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(batch.column("sid").to_numpy()[row]), pa.array(pos), pa.array(left.astype(np.int32)), binary_array(raw[take], n)], names=["gram", "doc", "pos", "left", "bytes"])
 
-    return joined.mapInArrow(run, "gram long, doc long, pos long, left int, bytes binary")
+    return joined.mapInArrow(tidy(run), "gram long, doc long, pos long, left int, bytes binary")
 
 
 def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -372,7 +372,7 @@ def _tree_spans(contexts: DataFrame) -> DataFrame:
         if n:
             yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return contexts.mapInArrow(run, "doc long, a long, b long")
+    return contexts.mapInArrow(tidy(run), "doc long, a long, b long")
 
 
 def _hot_spans(hot: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             spans = np.bincount(row, minlength=len(size))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), binary_array(raw[stays], size - removed), pa.array(size), pa.array(removed), pa.array(spans)], names=[*keep, *OUTPUT])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

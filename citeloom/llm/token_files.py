@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import binary_array, pieces
-from citeloom.llm.word_tokens import word_tokenizer
+from citeloom.llm.arrow import binary_array, pieces, tidy
+from citeloom.llm.word_tokens import forget, word_tokenizer
 from citeloom.session import shared_dir, written
 
 MAGIC = b"SVB1"
@@ -96,7 +96,7 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), binary_array(whole, 2 * (n + 1))], names=["doc_id", "row_hash", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, ids binary")
+    return docs.mapInArrow(tidy(run, forget), "doc_id long, row_hash long, ids binary")
 
 
 def _blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def frequencies(encoded: DataFrame, size: int = 1 << 16) -> DataFrame:
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_corpus(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
@@ -151,7 +151,7 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
             yield close()
 
     ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "row_hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_hash")
-    blocks = ordered.select("doc_id", "ids").mapInArrow(run, "block long, n_ids long, file binary").withColumn("part", F.spark_partition_id())
+    blocks = ordered.select("doc_id", "ids").mapInArrow(tidy(run), "block long, n_ids long, file binary").withColumn("part", F.spark_partition_id())
     blocks.write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
@@ -174,7 +174,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
                 first = base[part] + start + np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=null.astype(bool)), pa.array(first), pa.array(sizes), binary_array(ids[ranked], 4 * sizes)], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.select("part", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("part", "file").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import compact_text, pieces, utf8_bytes
+from citeloom.llm.arrow import compact_text, pieces, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 BUCKETS, DIM, SEGMENT, GRAMS = 1 << 16, 8, 6, (3, 4, 5)
@@ -198,11 +198,11 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     schema = docs.select(*keep).schema.add("toxic_score", "double")
 
     def run(batches):
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 3 << 20):
             scores = score_column(model, batch.column("text")) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(scores)], names=[*keep, "toxic_score"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

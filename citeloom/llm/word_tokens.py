@@ -9,7 +9,6 @@ the ids.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
@@ -93,7 +92,17 @@ class WordTokenizer:
         return ids, np.diff(upto[bounds])
 
 
-@functools.cache
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each worker process."""
-    return WordTokenizer(path)
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+def forget() -> None:
+    """Drop the words that this worker remembers; the loaded library stays."""
+    for own in _TOKENIZERS.values():
+        own.words, own.parts = {}, {}
