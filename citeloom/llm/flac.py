@@ -627,8 +627,8 @@ def features(column: str = "blocks") -> "F.Column":
 def op6_flac(spark, sf_dir: str) -> DataFrame:
     """Digests of every document's payload as it is read back from FLAC."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    read = decode_blocks(encode_payloads(docs)).filter(F.coalesce("error", F.lit("")) == "")
-    payload = F.expr("aggregate(blocks, cast('' AS binary), (a, b) -> concat(a, b.pcm))")
+    read = decode_blocks(encode_payloads(docs))
+    payload = F.expr("if(error IS NULL, aggregate(blocks, cast('' AS binary), (a, b) -> concat(a, b.pcm)), raise_error(error))")  # no row is left out
     media = read.select("doc_id", "n_bytes", "media", features().alias("shape"), payload.alias("payload"))
     return media.select(
         "doc_id",
