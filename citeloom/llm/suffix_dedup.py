@@ -339,12 +339,17 @@ def _tree_spans(contexts: DataFrame) -> DataFrame:
 
     def settle(gram, doc, pos, left, lengths, raw):
         out: list[list[np.ndarray]] = [[], [], []]
+        size = 0
         for low, high, own in repeat_groups(gram, left, lengths, raw):
             d, p = doc[own], pos[own]
             keep = np.lexsort((p, d))[1:]
             out[0].append(d[keep])
             out[1].append(p[keep] - low)
             out[2].append(p[keep] + high)
+            size += len(keep)
+            if size > 50_000:  # nested groups name the same bytes again and again
+                out = [[x] for x in merged(*(np.concatenate(x) for x in out))]
+                size = 0
         if not out[0]:
             return
         d, a, b = merged(*(np.concatenate(x) for x in out))
@@ -363,7 +368,7 @@ def _tree_spans(contexts: DataFrame) -> DataFrame:
             held.append((*(batch.column(k).to_numpy() for k in ("gram", "doc", "pos", "left")), lengths, raw))
             n += batch.num_rows
             last = held[-1][0][-1]
-            if n >= 10_000 and held[0][0][0] != last:
+            if n >= 4_000 and held[0][0][0] != last:
                 columns = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(columns[0], last))
                 edge = int(columns[4][:cut].sum())
