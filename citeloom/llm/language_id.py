@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import pieces, tidy, utf8_bytes
+from citeloom.llm.arrow import pieces, release, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 HIDDEN, WINDOW, LANES = 8, 128, 2048
@@ -212,7 +212,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> dict | None:
             own = raw[at : at + SPAN]
             windows.append(own if len(own) == SPAN else np.resize(own, SPAN))
             labels.append(languages.index(r["lang"]))
-    return train(np.stack(windows), np.array(labels), languages, seed=seed)
+    model = train(np.stack(windows), np.array(labels), languages, seed=seed)
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import compact_text, pieces, tidy, utf8_bytes
+from citeloom.llm.arrow import compact_text, pieces, release, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 BUCKETS, DIM, SEGMENT, GRAMS = 1 << 16, 8, 6, (3, 4, 5)
@@ -189,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, st
         found += rows.orderBy("doc_id").select("text", F.lit(toxic).alias("toxic")).collect()
     if len({r["toxic"] for r in found}) < 2:
         return None
-    return train([r["text"] for r in found], np.array([r["toxic"] for r in found]), steps)
+    model = train([r["text"] for r in found], np.array([r["toxic"] for r in found]), steps)
+    del found
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
