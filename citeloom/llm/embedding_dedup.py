@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import key_groups, tidy
+from citeloom.llm.unions import unite
 from citeloom.operators.components import connected_components
 from citeloom.session import written
 
@@ -131,15 +132,7 @@ def bucket_links(cid: np.ndarray, weight: np.ndarray, home: np.ndarray, vectors:
             i, j = i[near], j[near]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            while len(i):
-                low = np.minimum(label[i], label[j])
-                np.minimum.at(label, label[i], low)
-                np.minimum.at(label, label[j], low)
-                label = label[label]
-                apart_still = label[i] != label[j]
-                i, j = i[apart_still], j[apart_still]
-    while (label != label[label]).any():
-        label = label[label]
+            label = unite(label, i, j)
     return links, label
 
 

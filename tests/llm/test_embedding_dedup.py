@@ -63,3 +63,56 @@ def test_equals_all_pairs(spark, monkeypatch, dim, part):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert ed.near_vectors(df).count() == 0
+
+
+def beside(rng, x):
+    """A vector that links with x, in a random direction from it."""
+    aside = rng.normal(size=len(x))
+    aside -= aside @ x * x
+    return np.cos(0.19) * x + np.sin(0.19) * aside / np.sqrt(aside @ aside)
+
+
+def check_bucket(points, cid):
+    n = len(points)
+    scheme = ed.Scheme(points[:1000], n, 0.98)
+    assert len(scheme.slices) == 1
+    links, label = ed.bucket_links(cid, np.ones(n, np.int64), np.ones(n, bool), points, 0, scheme, 0.98)
+    parent, near = list(range(n)), np.argwhere(np.triu(points @ points.T >= 0.98, 1))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in near.tolist():
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert label.tolist() == [find(x) for x in range(n)]
+    assert links.tolist() == np.bincount(near.ravel(), minlength=n).tolist()
+    return near.tolist()
+
+
+def test_a_late_chunk_keeps_the_unions_of_earlier_ones():
+    rng = np.random.default_rng(4)
+    points = ed.unit(rng.normal(size=(1_600, 15)))
+    z, v, w, p, i, y, j = 0, 1, 2, 3, 4, 600, 1_100
+    points[y] = points[z]  # z moves
+    for new, old in ((v, y), (w, y), (p, y), (i, p), (j, i), (z, j)):
+        points[new] = beside(rng, points[old])
+    cid = np.zeros(1_600, np.int64)
+    cid[[w, y, p, z, j, i, v]] = [9, 8, 7, 6, 5, 4, 3]  # the larger one's chunk finds the link
+    others = np.flatnonzero(cid == 0)
+    cid[others] = 100 + rng.permutation(len(others))
+    found = check_bucket(points, cid)
+    assert set(map(tuple, found)) == {(p, i), (w, y), (z, j), (p, y), (v, y), (i, j)}
+
+
+def test_trees_with_shuffled_ids_in_a_bucket_of_several_chunks():
+    rng = np.random.default_rng(6)
+    points = []
+    for _ in range(20):
+        tree = [ed.unit(rng.normal(size=(1, 15)))[0]]
+        while len(tree) < 200:
+            tree.append(beside(rng, tree[rng.integers(len(tree))]))
+        points += tree
+    check_bucket(rng.permutation(np.array(points)), rng.permutation(len(points)))
