@@ -96,3 +96,37 @@ def test_star_edges_connect_exactly_the_near_pairs(spark, monkeypatch, part, n):
                     label[x] = f
                     todo += links.get(x, ())
     assert [label[f] for f in fps] == slow_components(rows)
+
+
+def test_a_bucket_of_several_blocks_of_rows_loses_no_union():
+    """Trees of fingerprints, more than fit in one block of rows, against a plain union-find."""
+    rng, fps = np.random.default_rng(5), []
+    while len(fps) < 4_000:
+        own = [int(rng.integers(0, 2**64, dtype=np.uint64))]
+        while len(own) < 400:
+            x = own[int(rng.integers(len(own)))]
+            for b in rng.choice(64, 4, replace=False).tolist():
+                x ^= 1 << b
+            own.append(x)
+        fps += own
+    fp = rng.permutation(np.array(sorted(set(fps)), np.uint64))
+    pivots = np.random.default_rng(7).integers(0, 2**64, simhash.PIVOTS, np.uint64)
+    side = rng.integers(0, 2, len(fp))
+    for parts in (None, side):
+        parent = list(range(len(fp)))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i in range(len(fp)):
+            near = np.bitwise_count(fp[:i] ^ fp[i]) <= simhash.RADIUS
+            if parts is not None:
+                near &= parts[:i] != parts[i]
+            for j in np.flatnonzero(near).tolist():
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        first = {}
+        got = simhash.local_components(fp, parts, pivots).tolist()
+        assert [first.setdefault(x, i) for i, x in enumerate(got)] == [find(x) for x in range(len(fp))]
