@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.components import connected_components
+
 #: Fields that count as substance when entries are compared and merged.
 SUBSTANCE = ("journal", "booktitle", "volume", "number", "pages", "publisher", "doi", "url", "abstract", "sep_context", "iep_context")
 IMPORTANCE = ("Low", "Medium", "High")
@@ -71,14 +73,20 @@ def cascade(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def work_clusters(works: DataFrame) -> DataFrame:
     """id, cluster, tainted for works (id, doi, title): equal DOIs join; equal titles join unless their DOIs differ.
 
-    A work without DOI under a title with several DOIs may be any of them: it is tainted.
+    Clusters are the components of both kinds of links, whatever the order of
+    the works. A work without DOI under a title with several DOIs may be any
+    of them: it is tainted.
     """
-    with_doi = works.filter("doi != ''").groupBy("doi").agg(F.min("id").alias("cluster"))
-    base = works.join(with_doi, "doi", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    title = base.filter("title != ''").groupBy("title").agg(F.count_distinct(F.nullif(F.col("doi"), F.lit(""))).alias("n_dois"), F.min("cluster").alias("least"))
-    joined = base.join(title, "title", "left")
+    title = works.filter("title != ''").groupBy("title").agg(F.count_distinct(F.nullif(F.col("doi"), F.lit(""))).alias("n_dois"))
     several = F.coalesce(F.col("n_dois") > 1, F.lit(False))
-    return joined.select("id", F.when(several | F.col("least").isNull(), F.col("cluster")).otherwise(F.least("cluster", "least")).alias("cluster"), (several & (F.col("doi") == "")).alias("tainted"))
+    # Nodes are DOIs and titles without veto; a work links its own two.
+    by_doi = F.when(F.col("doi") != "", F.concat(F.lit("d"), "doi"))
+    by_title = F.when((F.col("title") != "") & ~several, F.concat(F.lit("t"), "title"))
+    keyed = works.join(title, "title", "left").select("id", (several & (F.col("doi") == "")).alias("tainted"), by_doi.alias("a"), by_title.alias("b"))
+    labels = connected_components(keyed.select("a", "b"))
+    named = keyed.withColumn("key", F.coalesce("a", "b")).join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
+    return named.join(least, "label", "left").select("id", F.coalesce("least", "id").alias("cluster"), "tainted")
 
 
 def letters(works: DataFrame, group: list[str], order: list[str], taint: str | None = None) -> DataFrame:

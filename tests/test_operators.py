@@ -102,6 +102,15 @@ def test_cascade_clusters_and_letters(spark):
     assert letters["a", 0] is None and (letters["b", 0], letters["b", 1]) == ("a", "b") and letters["c", 0] is None and letters["d", 1] is None
 
 
+def test_work_clusters_are_components(spark):
+    chain = [(1, "", "B"), (2, "X", "A"), (3, "X", "B")]
+    works = [*chain, (4, "", "A"), (11, "P", "c"), (12, "P", "d"), (13, "Q", "d"), (14, "", "d"), (15, "Q", "e"), (16, "", "e"), (20, "", ""), (21, "", "")]
+    expected = {1: (1, False), 2: (1, False), 3: (1, False), 4: (1, False), 11: (11, False), 12: (11, False), 13: (13, False), 14: (14, True), 15: (13, False), 16: (13, False), 20: (20, False), 21: (21, False)}
+    for rows in (works, works[::-1]):
+        got = dedupe.work_clusters(spark.createDataFrame(rows, "id int, doi string, title string")).collect()
+        assert {r.id: (r.cluster, r.tainted) for r in got} == expected and len(got) == len(works)
+
+
 def test_range_join_equals_all_pairs(spark):
     a = spark.createDataFrame([(i % 2, p, p) for i, p in enumerate([0, 5, 59, 60, 61, 119, 300, -3])], "g int, x long, a long")
     b = spark.createDataFrame([(i % 2, p, p) for i, p in enumerate([0, 60, 120, 121, 240, -60, 3])], "g int, y long, b long")
