@@ -160,15 +160,20 @@ def star_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs' columns without text, with fp and component_id (the smallest doc_id reachable)."""
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """As near_duplicates, with __label: one value for each component, even where two have one component_id."""
     hashed = written(fingerprints(docs), "fingerprints")
     distinct = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = connected_components(star_edges(distinct.select("fp"), distinct.count(), radius))
-    of = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
-    named = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = of.join(named, "label").select("fp", "component_id")
-    return hashed.drop("component_id").join(by_fp, "fp").select(*[c for c in hashed.columns if c != "component_id"], "component_id")
+    of = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("__label"), "least")
+    named = of.groupBy("__label").agg(F.min("least").alias("component_id"))
+    by_fp = of.join(named, "__label").select("fp", "component_id", "__label")
+    return hashed.drop("component_id").join(by_fp, "fp").select(*[c for c in hashed.columns if c != "component_id"], "component_id", "__label")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs' columns without text, with fp and component_id (the smallest doc_id reachable)."""
+    return near_groups(docs, radius).drop("__label")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -30,13 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays; rows that repeat it are one.
 
+    Different texts may share a doc_id: those of different groups are judged
+    each in its own, and of those of one group the one with the least hash stays.
     A group in which no document has a doc_id has no smallest one and stays.
     """
-    found = written(simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id"), "components")
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
-    rows = docs.select(COLUMNS).join(kept.select("doc_id"), "doc_id", "left_semi")
+    of_text = F.xxhash64("text").alias("__hash")
+    found = written(simhash.near_groups(docs.select("doc_id", "text", of_text)).select("doc_id", "__hash", "component_id", "__label"), "components")
+    least = found.filter("doc_id = component_id").groupBy("__label", "doc_id", "__hash").count()
+    kept = written(least.groupBy("__label").agg(F.min(F.struct("__hash", "doc_id", "count")).alias("k")).select("k.*"), "survivors")
+    rows = docs.select(*COLUMNS, of_text).join(kept.select("doc_id", "__hash"), ["doc_id", "__hash"], "left_semi")
     if not kept.filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
+        rows = rows.dropDuplicates(["doc_id", "__hash"])
+    rows = rows.select(COLUMNS)
     if not found.filter("component_id IS NULL").isEmpty():
         named = simhash.near_duplicates(docs.select(COLUMNS).withColumn("__text", F.col("text")))
         lone = named.filter("component_id IS NULL").withColumn("text", F.col("__text"))

@@ -68,3 +68,11 @@ def test_rows_without_ids_and_repeated_rows(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = cp.drop_near_duplicates(spark, docs, sf_dir).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "None", "None"]
+
+
+def test_different_texts_under_one_id(spark, sf_dir):
+    near = " ".join(f"w{i}" for i in range(300))
+    texts = [(1, near), (5, near), (5, "x y z w v u t"), (7, "k l m n o p q"), (7, "b c d e f g h i"), (7, "B c d e f g h i"), (7, "b c d e f g h i")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text.lower()) for r in cp.drop_near_duplicates(spark, docs.repartition(3), sf_dir).collect())
+    assert got == [(1, near), (5, "x y z w v u t"), (7, "b c d e f g h i"), (7, "k l m n o p q")]
