@@ -6,11 +6,15 @@ cross documents.
 
 1. Anchors. A rolling hash picks the smallest GRAM-byte gram of every window;
    equal strings of LENGTH bytes hold the same anchor at the same place, so
-   only anchors (one for about forty bytes) are shuffled, each with a hash of
-   its context: all strings of LENGTH bytes that hold the anchor.
+   only anchors (one for about forty bytes) are shuffled, each with a digest
+   (128 bits of BLAKE2b) of its context: all strings of LENGTH bytes that hold
+   the anchor. The rolling hash only deals anchors out; contexts count as equal
+   by their digests alone.
 2. Leaves. Occurrences of an anchor with equal contexts are one leaf of the
    interval tree: a repeat as long as the context. A task merges its own
-   before the shuffle. Anchors with several different contexts go on.
+   before the shuffle. An anchor that has very many contexts is hot: its leaves
+   are dealt by digest, not by anchor, and merged once more. Anchors with
+   several different contexts go on.
 3. Tree. The first occurrence of each different context brings its bytes. Per
    anchor the suffixes from the anchor on are sorted into a suffix array with
    common prefix lengths; a stack scan gives its interval tree. Within each
@@ -20,19 +24,22 @@ cross documents.
    all their occurrences.
 4. Removal. Every occurrence but the first of each group loses its bytes.
 
-An anchor with more than HOT different contexts is not given to one task: its
-strings of LENGTH bytes are grouped by themselves, which combines before the
-shuffle (step 3b).
+An anchor with more than HOT different contexts is lengthened before its tree
+is built: a string of LENGTH bytes reaches either far to the left of the anchor
+or far to the right, so the contexts are dealt by those longer cores, each with
+a tree of its own, and again until the groups are small. A core that has grown
+to LENGTH bytes is itself the repeat. No size changes a result.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all; a
 null doc_id sorts before all others; rows that repeat a doc_id are documents
-of their own, ordered by a hash of their text, unless their texts are equal
+of their own, ordered by the SHA-256 of their text, unless their texts are equal
 too: then they are one document in two rows. Extra columns pass through; one
 that bears the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +53,10 @@ from citeloom.session import written
 
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
-HOT = 20_000
+#: Different contexts of an anchor from which it is lengthened, and rows of one anchor that a task holds.
+HOT, HELD = 2_000, 500_000
+#: Contexts of one gram that a task may have, at least, before it deals them by digest.
+OFTEN = 16
 #: Window starts that are hashed at a time, and anchors that a task merges at a time.
 BLOCK, MERGED = 1 << 20, 500_000
 BASE = 0x9E3779B97F4A7C15
@@ -60,7 +70,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes modulo 2**64 of all substrings of a block."""
+    """Polynomial hashes modulo 2**64 of all grams of a block."""
 
     size = BLOCK + 4 * LENGTH
     table = np.random.default_rng(11).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,9 +83,6 @@ class Hasher:
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.table[raw] * self.up[: len(raw)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.mixed((self.sums[end] - self.sums[start]) * self.down[start])
-
     def grams(self) -> np.ndarray:
         n = len(self.sums) - GRAM
         return self.mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[:n])
@@ -90,13 +97,21 @@ class Hasher:
         return h
 
 
+def digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of each raw[start:end], as two longs; with the bytes left of the anchor, as contexts differ by these too."""
+    view, new = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+    each = b"".join([new(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(each, np.uint64).reshape(-1, 2)
+    return (both[:, 0] ^ left.astype(np.uint64) * np.uint64(BASE)).view(np.int64), both[:, 1].copy().view(np.int64)
+
+
 def anchors(raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: int, last: int) -> tuple[np.ndarray, ...]:
     """Anchors of the strings of LENGTH bytes that start in [first, last) and end in their document.
 
     start, end: of each document in raw. Gives anchor positions, documents,
-    gram hashes, context hashes (48 bits each) and bytes right of the anchor.
+    gram hashes (48 bits), both halves of the contexts' digests and bytes right of the anchor.
     """
-    none = (np.zeros(0, np.int64),) * 5
+    none = (np.zeros(0, np.int64),) * 6
     if len(raw) < LENGTH:
         return none
     hasher, wide = Hasher(raw), LENGTH - GRAM + 1
@@ -121,9 +136,7 @@ def anchors(raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: int, las
     doc = np.searchsorted(start, at, side="right") - 1
     left = np.minimum(LEFT, at - start[doc])
     right = np.minimum(LENGTH, end[doc] - at)
-    sizes = (left * 128 + right).astype(np.uint64)
-    context = Hasher.mixed(hasher.of(at - left, at + right) ^ (sizes * np.uint64(0xD6E8FEB86659FD93)))
-    return at, doc, (gram[at] >> np.uint64(16)).astype(np.int64), (context >> np.uint64(16)).astype(np.int64), right
+    return at, doc, (gram[at] >> np.uint64(16)).astype(np.int64), *digests(raw, at - left, at + right, left), right
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,16 +152,27 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-def leaves(gram, context, doc, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans_of(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts and ends of contexts, given as pos * 128 + bytes right of the anchor."""
+    at = pos >> 7
+    return merged(doc, at - np.minimum(LEFT, at), at + (pos & 127))
+
+
+def leaves(gram, one, two, doc, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the occurrences, which of them are the first of their leaf, and where a gram begins."""
-    order = np.lexsort((pos, doc, context, gram))
-    g, c = gram[order], context[order]
+    order = np.lexsort((pos, doc, two, one, gram))
+    g, x, y = gram[order], one[order], two[order]
     begin = np.append(True, g[1:] != g[:-1])
-    return order, begin | np.append(True, c[1:] != c[:-1]), begin
+    return order, begin | np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])), begin
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """gram, context, doc, pos of all anchors; spans that a task knows already come with gram < 0."""
+def _anchor_rows(docs: DataFrame, often: int) -> DataFrame:
+    """gram, salt, one, two (digest), doc, pos (with the bytes right of it) of all anchors.
+
+    Spans that a task knows already come with gram < 0: doc, pos (start) and
+    one (end). A gram with more than `often` contexts in a task is hot: each
+    of its rows has a salt by its digest, and a row with pos -1 says so.
+    """
 
     def found(batches):
         for batch in pieces(batches, "text", BLOCK):
@@ -158,33 +182,40 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 if at[row + 1] - at[row] <= BLOCK:
                     stop = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, side="right")) - 1)
                     part, base = raw[at[row] : at[stop]], at[row:stop] - at[row]
-                    p, d, g, c, r = anchors(part, base, at[row + 1 : stop + 1] - at[row], 0, len(part))
-                    yield g, c * 128 + r, sid[row + d], p - base[d]
+                    p, d, g, x, y, r = anchors(part, base, at[row + 1 : stop + 1] - at[row], 0, len(part))
+                    yield g, x, y, sid[row + d], (p - base[d]) << 7 | r
                     row = stop
                     continue
                 whole, last = raw[at[row] : at[row + 1]], -1
                 for low in range(0, len(whole), BLOCK):
                     begin, finish = max(0, low - LENGTH), min(len(whole), low + BLOCK + 2 * LENGTH)
                     part = whole[begin:finish]
-                    p, d, g, c, r = anchors(part, np.zeros(1, np.int64), np.array([len(part)]), low - begin, min(low + BLOCK, len(whole)) - begin)
+                    p, d, g, x, y, r = anchors(part, np.zeros(1, np.int64), np.array([len(part)]), low - begin, min(low + BLOCK, len(whole)) - begin)
                     new = p + begin > last  # the block before may have met the first ones
-                    p, d, g, c, r = p[new], d[new], g[new], c[new], r[new]
+                    p, d, g, x, y, r = p[new], d[new], g[new], x[new], y[new], r[new]
                     last = int(p[-1]) + begin if len(p) else last
-                    yield g, c * 128 + r, sid[row + d], p + begin
+                    yield g, x, y, sid[row + d], (p + begin) << 7 | r
                 row += 1
 
     def flush(held):
-        g, y, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first, _ = leaves(g, y, d, p)
-        g, y, d, p = g[order], y[order], d[order], p[order]
-        again = ~first
-        doc, start, end = merged(d[again], p[again] - np.minimum(LEFT, p[again]), p[again] + y[again] % 128)
+        g, x, y, d, p = (np.concatenate(c) for c in zip(*held, strict=True))
+        if not len(g):
+            return
+        order, first, begin = leaves(g, x, y, d, p)
+        g, x, y, d, p = g[order], x[order], y[order], d[order], p[order]
+        doc, start, end = spans_of(d[~first], p[~first])
         long = end - start >= LENGTH
         doc, start, end = doc[long], start[long], end[long]
         spread = -1 - (doc.view(np.uint64) * np.uint64(BASE) >> np.uint64(20)).astype(np.int64)
-        columns = [np.concatenate(x) for x in ((g[first], spread), (y[first], end), (d[first], doc), (p[first], start))]
+        starts = np.flatnonzero(begin)
+        contexts = np.add.reduceat(first.astype(np.int64), starts)
+        hot = contexts > often
+        salt = np.where(np.repeat(hot, np.diff(np.append(starts, len(g)))), 1 + (x & 1023), 0).astype(np.int32)
+        said = g[starts[hot]]
+        none, known = np.zeros(len(said), np.int64), np.zeros(len(doc), np.int64)
+        columns = [np.concatenate(c) for c in ((g[first], spread, said), (salt[first], known.astype(np.int32), none.astype(np.int32)), (x[first], end, none), (y[first], known, none), (d[first], doc, none), (p[first], start, none - 1))]
         for i in range(0, len(columns[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in columns], names=["gram", "context", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in columns], names=["gram", "salt", "one", "two", "doc", "pos"])
 
     def run(batches):
         held, n = [], 0
@@ -197,53 +228,82 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if n:
             yield from flush(held)
 
-    return docs.mapInArrow(tidy(run), "gram long, context long, doc long, pos long")
-
-
-def _repeated_leaves(rows: DataFrame) -> DataFrame:
-    """doc, kind, a, b: spans (kind 0: start, end) and first occurrences whose anchor has other contexts (1: pos, gram)."""
-
-    def settle(g, y, d, p):
-        known = g < 0
-        out = [(d[known], np.zeros(known.sum(), np.int8), p[known], y[known])]
-        g, y, d, p = g[~known], y[~known], d[~known], p[~known]
-        if len(g):
-            order, first, begin = leaves(g, y, d, p)
-            g, y, d, p = g[order], y[order], d[order], p[order]
-            starts = np.flatnonzero(begin)
-            several = np.repeat(np.add.reduceat(first.astype(np.int64), starts) > 1, np.diff(np.append(starts, len(g))))
-            again = ~first
-            doc, start, end = merged(d[again], p[again] - np.minimum(LEFT, p[again]), p[again] + y[again] % 128)
-            out.append((doc, np.zeros(len(doc), np.int8), start, end))
-            need = first & several
-            out.append((d[need], np.ones(need.sum(), np.int8), p[need], g[need]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "kind", "a", "b"])
+    return docs.mapInArrow(tidy(run), "gram long, salt int, one long, two long, doc long, pos long")
+
+
+LEAF = "doc long, kind byte, a long, b long, one long, two long"
+
+
+def _settled(g, s, x, y, d, p, hot: np.ndarray) -> pa.RecordBatch:
+    """What the rows of some grams come to; hot: grams of which other rows are elsewhere."""
+    known = g < 0
+    zero = lambda n: np.zeros(n, np.int64)
+    out = [(d[known], np.zeros(known.sum(), np.int8), p[known], x[known], zero(known.sum()), zero(known.sum()))]
+    hot = np.union1d(hot, np.concatenate([g[p < 0], g[s > 0]]))
+    own = ~known & (p >= 0)
+    g, x, y, d, p = g[own], x[own], y[own], d[own], p[own]
+    if len(g):
+        order, first, begin = leaves(g, x, y, d, p)
+        g, x, y, d, p = g[order], x[order], y[order], d[order], p[order]
+        starts = np.flatnonzero(begin)
+        several = np.repeat(np.add.reduceat(first.astype(np.int64), starts) > 1, np.diff(np.append(starts, len(g))))
+        doc, start, end = spans_of(d[~first], p[~first])
+        out.append((doc, np.zeros(len(doc), np.int8), start, end, zero(len(doc)), zero(len(doc))))
+        apart = np.isin(g, hot) if len(hot) else np.zeros(len(g), bool)
+        need, later = first & several & ~apart, first & apart
+        out.append((d[need], np.ones(need.sum(), np.int8), p[need] >> 7, g[need], zero(need.sum()), zero(need.sum())))
+        out.append((d[later], np.full(later.sum(), 2, np.int8), p[later], g[later], x[later], y[later]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "kind", "a", "b", "one", "two"])
+
+
+def _repeated_leaves(rows: DataFrame, most: int) -> DataFrame:
+    """doc, kind, a, b, one, two: what is known of leaves when each gram's rows (or a hot gram's salted ones) have met.
+
+    Kind 0: spans (start, end) that repeat. Kind 1: first occurrences (pos,
+    gram) of contexts whose gram has others. Kind 2: those of hot grams (pos
+    with the bytes right of it, gram, digest), to be merged once more. A gram
+    with over `most` rows is hot, too, so that a task never holds more.
+    """
 
     def run(batches):
         held: list[list[np.ndarray]] = []
-        n = 0
+        n, hot = 0, np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(k).to_numpy() for k in ("gram", "context", "doc", "pos")])
+            held.append([batch.column(k).to_numpy() for k in ("gram", "salt", "one", "two", "doc", "pos")])
             n += batch.num_rows
             last = held[-1][0][-1]
             if n >= 100_000 and held[0][0][0] != last:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
                 cut = int(np.searchsorted(columns[0], last))
-                yield settle(*(x[:cut] for x in columns))
-                held, n = [[x[cut:] for x in columns]], len(columns[0]) - cut
+                yield _settled(*(c[:cut] for c in columns), hot)
+                held, n, hot = [[c[cut:] for c in columns]], len(columns[0]) - cut, hot[hot == last]
+            if n >= most:
+                hot = np.array([last])
+                yield _settled(*(np.concatenate(c) for c in zip(*held, strict=True)), hot)
+                held, n = [], 0
         if n:
-            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _settled(*(np.concatenate(c) for c in zip(*held, strict=True)), hot)
+
+    dealt = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    return dealt.mapInArrow(tidy(run), LEAF)
+
 
-    dealt = rows.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(tidy(run), "doc long, kind byte, a long, b long")
+def _hot_leaves(leaf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc, a, b) and first occurrences (doc, a: pos, b: gram) of hot grams, whose leaves lay in several tasks."""
+    rows, key = leaf.filter("kind = 2"), ["b", "one", "two"]
+    first = written(rows.groupBy(*key).agg(F.min(F.struct("doc", "a")).alias("first")), "firsts")
+    later = rows.join(first, key).filter(F.struct("doc", "a") > F.col("first"))
+    at = F.shiftright("a", 7)
+    spans = later.select("doc", F.greatest(at - LEFT, F.lit(0)).alias("a"), (at + F.col("a").bitwiseAND(F.lit(127))).alias("b"))
+    return spans, first.select("first.doc", F.shiftright("first.a", 7).alias("a"), "b")
 
 
 def _contexts(docs: DataFrame, needs: DataFrame) -> DataFrame:
     """gram, doc, pos, left and bytes of the contexts that are asked for."""
-    asked = needs.filter("kind = 1").groupBy(F.col("doc").alias("sid")).agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    asked = needs.groupBy(F.col("doc").alias("sid")).agg(F.collect_list(F.struct("a", "b")).alias("asked"))
     joined = docs.join(asked, "sid").select("sid", F.col("asked.a").alias("pos"), F.col("asked.b").alias("gram"), "text")
 
     def run(batches):
@@ -380,15 +440,47 @@ def _tree_spans(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(tidy(run), "doc long, a long, b long")
 
 
-def _hot_spans(hot: DataFrame) -> DataFrame:
-    """doc, a, b for anchors with very many contexts: strings of LENGTH bytes, grouped by themselves."""
-    starts = F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)
-    each = hot.filter(F.octet_length("bytes") >= LENGTH).select("doc", "pos", "left", "bytes", F.explode(starts).alias("i"))
-    each = each.select("doc", (F.col("pos") - F.col("left") + F.col("i")).alias("a"), F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)).alias("string"))
+def lengthened(contexts: DataFrame) -> DataFrame:
+    """Contexts (gram, doc, pos, left, bytes, x, y) dealt by longer cores: bytes x left to y right of the anchor.
+
+    A string of LENGTH bytes around the core has at least half of what is
+    missing on its left, or else more than the rest of it on its right.
+    """
+    missing = F.lit(LENGTH) - F.col("x") - F.col("y")
+    half = F.floor(missing / 2).cast("int")
+    sides = [(F.col("x") + missing - half, F.col("y")), (F.col("x"), F.col("y") + half + 1)]
+    core = lambda x, y: F.substring("bytes", F.col("left") - x + 1, x + y)
+    each = [F.when((F.col("left") >= x) & (F.octet_length("bytes") - F.col("left") >= y), F.struct(F.xxhash64("gram", x, y, core(x, y)).alias("gram"), x.alias("x"), y.alias("y"))) for x, y in sides]
+    dealt = contexts.select("doc", "pos", "left", "bytes", F.explode(F.array_compact(F.array(*each))).alias("to"))
+    return dealt.select("to.gram", "doc", "pos", "left", "bytes", "to.x", "to.y")
+
+
+def _core_spans(grown: DataFrame) -> DataFrame:
+    """doc, a, b for contexts whose core has LENGTH bytes: all of a core's but the first."""
+    each = grown.select("doc", (F.col("pos") - F.col("x")).alias("a"), F.substring("bytes", F.col("left") - F.col("x") + 1, F.lit(LENGTH)).alias("string"))
     first = each.groupBy("string").agg(F.min(F.struct("doc", "a")).alias("first"))
     return each.join(first, "string").filter(F.struct("doc", "a") > F.col("first")).select("doc", "a", (F.col("a") + LENGTH).alias("b"))
 
 
+def _split(contexts: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contexts in groups of at most HOT, and spans (doc, a, b) that lengthening has found. big: gram of larger groups."""
+    columns = ["gram", "doc", "pos", "left", "bytes"]
+    contexts = written(contexts, "contexts")
+    small = contexts.join(big, "gram", "left_anti").select(columns)
+    large = contexts.join(big, "gram", "left_semi").select(*columns, F.lit(0).alias("x"), F.lit(GRAM).alias("y"))
+    spans = None
+    while True:  # seven times at most: what is missing halves
+        grown = written(lengthened(large), "lengthened")
+        whole = _core_spans(grown.filter(F.col("x") + F.col("y") == LENGTH))
+        spans = whole if spans is None else spans.unionByName(whole)
+        grown = grown.filter(F.col("x") + F.col("y") < LENGTH)
+        big = written(grown.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"), "hot")
+        small = small.unionByName(grown.join(big, "gram", "left_anti").select(columns))
+        if big.isEmpty():
+            return small, spans
+        large = grown.join(big, "gram", "left_semi").select(*columns, "x", "y")
+
+
 def with_order_key(docs: DataFrame) -> tuple[DataFrame, bool]:
     """docs with __sid: a long that orders documents by doc_id, one for each different (doc_id, text).
 
@@ -397,9 +489,9 @@ def with_order_key(docs: DataFrame) -> tuple[DataFrame, bool]:
     odd = docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1")
     if odd.isEmpty():
         return docs.withColumn("__sid", F.col("doc_id")), False
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    pairs = docs.select("doc_id", digest.alias("__th")).distinct().sort("doc_id", "__th").rdd.zipWithIndex()
-    ranks = written(docs.sparkSession.createDataFrame(pairs.map(lambda x: (x[0][0], x[0][1], x[1])), "doc_id long, __th long, __sid long"), "ranks")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    pairs = docs.select("doc_id", digest.alias("__th")).distinct().sort(F.asc_nulls_first("doc_id"), "__th")
+    ranks = written(pairs.withColumn("__sid", F.monotonically_increasing_id()), "ranks")  # ids follow the order of the partitions
     keyed = docs.withColumn("__th", digest)
     same = keyed["doc_id"].eqNullSafe(ranks["doc_id"]) & (keyed["__th"] == ranks["__th"])
     return keyed.join(ranks, same).select(*[keyed[c] for c in docs.columns], ranks["__sid"]), True
@@ -407,14 +499,18 @@ def with_order_key(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """doc, a, b: spans to remove. texts: sid (unique), text."""
-    leaf = written(_repeated_leaves(_anchor_rows(texts)), "leaves")
-    spans, needs = leaf.filter("kind = 0").select("doc", "a", "b"), leaf.filter("kind = 1")
-    hot = written(needs.groupBy(F.col("b").alias("gram")).count().filter(f"count > {HOT}").select("gram"), "hot")
+    # A gram that has more of a task's anchors than a few partitions' fair share is hot.
+    often = max(OFTEN, 4 * MERGED // int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaf = written(_repeated_leaves(_anchor_rows(texts, often), HELD), "leaves")
+    spans, needs = leaf.filter("kind = 0").select("doc", "a", "b"), leaf.filter("kind = 1").select("doc", "a", "b")
+    if not leaf.filter("kind = 2").isEmpty():
+        more, firsts = _hot_leaves(leaf)
+        spans, needs = spans.unionByName(more), needs.unionByName(firsts)
+    big = written(needs.groupBy(F.col("b").alias("gram")).count().filter(F.col("count") > HOT).select("gram"), "hot")
     contexts = _contexts(texts, needs)
-    if not hot.isEmpty():
-        contexts = written(contexts, "contexts")
-        spans = spans.unionByName(_hot_spans(contexts.join(hot, "gram", "left_semi")))
-        contexts = contexts.join(hot, "gram", "left_anti")
+    if not big.isEmpty():
+        contexts, more = _split(contexts, big)
+        spans = spans.unionByName(more)
     return spans.unionByName(_tree_spans(contexts.repartition("gram").sortWithinPartitions("gram")))
 
 

@@ -53,9 +53,13 @@ def run(spark, rows, extra=True):
     return docs, sd.remove_repeats(docs).collect()
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,held,merged", [(2_000, 500_000, 500_000), (3, 500_000, 500_000), (2, 7, 500_000), (2_000, 5, 12)])
+def test_equals_brute_force(spark, monkeypatch, hot, held, merged):
+    """Anchors of any size: whole, lengthened, in several parts of a task, and salted (MERGED sets that bound)."""
     monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "HELD", held)
+    monkeypatch.setattr(sd, "MERGED", merged)
+    monkeypatch.setattr(sd, "OFTEN", 1 if merged < 100 else 16)
     rows = [(i * 3, t) for i, t in enumerate(corpus(hot))]
     _, got = run(spark, rows)
     expected = {k: e for (k, _), e in zip(rows, brute(rows), strict=True)}
@@ -63,13 +67,12 @@ def test_equals_brute_force(spark, monkeypatch, hot):
 
 
 def test_repeated_and_null_ids(spark):
-    import xxhash
+    import hashlib
 
     texts = corpus(8, 12)
     ids = [None, 5, 5, 7] * 99
     rows = [(ids[i], t) for i, t in enumerate(texts)] + [(5, texts[-1]), (5, texts[-1]), (None, texts[-2])]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    key = lambda k, t: (k is not None, k or 0, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)))
+    key = lambda k, t: (k is not None, k or 0, hashlib.sha256((t or "").encode()).hexdigest())
     keyed = [(key(k, t), t) for k, t in rows]
     _, got = run(spark, rows)
     expected = sorted((str(k), *e) for (k, _), e in zip(rows, brute(keyed), strict=True))
@@ -99,3 +102,24 @@ def test_groups_hold_all_occurrences():
     cut[0], cut[1] = b"1" + cut[0][1:], b"2" + cut[1][1:]
     groups = list(sd.repeat_groups(np.zeros(3, np.int64), left, np.array([len(c) for c in cut]), np.frombuffer(b"".join(cut), np.uint8)))
     assert sorted((low, high, sorted(own.tolist())) for low, high, own in groups) == [(0, 100, [0, 1, 2]), (75, 100, [0, 1])]
+
+
+def test_hot_grams_are_salted_and_known(spark):
+    """A gram with many contexts goes to several groups, and each of its rows is known to be hot."""
+    docs = spark.createDataFrame([(i, f"{i:04d}" * 20 + "the same passage of some thirty bytes" + f"{i:04d}" * 20) for i in range(40)], "sid long, text string")
+    rows = sd._anchor_rows(docs.coalesce(1), 8).cache()
+    salted = {r.gram for r in rows.filter("salt > 0").collect()}
+    assert salted and salted == {r.gram for r in rows.filter("pos = -1").collect()}
+    assert not salted & {r.gram for r in rows.filter("salt = 0 AND pos >= 0").collect()}
+    kinds = {(r.b in salted, r.kind) for r in sd._repeated_leaves(rows, 100).filter("kind > 0").collect()}
+    assert (True, 2) in kinds and (True, 1) not in kinds
+    rows.unpersist()
+
+
+def test_grams_with_one_hash_are_told_apart():
+    """Contexts of different grams under one gram hash share nothing that is not equal byte by byte."""
+    rng = random.Random(3)
+    same = bytes(rng.choices(range(97, 123), k=176))
+    cut = [bytes(rng.choices(range(97, 123), k=176)) for _ in range(5)] + [same, same[:150] + b"#" * 26]
+    groups = list(sd.repeat_groups(np.zeros(7, np.int64), np.full(7, 76), np.full(7, 176), np.frombuffer(b"".join(cut), np.uint8)))
+    assert [(low, high, sorted(own.tolist())) for low, high, own in groups] == [(76, 74, [5, 6])]
