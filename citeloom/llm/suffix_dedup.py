@@ -25,10 +25,12 @@ cross documents.
 4. Removal. Every occurrence but the first of each group loses its bytes.
 
 An anchor with more than HOT different contexts is lengthened before its tree
-is built: a string of LENGTH bytes reaches either far to the left of the anchor
-or far to the right, so the contexts are dealt by those longer cores, each with
-a tree of its own, and again until the groups are small. A core that has grown
-to LENGTH bytes is itself the repeat. No size changes a result.
+is built. Strings of LENGTH bytes start 0 to LEFT bytes left of the anchor; the
+starts are halved, each half has a longer core that all its strings share, and
+contexts are dealt by these cores, each with a tree of its own, and halved again
+until the groups are small. Contexts that are equal as far as a half's strings
+reach are one leaf of it and merged, so a passage that very many documents
+share stays two rows a level. No size changes a result.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep all; a
 null doc_id sorts before all others; rows that repeat a doc_id are documents
@@ -54,7 +56,7 @@ from citeloom.session import written
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
 #: Different contexts of an anchor from which it is lengthened, and rows of one anchor that a task holds.
-HOT, HELD = 2_000, 500_000
+HOT, HELD = 20_000, 500_000
 #: Contexts of one gram that a task may have, at least, before it deals them by digest.
 OFTEN = 16
 #: Window starts that are hashed at a time, and anchors that a task merges at a time.
@@ -441,44 +443,44 @@ def _tree_spans(contexts: DataFrame) -> DataFrame:
 
 
 def lengthened(contexts: DataFrame) -> DataFrame:
-    """Contexts (gram, doc, pos, left, bytes, x, y) dealt by longer cores: bytes x left to y right of the anchor.
+    """Contexts (gram, doc, pos, left, bytes, low, high) dealt by longer cores, and cut to what their strings reach.
 
-    A string of LENGTH bytes around the core has at least half of what is
-    missing on its left, or else more than the rest of it on its right.
+    low, high: how far left of the anchor the strings of LENGTH bytes start
+    that a group is about. All of them share the core from low bytes left of
+    the anchor to LENGTH - high right of it.
     """
-    missing = F.lit(LENGTH) - F.col("x") - F.col("y")
-    half = F.floor(missing / 2).cast("int")
-    sides = [(F.col("x") + missing - half, F.col("y")), (F.col("x"), F.col("y") + half + 1)]
-    core = lambda x, y: F.substring("bytes", F.col("left") - x + 1, x + y)
-    each = [F.when((F.col("left") >= x) & (F.octet_length("bytes") - F.col("left") >= y), F.struct(F.xxhash64("gram", x, y, core(x, y)).alias("gram"), x.alias("x"), y.alias("y"))) for x, y in sides]
-    dealt = contexts.select("doc", "pos", "left", "bytes", F.explode(F.array_compact(F.array(*each))).alias("to"))
-    return dealt.select("to.gram", "doc", "pos", "left", "bytes", "to.x", "to.y")
-
-
-def _core_spans(grown: DataFrame) -> DataFrame:
-    """doc, a, b for contexts whose core has LENGTH bytes: all of a core's but the first."""
-    each = grown.select("doc", (F.col("pos") - F.col("x")).alias("a"), F.substring("bytes", F.col("left") - F.col("x") + 1, F.lit(LENGTH)).alias("string"))
-    first = each.groupBy("string").agg(F.min(F.struct("doc", "a")).alias("first"))
-    return each.join(first, "string").filter(F.struct("doc", "a") > F.col("first")).select("doc", "a", (F.col("a") + LENGTH).alias("b"))
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    right = F.octet_length("bytes") - F.col("left")
+    each = []
+    for low, high in ((F.col("low"), middle), (middle + 1, F.col("high"))):
+        core = F.substring("bytes", F.col("left") - low + 1, low + LENGTH - high)
+        left = F.least(high, "left")
+        reach = F.substring("bytes", F.col("left") - left + 1, left + F.least(right, LENGTH - low))
+        holds = (low <= high) & (F.greatest(low, LENGTH - right) <= left)
+        each.append(F.when(holds, F.struct(F.xxhash64("gram", low, high, core).alias("gram"), left.alias("left"), reach.alias("bytes"), low.alias("low"), high.alias("high"))))
+    dealt = contexts.select("doc", "pos", F.explode(F.array_compact(F.array(*each))).alias("to"))
+    return dealt.select("to.gram", "doc", "pos", "to.left", "to.bytes", "to.low", "to.high")
 
 
 def _split(contexts: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contexts in groups of at most HOT, and spans (doc, a, b) that lengthening has found. big: gram of larger groups."""
-    columns = ["gram", "doc", "pos", "left", "bytes"]
+    """Contexts in groups of at most HOT, and spans (doc, a, b) of equal ones found on the way. big: gram of larger groups."""
+    columns, leaf = ["gram", "doc", "pos", "left", "bytes"], ["gram", "left", "bytes", "low", "high"]
     contexts = written(contexts, "contexts")
     small = contexts.join(big, "gram", "left_anti").select(columns)
-    large = contexts.join(big, "gram", "left_semi").select(*columns, F.lit(0).alias("x"), F.lit(GRAM).alias("y"))
+    large = contexts.join(big, "gram", "left_semi").select(*columns, F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
     spans = None
-    while True:  # seven times at most: what is missing halves
+    while True:  # seven times at most: the starts halve, and a group with one start is one leaf
         grown = written(lengthened(large), "lengthened")
-        whole = _core_spans(grown.filter(F.col("x") + F.col("y") == LENGTH))
-        spans = whole if spans is None else spans.unionByName(whole)
-        grown = grown.filter(F.col("x") + F.col("y") < LENGTH)
+        firsts = written(grown.groupBy(*leaf).agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+        later = grown.join(firsts.filter("n > 1").select(*leaf, "first"), leaf).filter(F.struct("doc", "pos") > F.col("first"))
+        found = later.select("doc", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") - F.col("left") + F.octet_length("bytes")).alias("b"))
+        spans = found if spans is None else spans.unionByName(found)
+        grown = firsts.select("gram", "first.doc", "first.pos", "left", "bytes", "low", "high")
         big = written(grown.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"), "hot")
         small = small.unionByName(grown.join(big, "gram", "left_anti").select(columns))
         if big.isEmpty():
             return small, spans
-        large = grown.join(big, "gram", "left_semi").select(*columns, "x", "y")
+        large = grown.join(big, "gram", "left_semi").select(*columns, "low", "high")
 
 
 def with_order_key(docs: DataFrame) -> tuple[DataFrame, bool]:

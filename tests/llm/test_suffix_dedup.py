@@ -53,7 +53,7 @@ def run(spark, rows, extra=True):
     return docs, sd.remove_repeats(docs).collect()
 
 
-@pytest.mark.parametrize("hot,held,merged", [(2_000, 500_000, 500_000), (3, 500_000, 500_000), (2, 7, 500_000), (2_000, 5, 12)])
+@pytest.mark.parametrize("hot,held,merged", [(20_000, 500_000, 500_000), (3, 500_000, 500_000), (1, 7, 500_000), (20_000, 5, 12)])
 def test_equals_brute_force(spark, monkeypatch, hot, held, merged):
     """Anchors of any size: whole, lengthened, in several parts of a task, and salted (MERGED sets that bound)."""
     monkeypatch.setattr(sd, "HOT", hot)
