@@ -1,15 +1,22 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Every fingerprint gets its Hamming distances to fixed reference fingerprints
-(the pivots). By the triangle inequality a pair whose distances to any pivot
-differ by more than the radius is no link; a bucket's pairs are discarded so,
-pivot by pivot, and survivors are verified bit by bit. Pivot coordinates of
-random fingerprints lie too close together to deal the work out, so buckets
-come from equal blocks of bits: with b blocks and at most r differing bits,
-b - r blocks agree. The number of blocks follows the number of distinct
-fingerprints; any choice finds every link. Buckets above a size are dealt as
-pairs of salted parts. A bucket reports a spanning star for each of its local
-components, never its pairs.
+(the pivots): its row of the table. By the triangle inequality a pair within
+the radius differs by no more than the radius in any coordinate; all other
+pairs are discarded, and survivors are verified bit by bit. In a task the
+members of a group are sorted by the first two coordinates and each looks up
+the ranges within the radius in both, so pairs outside are never formed; the
+other coordinates then thin what is left. Groups too large for a task are
+dealt by the cells of the first coordinate, and a cell meets only itself and
+its neighbour.
+
+A coordinate of random fingerprints takes few values (its spread is 4, like
+the radius), so pivots alone would keep a fixed share of all pairs of the
+corpus. Fingerprints are therefore first grouped by equal blocks of bits: with
+b blocks and at most r differing bits, b - r blocks agree. The number of blocks
+follows the number of distinct fingerprints; any choice finds every link. A
+group reports a spanning star for each of its local components, never its
+pairs.
 
 Defined results: null and empty texts have fingerprint zero and link with one
 another and with other near fingerprints; rows may repeat; a null doc_id never
@@ -22,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import key_groups, pieces, tidy
@@ -32,7 +39,7 @@ from citeloom.session import written
 
 WORDS, SEED, RADIUS, BITS = 4, 42, 4, 64
 PIVOTS = 12
-#: Members of a bucket that one task compares; larger buckets are dealt as pairs of parts.
+#: Members of a group that one task compares; larger groups are dealt by cells of the first pivot coordinate.
 PART = 8_192
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -78,7 +85,7 @@ def block_choice(n: int, radius: int = RADIUS, bits: int = BITS) -> tuple[list[i
     def cost(blocks: int) -> float:
         tables = len(list(combinations(range(blocks), blocks - radius)))
         key = bits * (blocks - radius) / blocks
-        return tables * n * 2e-6 + tables * n * n / 2 ** (key + 1) * 2e-8
+        return tables * n * 2e-6 + tables * n * n / 2 ** (key + 1) * 8e-9
 
     blocks = min(range(radius + 1, radius + 8), key=cost)
     edges = np.linspace(0, bits, blocks + 1).round().astype(int).tolist()
@@ -86,57 +93,109 @@ def block_choice(n: int, radius: int = RADIUS, bits: int = BITS) -> tuple[list[i
     return masks, list(combinations(range(blocks), blocks - radius))
 
 
+def pivots_of(n: int = PIVOTS) -> np.ndarray:
+    """The reference fingerprints: random, the same in every task."""
+    return np.random.default_rng(7).integers(0, 2**64, n, np.uint64)
+
+
 def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distances, one row for each pivot."""
     return np.bitwise_count(fp[None, :] ^ pivots[:, None]).astype(np.int8)
 
 
-def local_components(fp: np.ndarray, side: np.ndarray | None, pivots: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each distinct fingerprint of a bucket the index of its local component's first member.
+def ranges(table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the first two coordinates; for each member in order the begins and ends of the runs it may meet.
+
+    One run for each difference 0 to radius of the first coordinate: the later
+    members whose second coordinate lies within the radius, too.
+    """
+    wide = 2 * (BITS + radius + 1)
+    key = table[0].astype(np.int64) * wide + table[1]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    ahead = key[:, None] + np.arange(radius + 1) * wide
+    begin, end = np.searchsorted(key, ahead - radius), np.searchsorted(key, ahead + radius, side="right")
+    begin[:, 0] = np.arange(1, len(key) + 1)
+    return order, begin, np.maximum(begin, end)
+
+
+def local_components(fp: np.ndarray, side: np.ndarray | None, pivots: np.ndarray, radius: int = RADIUS, tally: np.ndarray | None = None) -> np.ndarray:
+    """For each distinct fingerprint of a group the index of its local component's first member.
 
     side: parts to compare with one another only, or None for all pairs.
+    tally: gets the numbers of pairs, of those in the range of two coordinates,
+    of those that survive the whole table, and of links added to it.
     """
     table = pivot_table(fp, pivots)
-    order = np.argsort(table[0], kind="stable")
+    order, begin, end = ranges(table, radius)
     fp, table = fp[order], table[:, order]
     side = None if side is None else side[order]
     label = np.arange(len(fp))
-    near = np.searchsorted(table[0], table[0] + radius, side="right")  # the first pivot's range, by sorting
-    step = max(1, 4_000_000 // len(fp))
-    for at in range(0, len(fp), step):
-        rows = np.arange(at, min(at + step, len(fp)))
-        n = np.maximum(near[rows] - rows - 1, 0)
-        i = np.repeat(rows, n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    meets = np.cumsum((end - begin).sum(axis=1))
+    at, formed, kept, links = 0, 0, 0, 0
+    while at < len(fp):
+        stop = max(at + 1, int(np.searchsorted(meets, (meets[at - 1] if at else 0) + 4_000_000, side="right")))
+        size = (end[at:stop] - begin[at:stop]).ravel()
+        i = np.repeat(np.repeat(np.arange(at, stop), radius + 1), size)
+        j = np.repeat(begin[at:stop].ravel() - (np.cumsum(size) - size), size) + np.arange(len(i))
+        at = stop
         if side is not None:
             apart = side[i] != side[j]
             i, j = i[apart], j[apart]
-        for row in table[1:]:
+        formed += len(i)
+        for row in table[2:]:
             if not len(i):
                 break
             keep = np.abs(row[i] - row[j]) <= radius
             i, j = i[keep], j[keep]
+        kept += len(i)
         keep = np.bitwise_count(fp[i] ^ fp[j]) <= radius
         i, j = i[keep], j[keep]
+        links += len(i)
         label = unite(label, i, j)
+    if tally is not None:
+        sides = np.unique(side, return_counts=True)[1] if side is not None else np.zeros(0, np.int64)
+        tally += (len(fp) * (len(fp) - 1) // 2 - int((sides * (sides - 1) // 2).sum()), formed, kept, links)
     out = np.empty(len(fp), np.int64)
     out[order] = order[label]
     return out
 
 
-def star_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (fp) within the radius of one another."""
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def dealt_groups(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """t, key, pair, side, fp: fingerprints by equal blocks (t, key), large groups also by pairs of parts.
+
+    A part is a cell of the first pivot coordinate, cells above PART dealt by
+    a hash. Cells are a radius and one wide, so a part meets only parts of its
+    own and of the next cell.
+    """
     masks, sets = block_choice(n, radius)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(sum(masks[i] for i in own)))).alias("key")) for k, own in enumerate(sets)]
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
-    parts = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("t", "key")) / PART)).cast("int")
-    dealt = dealt.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # A part meets each part once: pair p * parts + q with p <= q.
-    pairs = F.expr("transform(sequence(0, parts - 1), q -> least(part, q) * parts + greatest(part, q))")
-    dealt = dealt.select("t", "key", "part", F.explode(pairs).alias("pair"), "fp")
-    dealt = dealt.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
-    pivots = np.random.default_rng(7).integers(0, 2**64, PIVOTS, np.uint64)
+    cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(pivots_of(1)[0]))))) / (radius + 1)).cast("int")
+    dealt = distinct.select("fp", cell.alias("cell"), F.explode(F.array(*keys)).alias("k")).select("fp", "cell", "k.t", "k.key")
+    sizes = dealt.groupBy("t", "key", "cell").count()
+    parts = F.map_from_entries(F.collect_list(F.struct("cell", F.ceil(F.col("count") / PART).cast("int"))))  # of the few cells
+    large = written(sizes.groupBy("t", "key").agg(F.sum("count").alias("n"), parts.alias("parts")).filter(F.col("n") > PART), "large").drop("n")
+    met = dealt.join(large, ["t", "key"], "left")  # by broadcast only where its files are small
+    many = lambda c: F.coalesce(F.try_element_at("parts", c), F.lit(0))
+    place = lambda c, q: c * F.lit(1 << 20) + q
+    own = F.pmod(F.xxhash64("fp"), F.greatest(many(F.col("cell")), F.lit(1))).cast("int")
+    side = F.when(F.col("parts").isNull(), 0).otherwise(place(F.col("cell"), own)).cast("long")
+    parts_of = lambda c: F.transform(F.filter(F.sequence(F.lit(0), many(c)), lambda q: q < many(c)), lambda q: place(c, q).cast("long"))
+    others = F.concat(*[parts_of(F.col("cell") + d) for d in (-1, 0, 1)])
+    pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
+    pairs = pairs.otherwise(F.transform(others, lambda q: F.struct(F.least("side", q).alias("a"), F.greatest("side", q).alias("b"))))
+    met = met.withColumn("side", side)
+    return met.select("t", "key", "side", F.explode(pairs).alias("p"), "fp").select("t", "key", F.shiftleft("p.a", 32).bitwiseOR(F.col("p.b")).alias("pair"), "side", "fp")
+
+
+def star_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (fp) within the radius of one another."""
+    dealt = dealt_groups(distinct, n, radius).repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
+    pivots = pivots_of()
 
     def run(batches):
         a, b, size = [], [], 0
@@ -144,8 +203,8 @@ def star_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             if group.num_rows < 2:
                 continue
             fp = group.column("fp").to_numpy().view(np.uint64)
-            part = group.column("part").to_numpy()
-            root = local_components(fp, part if part.min() != part.max() else None, pivots, radius)
+            side = group.column("side").to_numpy()
+            root = local_components(fp, side if side.min() != side.max() else None, pivots, radius)
             own = np.flatnonzero(root != np.arange(len(root)))
             if len(own):
                 a.append(fp[own].view(np.int64))
@@ -160,6 +219,22 @@ def star_edges(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
+def table_use(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """One row: pairs that share a group, pairs within two coordinates, pairs that survive the table, links among them."""
+    dealt = dealt_groups(distinct, n, radius).repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
+    pivots = pivots_of()
+
+    def run(batches):
+        tally = np.zeros(4, np.int64)
+        for group in key_groups(batches, ["t", "key", "pair"]):
+            side = group.column("side").to_numpy()
+            local_components(group.column("fp").to_numpy().view(np.uint64), side if side.min() != side.max() else None, pivots, radius, tally)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in tally], names=["pairs", "in_range", "survivors", "links"])
+
+    names = ["pairs", "in_range", "survivors", "links"]
+    return dealt.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)).agg(*[F.sum(c).alias(c) for c in names])
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """As near_duplicates, with __label: one value for each component, even where two have one component_id."""
     hashed = written(fingerprints(docs), "fingerprints")

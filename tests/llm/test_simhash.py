@@ -110,7 +110,7 @@ def test_a_bucket_of_several_blocks_of_rows_loses_no_union():
             own.append(x)
         fps += own
     fp = rng.permutation(np.array(sorted(set(fps)), np.uint64))
-    pivots = np.random.default_rng(7).integers(0, 2**64, simhash.PIVOTS, np.uint64)
+    pivots = simhash.pivots_of()
     side = rng.integers(0, 2, len(fp))
     for parts in (None, side):
         parent = list(range(len(fp)))
@@ -130,3 +130,19 @@ def test_a_bucket_of_several_blocks_of_rows_loses_no_union():
         first = {}
         got = simhash.local_components(fp, parts, pivots).tolist()
         assert [first.setdefault(x, i) for i, x in enumerate(got)] == [find(x) for x in range(len(fp))]
+
+
+def test_the_table_discards_most_pairs_and_no_link(spark):
+    """In groups of equal blocks nearly all pairs fall to the pivots' coordinates, and every link survives them."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, 3_000, np.uint64)
+    near = base[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    fp = np.unique(np.concatenate([base, near]))
+    tally = np.zeros(4, np.int64)
+    simhash.local_components(fp, None, simhash.pivots_of(), tally=tally)
+    pairs, in_range, survivors, links = tally.tolist()
+    assert links == sum(int((np.bitwise_count(fp[:i] ^ fp[i]) <= simhash.RADIUS).sum()) for i in range(len(fp))) >= 500
+    assert pairs == len(fp) * (len(fp) - 1) // 2 and in_range < 0.4 * pairs and survivors < 0.01 * pairs
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64).tolist()], "fp long")
+    use = simhash.table_use(df, len(fp)).first()
+    assert use.links >= links and use.survivors < 0.5 * use.pairs
