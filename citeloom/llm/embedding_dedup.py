@@ -10,7 +10,9 @@ range touches. Candidates are verified by their exact cosine where they meet,
 and a pair counts in the first block that admits it only, so link counts add
 up without listing pairs; each bucket reports a spanning star.
 
-Equal vectors of a label are one class. The rotation is fitted on a bounded
+Equal vectors of a label are one class; classes are grouped by the vectors
+themselves, and the number that stands for a class is checked to be its own.
+The rotation is fitted on a bounded
 sample (SAMPLE); it and the grid decide the cost, never the result. A bucket
 with more than PART residents is dealt to several tasks.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import key_groups, tidy
@@ -159,8 +161,10 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
 
     kind = classes.schema["embedding"].dataType.simpleString()
     dealt = classes.select("cid", "label", "weight", "embedding").mapInArrow(tidy(deal), f"block byte, cell long, home boolean, cid long, label long, weight long, embedding {kind}")
-    parts = F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("int")).over(Window.partitionBy("block", "cell")) / PART)).cast("int")
-    dealt = dealt.withColumn("parts", parts).withColumn("own", F.pmod(F.col("cid"), F.col("parts")).cast("int"))
+    sizes = dealt.filter("home").groupBy("block", "cell").count().filter(F.col("count") > PART)
+    large = written(sizes.select("block", "cell", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "cells")
+    dealt = dealt.join(large, ["block", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # by broadcast only where its files are small
+    dealt = dealt.withColumn("own", F.pmod(F.col("cid"), F.col("parts")).cast("int"))
     # A resident lives in one part of its bucket and, like a visitor, visits the others.
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("home", F.col("home") & (F.col("own") == F.col("part"))).drop("parts", "own")
     dealt = dealt.repartition("block", "cell", "part").sortWithinPartitions("block", "cell", "part")
@@ -188,15 +192,34 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     return dealt.mapInArrow(tidy(join), "cid long, links long, root long")
 
 
+def class_number(label, vector, seed: int) -> "F.Column":
+    """A number for a label and vector; another one for each seed."""
+    return F.xxhash64(F.lit(seed), label, vector)
+
+
+def numbered(vectors: DataFrame, clean: "F.Column", number=class_number) -> tuple[DataFrame, DataFrame]:
+    """vectors with __cid (null for those that link with nothing), and the classes (cid, label, embedding, least, weight).
+
+    Rows are grouped by label and vector. Should two classes have one number,
+    all get another, so that __cid always means one class.
+    """
+    label = F.col("label").cast("long")
+    groups = vectors.filter(_valid()).groupBy(label.alias("label"), clean.alias("embedding")).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    groups = written(groups, "groups")
+    for seed in range(10):
+        classes = groups.withColumn("cid", number(F.col("label"), F.col("embedding"), seed))
+        if classes.groupBy("cid").count().filter("count > 1").isEmpty():
+            return vectors.withColumn("__cid", F.when(_valid(), number(label, clean, seed))), classes
+    raise RuntimeError("no numbers for the classes without a collision")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vectors' columns with n_links, component_id and kept. vectors: vec_id, embedding, label."""
     names = ("n_links", "component_id", "kept")
     rest = [c for c in vectors.columns if c not in names]
     # Adding 0 turns -0 into 0, so that equal vectors have equal hashes.
     clean = F.transform("embedding", lambda x: x + F.lit(0).cast("float") if dict(vectors.dtypes)["embedding"] == "array<float>" else x + F.lit(0.0))
-    keyed = vectors.select(*rest).withColumn("__cid", F.when(_valid(), F.xxhash64(F.col("label").cast("long"), clean)))
-    classes = keyed.filter("__cid IS NOT NULL").groupBy(F.col("__cid").alias("cid")).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first(F.col("label").cast("long")).alias("label"), F.first(clean).alias("embedding"))
-    classes = written(classes, "classes")
+    keyed, classes = numbered(vectors.select(*rest), clean)
     found = None
     for dim, n in classes.groupBy(F.size("embedding").alias("dim")).count().orderBy("dim").collect():
         part = _links(classes.filter(F.size("embedding") == dim), n, threshold)

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.llm import embedding_dedup as ed
 
@@ -116,3 +117,14 @@ def test_trees_with_shuffled_ids_in_a_bucket_of_several_chunks():
             tree.append(beside(rng, tree[rng.integers(len(tree))]))
         points += tree
     check_bucket(rng.permutation(np.array(points)), rng.permutation(len(points)))
+
+
+def test_classes_whose_numbers_collide_stay_apart(spark):
+    """A number that two vectors share is given up for another."""
+    rows = [(1, [1.0, 0.0], 5), (2, [0.0, 1.0], 5), (3, [1.0, 0.0], 5), (4, [1.0, 0.0], 6), (5, None, 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    poor = lambda label, vector, seed: ed.class_number(label, vector, seed) if seed > 2 else F.lit(7).cast("long")
+    keyed, classes = ed.numbered(vectors, F.col("embedding"), poor)
+    own = {r.vec_id: r["__cid"] for r in keyed.collect()}
+    assert own[1] == own[3] != own[2] and own[4] != own[1] and own[5] is None
+    assert sorted((r.least, r.weight) for r in classes.collect()) == [(1, 2), (2, 1), (4, 1)]
