@@ -2,8 +2,9 @@
 
 The network reads windows of bytes forwards and backwards and labels every
 position; a document's probabilities are the mean over all its positions.
-It is trained in numpy by backpropagation through time on a bounded sample of
-labelled documents (SAMPLE); every byte of every document is scored. Scoring
+It is trained in numpy by backpropagation through time on windows of a bounded
+sample of labelled documents (SAMPLE documents, CUT windows of SPAN bytes from
+all over each); every byte of every document is scored. Scoring
 advances thousands of windows in step, so each numpy call does much work.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
@@ -13,6 +14,8 @@ extra columns pass through.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +25,10 @@ from citeloom.llm.arrow import pieces, release, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 HIDDEN, WINDOW, LANES = 8, 128, 2048
-#: Labelled documents to learn from, training steps, windows of a step and their bytes.
-SAMPLE, STEPS, BATCH, SPAN = 3_000, 260, 192, 48
+#: Labelled documents to learn from, and windows of each that executors cut out.
+SAMPLE, CUT = 3_000, 8
+#: Training steps, windows of a step and their bytes.
+STEPS, BATCH, SPAN = 260, 192, 48
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,51 +66,57 @@ def run_direction(side: dict, steps: np.ndarray, keep: list | None = None) -> li
     return states
 
 
+def gradients(model: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    """The mean loss of all positions of windows x (time x lanes) in languages y, and its gradients by weight."""
+    lanes = np.arange(len(y))
+    cache: dict[str, list] = {"f": [], "b": []}
+    hf = np.stack(run_direction(model["f"], x, cache["f"]))
+    hb = np.stack(run_direction(model["b"], x[::-1], cache["b"])[::-1])
+    logits = model["f"]["w"] @ hf + model["b"]["w"] @ hb + model["bias"]
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float(-np.log(p[:, y, lanes]).mean())
+    p[:, y, lanes] -= 1
+    p /= p.shape[0] * len(y)
+    grads = {("f", "w"): np.einsum("tln,thn->lh", p, hf), ("b", "w"): np.einsum("tln,thn->lh", p, hb), "bias": p.sum(axis=(0, 2))[:, None]}
+    for side in "fb":
+        s = model[side]
+        out = s["w"].T @ (p if side == "f" else p[::-1])
+        seq = x if side == "f" else x[::-1]
+        table, u, dh = np.zeros_like(s["table"]), np.zeros_like(s["u"]), np.zeros((HIDDEN, len(y)), "f4")
+        for t in reversed(range(len(x))):
+            h, z, r, rh, c = cache[side][t]
+            d = out[t] + dh
+            dc = d * (1 - z) * (1 - c * c)
+            drh = s["u"][2 * HIDDEN :].T @ dc
+            dz, dr = d * (h - c) * z * (1 - z), drh * h * r * (1 - r)
+            gates = np.concatenate([dz, dr])
+            dh = d * z + drh * r + s["u"][: 2 * HIDDEN].T @ gates
+            u[: 2 * HIDDEN] += gates @ h.T
+            u[2 * HIDDEN :] += dc @ rh.T
+            np.add.at(table, seq[t], np.concatenate([gates, dc]).T)
+        grads |= {(side, "table"): table, (side, "u"): u}
+    return loss, grads
+
+
 def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 1) -> dict:
     """windows: n x SPAN bytes, labels: n numbers. Adam on the mean loss of all positions."""
     model, rng = new_model(languages, seed), np.random.default_rng(seed)
-    names = [(s, k) for s in "fb" for k in ("table", "u", "w")]
-    moments = {k: (np.zeros_like(model[k[0]][k[1]]), np.zeros_like(model[k[0]][k[1]])) for k in names}
-    bias_moments = (np.zeros_like(model["bias"]), np.zeros_like(model["bias"]))
+    weights = {(s, k): model[s][k] for s in "fb" for k in ("table", "u", "w")} | {"bias": model["bias"]}
+    moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in weights.items()}
     share = np.bincount(labels, minlength=len(languages)).astype("f8")
     chance = 1 / share[labels]
     chance /= chance.sum()
     for step in range(1, steps + 1):
         pick = rng.choice(len(windows), BATCH, p=chance)
-        x, y = windows[pick].T, labels[pick]
-        cache: dict[str, list] = {"f": [], "b": []}
-        states = {"f": run_direction(model["f"], x, cache["f"]), "b": run_direction(model["b"], x[::-1], cache["b"])[::-1]}
-        hf, hb = np.stack(states["f"]), np.stack(states["b"])
-        logits = model["f"]["w"] @ hf + model["b"]["w"] @ hb + model["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[:, y, np.arange(BATCH)] -= 1
-        p /= p.shape[0] * BATCH
-        grads = {("f", "w"): np.einsum("tln,thn->lh", p, hf), ("b", "w"): np.einsum("tln,thn->lh", p, hb)}
-        for side in "fb":
-            s = model[side]
-            out = s["w"].T @ (p if side == "f" else p[::-1])
-            seq = x if side == "f" else x[::-1]
-            table, u, dh = np.zeros_like(s["table"]), np.zeros_like(s["u"]), np.zeros((HIDDEN, BATCH), "f4")
-            for t in reversed(range(len(x))):
-                h, z, r, rh, c = cache[side][t]
-                d = out[t] + dh
-                dc = d * (1 - z) * (1 - c * c)
-                drh = s["u"][2 * HIDDEN :].T @ dc
-                dz, dr = d * (h - c) * z * (1 - z), drh * h * r * (1 - r)
-                gates = np.concatenate([dz, dr])
-                dh = d * z + drh * r + s["u"][: 2 * HIDDEN].T @ gates
-                u[: 2 * HIDDEN] += gates @ h.T
-                u[2 * HIDDEN :] += dc @ rh.T
-                np.add.at(table, seq[t], np.concatenate([gates, dc]).T)
-            grads |= {(side, "table"): table, (side, "u"): u}
+        _, grads = gradients(model, windows[pick].T, labels[pick])
         rate = 0.03 * min(1, 2 * (1 - step / (steps + 1)))
-        updates = [(*moments[k], grads[k], model[k[0]][k[1]]) for k in names]
-        for m, v, g, target in [*updates, (*bias_moments, p.sum(axis=(0, 2))[:, None], model["bias"])]:
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            target -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype("f4")
+        for k, w in weights.items():
+            m, v = moments[k]
+            m += 0.1 * (grads[k] - m)
+            v += 0.01 * (grads[k] * grads[k] - v)
+            w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype("f4")
     return model
 
 
@@ -189,30 +200,41 @@ def document_probabilities(model: dict, column: pa.Array) -> np.ndarray:
     return out / np.maximum(size, 1)[:, None]
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """A bounded sample of rows to learn from: text and lang of documents outside the held-out fifth."""
+def training_windows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang and windows (CUT x SPAN bytes) of a bounded sample of documents outside the held-out fifth.
+
+    Executors cut the windows, so that no text goes to the driver. A shorter
+    text repeats in its windows.
+    """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labelled = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held)
     keys = F.broadcast(sampled_keys(labelled, "doc_id", sample))  # at most `sample` longs
-    rows = labelled.filter("text IS NOT NULL AND text != ''").join(keys, "doc_id", "left_semi")
+    rows = labelled.filter("text IS NOT NULL AND text != ''").join(keys, "doc_id", "left_semi").select("doc_id", "lang", "text")
+
+    def run(batches):
+        for batch in pieces(batches, "text", 4 << 20):
+            raw, at = utf8_bytes(batch.column("text"))
+            cut = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                rng = np.random.default_rng(zlib.crc32(raw[a:b]))
+                own = [raw[a + i : min(b, a + i + SPAN)] for i in rng.integers(0, max(1, b - a - SPAN + 1), CUT).tolist()]
+                cut.append(b"".join(np.resize(x, SPAN).tobytes() for x in own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(cut, pa.binary())], names=["doc_id", "lang", "windows"])
+
+    found = rows.mapInArrow(tidy(run), "doc_id long, lang string, windows binary")
     # Rows that share a doc_id count once.
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).orderBy("doc_id").select("r.text", "r.lang")
+    return found.groupBy("doc_id").agg(F.min(F.struct("windows", "lang")).alias("r")).orderBy("doc_id").select("r.windows", "r.lang")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> dict | None:
-    """A model from training_rows, or None if there are none."""
-    rows = training_rows(docs, sample).collect()
+    """A model from training_windows, or None if there are none."""
+    rows = training_windows(docs, sample).collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
-    rng, windows, labels = np.random.default_rng(seed), [], []
-    for r in rows:
-        raw = np.frombuffer(r["text"].encode(), np.uint8)
-        for at in rng.integers(0, max(1, len(raw) - SPAN + 1), 8):
-            own = raw[at : at + SPAN]
-            windows.append(own if len(own) == SPAN else np.resize(own, SPAN))
-            labels.append(languages.index(r["lang"]))
-    model = train(np.stack(windows), np.array(labels), languages, seed=seed)
+    windows = np.frombuffer(b"".join(r["windows"] for r in rows), np.uint8).reshape(-1, SPAN)
+    labels = np.repeat([languages.index(r["lang"]) for r in rows], CUT)
+    model = train(windows, labels, languages, seed=seed)
     release()
     return model
 

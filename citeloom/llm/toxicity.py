@@ -14,7 +14,7 @@ them distinct; numpy hashes their n-grams.
 
 Defined results: a null text is empty; a text without letters or digits has
 the score of a segment without words (the bias); without labelled rows of
-both kinds all scores are 0; repeated rows score alike; extra columns pass.
+both kinds (of LONGEST bytes or less) all scores are 0; repeated rows score alike; extra columns pass.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from citeloom.llm.arrow import compact_text, pieces, release, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
 
 BUCKETS, DIM, SEGMENT, GRAMS = 1 << 16, 8, 6, (3, 4, 5)
-#: Clean and toxic labelled documents to learn from at most; training steps, documents of a step, and weight decay.
-SAMPLE, STEPS, BATCH, DECAY = (4_000, 2_000), 240, 128, 1e-5
+#: Clean and toxic labelled documents to learn from at most, and the bytes of the longest of them.
+SAMPLE, LONGEST = (4_000, 2_000), 32_768
+#: Training steps, documents of a step, and weight decay.
+STEPS, BATCH, DECAY = 240, 128, 1e-5
 SIT_OUT = 0.3
 #: A document's score from which it counts as toxic.
 THRESHOLD = 0.7
@@ -47,6 +49,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(per)), per)
     again = np.append(False, (codes[1:] == codes[:-1]) & (row[1:] == row[:-1]))[: len(codes)]
+    again |= pc.equal(coded, "").to_numpy(zero_copy_only=False).astype(bool)  # a text without words splits into an empty one
     return codes[~again], coded.dictionary, per - np.bincount(row[again], minlength=len(per))
 
 
@@ -143,7 +146,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, batch: int =
         e = np.exp(heat * (logit - top[doc]))
         total = np.add.reduceat(e, doc_at)
         level = top + np.log(total / count) / heat * (1 - step / steps)
-        error = (1 / (1 + np.exp(-level)) - toxic[docs]) * np.where(toxic[docs] == 1, 0.5, 1.5) / len(docs)
+        error = (1 / (1 + np.exp(-level)) - toxic[docs]) / len(docs)
         dlogit = error[doc] * e / total[doc]
         dboth = np.stack([-dlogit, dlogit], axis=1)
         dmean = (dboth @ out.T) / SEGMENT
@@ -177,15 +180,15 @@ def held_out() -> "F.Column":
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, steps: int = STEPS) -> dict | None:
-    """A model from at most `sample` clean and toxic documents outside the held-out third.
+    """A model from at most `sample` clean and toxic documents outside the held-out third, of LONGEST bytes at most.
 
-    Labels that contradict one another for a document are left out.
+    So the driver never gets more than that many bytes. Labels that contradict one another for a document are left out.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
-    found = []
+    docs, found = docs.filter(F.octet_length("text") <= LONGEST), []
     for toxic in (0, 1):
         keys = F.broadcast(sampled_keys(marks.filter(F.col("toxic") == toxic), "doc_id", sample[toxic]))  # at most that many longs
-        rows = docs.filter("text IS NOT NULL").join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows = docs.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         found += rows.orderBy("doc_id").select("text", F.lit(toxic).alias("toxic")).collect()
     if len({r["toxic"] for r in found}) < 2:
         return None
