@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Texts longer than a chunk are cut into overlapping chunks that are
-pre-tokenised in parallel. Neighbouring chunks are stitched at the first
-boundary that both report inside their overlap: matching is memoryless, so
-from a shared boundary on both see the same pre-tokens. Each chunk then
-encodes the pre-tokens between its two stitches; nobody handles a whole long
-text but the final concatenation of its ids.
+Texts longer than a chunk are cut into overlapping chunks, in one pass over
+the text, that are pre-tokenised and encoded in parallel. A chunk reports the
+pre-token boundaries in its overlaps, with the number of ids before each.
+Neighbouring chunks are stitched at the first boundary that both report:
+matching is memoryless, so from a shared boundary on both see the same
+pre-tokens. A chunk keeps its ids between its two stitches; only the cut into
+chunks and the final concatenation of ids see a whole long text.
 
 Defined results: a null text is empty, an empty text has no ids; repeated
 rows give repeated results; extra columns pass through unless they bear the
@@ -19,11 +20,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.llm.arrow import binary_array, pieces, tidy, with_columns
+from citeloom.session import written
 
 #: Characters of a chunk, and by how many a chunk reaches into the next.
 CHUNK, OVERLAP = 65_536, 4_096
@@ -62,12 +64,14 @@ class Codec(dict):
             self.clear()
         return b"".join(map(self.__getitem__, piece_list))
 
-    def boundaries(self, chunk: str) -> list[int]:
-        at, out = 0, []
-        for piece in self.pattern.findall(chunk):
-            out.append(at)
-            at += len(piece)
-        return out
+    def encode_chunk(self, chunk: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The ids of a chunk, where each pre-token begins, and the number of ids before it."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self.pattern.findall(chunk)
+        each = [self[piece] for piece in found]
+        size, ids = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found, each))
+        return b"".join(each), np.cumsum(size) - size, (np.cumsum(ids) - ids) // 4
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I").tolist()))
@@ -111,41 +115,66 @@ def encode_pieces(df: DataFrame, path: str, pattern: str, column: str = "text")
     return df.mapInArrow(tidy(run, forget), schema)
 
 
+def _chunks(df: DataFrame) -> DataFrame:
+    """__row, __k, last, chunk of texts (__row, text), cut in one pass."""
+
+    def run(batches):
+        for batch in batches:
+            for row, value in zip(batch.column("__row").to_pylist(), batch.column("text"), strict=True):
+                text = value.as_py()
+                for k, at in enumerate(range(0, len(text), CHUNK)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k], pa.int32()), pa.array([at + CHUNK >= len(text)]), pa.array([text[at : at + CHUNK + OVERLAP]])], names=["__row", "__k", "last", "chunk"])
+
+    return df.select("__row", "text").mapInArrow(tidy(run), "__row string, __k int, last boolean, chunk string")
+
+
+def joined_ids(df: DataFrame) -> DataFrame:
+    """__row and ids of parts (__row, __k, ids), one after another."""
+    listed = df.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__k", "ids"))).alias("parts")).select("__row", F.col("parts.ids").alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            whole = [b"".join(x.as_py()) for x in batch.column("parts")]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(whole, pa.binary())], names=["__row", "ids"])
+
+    return listed.mapInArrow(tidy(run), "__row string, ids binary")
+
+
 def _stitched(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids of long texts. df: __row, text, __len (characters)."""
-    chunks = df.select("__row", "__len", F.explode(F.sequence(F.lit(0), F.floor((F.col("__len") - 1) / CHUNK).cast("int"))).alias("__k"), "text")
-    chunks = chunks.select("__row", "__k", F.col("text").substr(F.col("__k") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("chunk"), (F.col("__len") <= (F.col("__k") + 1) * CHUNK).alias("last"))
-    chunks = chunks.repartition("__row", "__k")
-    keep, schema = _schema(chunks, set(), at=T.ArrayType(T.IntegerType()))
+    """Ids of long texts. df: __row, text."""
+    pairs = "array<struct<at:int,ids:int>>"
 
-    def bounds(batches):
-        c = codec(path, pattern)
-        for batch in pieces(batches, "chunk"):
-            yield with_columns(batch, keep, at=pa.array([c.boundaries(x) for x in batch.column("chunk").to_pylist()], pa.list_(pa.int32())))
-
-    w = Window.partitionBy("__row").orderBy("__k")
-    own = F.expr(f"transform(filter(at, x -> x >= {CHUNK} AND x <= length(chunk) - {UNSURE}), x -> x - {CHUNK})")
-    early = F.expr(f"filter(at, x -> x < {OVERLAP})")
-    met = chunks.mapInArrow(tidy(bounds, forget), schema).withColumn("stop", F.array_min(F.array_intersect(own, F.lead(early).over(w))))
-    met = met.withColumn("start", F.when(F.col("__k") == 0, 0).otherwise(F.lag("stop").over(w)))
-    met = met.withColumn("whole", F.bool_and(F.col("start").isNotNull() & (F.col("last") | F.col("stop").isNotNull())).over(Window.partitionBy("__row")))
-    cut = met.filter("whole").select("__row", "__k", "at", "start", F.when(F.col("last"), F.length("chunk")).otherwise(F.col("stop") + CHUNK).alias("end"), "chunk")
-    keep2, schema2 = _schema(cut, {"chunk", "at", "start", "end"}, ids=T.BinaryType())
-
-    def encode(batches):
+    def run(batches):
         c = codec(path, pattern)
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("ids", pa.int32())]))
         for batch in pieces(batches, "chunk"):
-            out = []
-            for text, at, start, end in zip(*(batch.column(x).to_pylist() for x in ("chunk", "at", "start", "end")), strict=True):
-                inside = [p for p in at if start <= p < end]
-                out.append(c.encode([text[a:b] for a, b in zip(inside, [*inside[1:], end], strict=True)] if inside else []))
-            yield with_columns(batch, keep2, ids=_blobs(out))
-
-    joined = F.expr("aggregate(array_sort(collect_list(struct(__k, ids))), cast('' AS binary), (a, x) -> concat(a, x.ids))")
-    done = cut.mapInArrow(tidy(encode, forget), schema2).groupBy("__row").agg(joined.alias("ids"))
+            ids, early, late = [], [], []
+            for chunk in batch.column("chunk").to_pylist():
+                own, at, before = c.encode_chunk(chunk)
+                first, second = at < OVERLAP, (at >= CHUNK) & (at <= len(chunk) - UNSURE)
+                ids.append(own)
+                early.append([{"at": a, "ids": n} for a, n in zip(at[first].tolist(), before[first].tolist(), strict=True)])
+                late.append([{"at": a - CHUNK, "ids": n} for a, n in zip(at[second].tolist(), before[second].tolist(), strict=True)])
+            yield with_columns(batch, ["__row", "__k", "last"], ids=_blobs(ids), early=pa.array(early, kind), late=pa.array(late, kind))
+
+    dealt = _chunks(df).repartition("__row", "__k")
+    done = written(dealt.mapInArrow(tidy(run, forget), f"__row string, __k int, last boolean, ids binary, early {pairs}, late {pairs}"), "chunks")
+    # Every chunk but the last meets the next one's early boundaries; only these short lists are joined.
+    ahead = done.select("__row", (F.col("__k") - 1).alias("__k"), "early")
+    met = done.filter("NOT last").select("__row", "__k", "late").join(ahead, ["__row", "__k"])
+    shared = F.array_min(F.array_intersect(F.col("late.at"), F.col("early.at")))
+    number = lambda side: F.try_element_at(F.col(f"{side}.ids"), F.array_position(F.col(f"{side}.at"), F.col("at")).cast("int"))
+    met = met.withColumn("at", shared).filter("at IS NOT NULL").select("__row", "__k", number("late").alias("stop"), number("early").alias("start"))
+    cut = done.select("__row", "__k", "last", "ids").join(met.select("__row", "__k", "stop"), ["__row", "__k"], "left")
+    cut = cut.join(met.select("__row", (F.col("__k") + 1).alias("__k"), "start"), ["__row", "__k"], "left")
+    start = F.when(F.col("__k") == 0, 0).otherwise(F.col("start"))
+    stop = F.when(F.col("last"), (F.octet_length("ids") / 4).cast("int")).otherwise(F.col("stop"))
+    cut = cut.select("__row", "__k", start.alias("start"), stop.alias("stop"), "ids")
+    part = F.expr("substring(ids, start * 4 + 1, greatest(stop - start, 0) * 4)")
     # A run without a shared boundary in some overlap: its text is encoded in one piece.
-    rest = df.join(met.filter("NOT whole").select("__row").distinct(), "__row", "left_semi").select("__row", "text")
-    return done.unionByName(encode_pieces(rest, path, pattern))
+    torn = cut.filter("start IS NULL OR stop IS NULL").select("__row").distinct()
+    whole = joined_ids(cut.join(torn, "__row", "left_anti").select("__row", "__k", part.alias("ids")))
+    return whole.unionByName(encode_pieces(df.join(torn, "__row", "left_semi").select("__row", "text"), path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
@@ -155,7 +184,7 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text") -> Data
     long = df.filter(size > CHUNK)
     # Long texts with equal bytes share one encoding, keyed by two hashes and the length.
     key = F.concat_ws("-", F.sha2(F.encode(column, "utf-8"), 256), size)
-    texts = long.select(key.alias("__row"), F.col(column).alias("text"), size.alias("__len")).dropDuplicates(["__row"])
+    texts = long.select(key.alias("__row"), F.col(column).alias("text")).dropDuplicates(["__row"])
     ids = _stitched(texts, path, pattern)
     rest = [c for c in df.columns if c not in (column, "ids")]
     joined = long.withColumn("__row", key).select("__row", *rest).join(ids, "__row").select(*rest, "ids")
