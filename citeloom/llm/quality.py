@@ -1,18 +1,22 @@
 """Quality scores by co-training of a text view and a page-metadata view.
 
-The text view sees hashed byte trigrams. The page view sees what a crawler
-knows about a page without reading it: source, language tag, size, line
-structure and shares of kinds of characters. Both start from labelled
-documents; in each round each view labels the unlabelled documents it is most
-confident about, in the proportion of the classes, for the other. At the end
-each view is calibrated (Platt) on labelled documents it was not trained on,
-and the calibrated log-odds are averaged.
-
-Features are made on the executors; the driver trains on a bounded sample of
-labelled and unlabelled documents (SAMPLE). Every whole document is scored.
-
-Defined results: null and empty texts have zero text features; null source and
-lang are values of their own; without labels of both kinds all scores are 0.5;
+The text view sees the whole text and nothing else: hashed byte trigrams, sizes
+of lines and words, shares of kinds of bytes.
+The page view never sees the text: it has the page's record, that is source,
+language tag, the size it was crawled with, and source and language together.
+Both start from labelled documents; in each round each view labels the
+documents of the whole corpus that it is most confident about, in the
+proportion of the classes, for the other. Confidence is calibrated (Platt) on
+labelled documents that no view is trained on, so a view that knows little
+teaches nothing. At the end the views' calibrated log-odds are averaged.
+
+Executors make features and, in each round, score all unlabelled documents; a
+view's most confident ones are found by a bounded sort (EXCHANGED a round), so
+what the driver trains on is bounded: labelled documents (SAMPLE) and those
+exchanged. Every whole document is scored.
+
+Defined results: null and empty texts have zero text features; null source,
+lang and n_chars (or tables without them) are values of their own; without labels of both kinds all scores are 0.5;
 repeated rows score alike; extra columns pass through.
 """
 
@@ -27,15 +31,21 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.arrow import binary_array, pieces, tidy, utf8_bytes
 from citeloom.llm.sampling import sampled_keys
+from citeloom.session import written
 
 BUCKETS, HASHED = 2048, 24
-#: Labelled and unlabelled documents at most; rounds, documents exchanged in a round, gradient steps.
-SAMPLE, ROUNDS, EXCHANGED, STEPS = (2_500, 3_000), 4, 200, 150
+#: Labelled documents at most; rounds, documents a view labels in a round, gradient steps.
+SAMPLE, ROUNDS, EXCHANGED, STEPS = 2_500, 2, 400, 150
+#: Calibrated log-odds from which a view is sure (nine to one).
+SURE = 2.2
 #: Kinds of bytes: letters in either case, digits, space, line ends, stops, other ASCII, beyond ASCII.
 KINDS = np.full(256, 6, np.int8)
 KINDS[97:123], KINDS[65:91], KINDS[48:58], KINDS[32], KINDS[10], KINDS[128:] = 0, 1, 2, 3, 4, 7
 KINDS[[33, 44, 46, 58, 59, 63]] = 5
-N_PAGE = 1 + 8 + 4 + 2 * HASHED
+N_TEXT = BUCKETS + 13
+#: Values of source, of lang and of both together (hashed), and of the size in powers of two.
+SIZES = 24
+N_PAGE = 2 * HASHED + 4 * HASHED + SIZES
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -44,6 +54,16 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each text its size, shares of kinds of bytes and of repeated bytes, sizes of lines and words."""
+    n = np.diff(at)
+    safe = np.maximum(n, 1)
+    kind, lines, words = KINDS[raw], _sums(raw == 10, at) + 1, _sums(raw == 32, at) + 1
+    same = np.append(False, raw[1:] == raw[:-1])[: len(raw)]
+    columns = [np.log1p(n) / 10, *(_sums(kind == k, at) / safe for k in range(8)), np.log1p(lines) / 5, np.log1p(n / lines) / 10, n / words / 20, _sums(same, at) / safe]
+    return np.stack(columns, axis=1).astype(np.float32)
+
+
 def trigrams(raw: np.ndarray) -> np.ndarray:
     """Buckets of the trigram at each byte but the last two."""
     x = raw.astype(np.uint32)
@@ -61,34 +81,27 @@ def _inside(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def page_features(batch: pa.RecordBatch) -> np.ndarray:
-    """One row of page features for each document."""
-    raw, at = utf8_bytes(batch.column("text"))
-    n = np.diff(at)
-    safe = np.maximum(n, 1)
-    out = np.zeros((len(n), N_PAGE), np.float32)
-    out[:, 0] = np.log1p(n) / 10
-    kind = KINDS[raw]
-    for k in range(8):
-        out[:, 1 + k] = _sums(kind == k, at) / safe
-    lines = _sums(raw == 10, at) + 1
-    words = _sums(raw == 32, at) + 1
-    out[:, 9], out[:, 10], out[:, 11] = np.log1p(lines) / 5, np.log1p(n / lines) / 10, n / words / 20
-    same = np.append(False, raw[1:] == raw[:-1])
-    out[:, 12] = _sums(same, at) / safe
-    for j, name in enumerate(("source", "lang")):
-        values = batch.column(name).to_pylist() if name in batch.schema.names else [None] * len(n)
-        buckets = np.array([zlib.crc32(str(v).encode()) % HASHED for v in values], np.int64)
-        out[np.arange(len(n)), 13 + j * HASHED + buckets] = 1
+    """One row of page features for each document: what its record says, without its text."""
+    n = batch.num_rows
+    of = lambda name: batch.column(name).to_pylist() if name in batch.schema.names else [None] * n
+    bucket = lambda value, size: zlib.crc32(repr(value).encode()) % size
+    out, row = np.zeros((n, N_PAGE), np.float32), np.arange(n)
+    source, lang = of("source"), of("lang")
+    known = {pair: (bucket(pair[0], HASHED), HASHED + bucket(pair[1], HASHED), 2 * HASHED + bucket(pair, 4 * HASHED)) for pair in set(zip(source, lang, strict=True))}
+    for columns in np.array([known[pair] for pair in zip(source, lang, strict=True)], np.int64).reshape(n, 3).T:
+        out[row, columns] = 1
+    out[row, 6 * HASHED + np.array([0 if v is None else min(SIZES - 1, 1 + int(v).bit_length()) for v in of("n_chars")], np.int64)] = 1
     return out
 
 
 def text_features(column: pa.Array) -> np.ndarray:
-    """One row of square-rooted trigram shares for each document."""
+    """One row of square-rooted trigram shares and of statistics for each document."""
     raw, at = utf8_bytes(column)
     n, gram, ok = len(column), trigrams(raw).astype(np.int64), _inside(raw, at)
     row = np.repeat(np.arange(n), np.diff(at))[: len(gram)]
     counts = np.bincount(row[ok] * BUCKETS + gram[ok], minlength=n * BUCKETS).reshape(n, BUCKETS)
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    shares = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    return np.concatenate([shares, statistics(raw, at)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float = 1e-4) -> np.ndarray:
@@ -111,49 +124,61 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(1e-3, float(a)) / scale, float(b)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> list[dict]:
-    """Weights and calibration of both views. y: 0, 1, or -1 for unlabelled rows."""
-    known = np.flatnonzero(y >= 0)
-    aside = known[::5]  # for calibration
-    base = np.setdiff1d(known, aside)
+def split_known(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to learn from and rows for calibration."""
+    rows = np.arange(len(y))
+    aside = rows[::5]
+    base = np.setdiff1d(rows, aside)
     if len(np.unique(y[base])) < 2 or len(np.unique(y[aside])) < 2:
-        base = aside = known
-    taught = [y.copy(), y.copy()]
-    rows = [base, base]
+        return rows, rows
+    return base, aside
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, exchange, rounds: int = ROUNDS) -> list[dict]:
+    """Weights and calibration of both views, learnt from labelled rows (features of each view, and y).
+
+    exchange(models, share) names what each view is most sure about in the
+    corpus: for each view the other view's features of those documents and the
+    labels it gives them. A document is labelled once at most.
+    """
+    base, aside = split_known(y)
+    x, taught = [v[base] for v in views], [y[base], y[base]]
     share = float((y[base] == 1).mean())
-    free = np.flatnonzero(y < 0)
-    weights = [logistic(v[r], t[r]) for v, r, t in zip(views, rows, taught, strict=True)]
+
+    def learnt() -> list[dict]:
+        out = []
+        for view, own, labels in zip(views, x, taught, strict=True):
+            w = logistic(own, labels)
+            a, b = platt(view[aside] @ w[:-1] + w[-1], y[aside])
+            out.append({"w": w, "a": a, "b": b})
+        return out
+
+    models = learnt()
     for _ in range(rounds):
-        if not len(free):
-            break
-        gone = []
-        for view, other in ((0, 1), (1, 0)):
-            logit = views[view][free] @ weights[view][:-1] + weights[view][-1]
-            order = np.argsort(logit, kind="stable")
-            n = min(exchanged, len(free) // 4)
-            high = max(1, round(n * share)) if n else 0
-            low = n - high
-            for picked, label in ((order[len(order) - high :], 1), (order[:low], 0)):
-                sure = picked[logit[picked] > 0] if label else picked[logit[picked] < 0]
-                taught[other][free[sure]] = label
-                rows[other] = np.union1d(rows[other], free[sure])
-                gone.append(free[sure])
-        free = np.setdiff1d(free, np.concatenate(gone))
-        weights = [logistic(v[r], t[r]) for v, r, t in zip(views, rows, taught, strict=True)]
-    out = []
-    for view, w in zip(views, weights, strict=True):
-        a, b = platt(view[aside] @ w[:-1] + w[-1], y[aside])
-        out.append({"w": w, "a": a, "b": b})
-    return out
+        for view, (features, labels) in enumerate(exchange(models, share)):
+            other = 1 - view
+            if len(labels):
+                x[other] = np.concatenate([x[other], features])
+                taught[other] = np.concatenate([taught[other], labels])
+        models = learnt()
+    return models
 
 
 def held_out() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+RECORD = ("source", "lang", "n_chars")
+
+
+def _with_record(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of the page's record; those that docs lacks are null."""
+    return docs.select("doc_id", "text", *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in RECORD])
+
+
 def sampled_features(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id, text_view, page_view (binary) of the documents with these keys (a bounded number)."""
-    rows = docs.join(F.broadcast(keys), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang")).alias("r")).select("doc_id", "r.*")
+    rows = _with_record(docs).join(F.broadcast(keys), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *RECORD)).alias("r")).select("doc_id", "r.*")
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
@@ -165,19 +190,75 @@ def sampled_features(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id long, text_view binary, page_view binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> list[dict] | None:
-    """Both views' models from labels outside the held-out third and from unlabelled documents."""
+def _collected(docs: DataFrame, ids: list[int]) -> tuple[list[int], list[np.ndarray]]:
+    """The ids found and both views' features, in the order of ids."""
+    keys = docs.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long")
+    rows = sampled_features(docs, keys).orderBy("doc_id").collect()
+    views = [np.stack([np.frombuffer(r[k], np.float32) for r in rows]) if rows else np.zeros((0, n), np.float32) for k, n in (("text_view", N_TEXT), ("page_view", N_PAGE))]
+    return [r["doc_id"] for r in rows], views
+
+
+def view_logits(batch: pa.RecordBatch, weights: list[np.ndarray]) -> np.ndarray:
+    """The logits of both views for every document of a batch."""
+    n, w = batch.num_rows, weights[0]
+    raw, at = utf8_bytes(batch.column("text"))
+    # The square root keeps the sum from being linear in the bytes: count each text's trigrams.
+    gram, ok = trigrams(raw).astype(np.int64), _inside(raw, at)
+    row = np.repeat(np.arange(n), np.diff(at))[: len(gram)]
+    key, count = np.unique(row[ok] * BUCKETS + gram[ok], return_counts=True)
+    doc = key // BUCKETS
+    total = np.maximum(np.bincount(row[ok], minlength=n), 1)
+    odds = np.zeros((2, n))
+    odds[0] = np.bincount(doc, np.sqrt(count / total[doc]) * w[key % BUCKETS], n) + statistics(raw, at) @ w[BUCKETS:-1] + w[-1]
+    odds[1] = page_features(batch) @ weights[1][:-1] + weights[1][-1]
+    return odds
+
+
+def log_odds(batch: pa.RecordBatch, models: list[dict]) -> np.ndarray:
+    """The calibrated log-odds of both views."""
+    slope, offset = (np.array([[m[k]] for m in models]) for k in "ab")
+    return view_logits(batch, [m["w"] for m in models]) * slope + offset
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> list[dict] | None:
+    """Both views' models from labels outside the held-out third and from the unlabelled documents."""
     marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
-    few = [sampled_keys(marks.filter(F.col("quality") == k), "doc_id", sample[0] * (1 + k) // 3) for k in (0, 1)]
+    few = [sampled_keys(marks.filter(F.col("quality") == k), "doc_id", sample * (1 + k) // 3) for k in (0, 1)]
     truth = {r["doc_id"]: k for k in (0, 1) for r in few[k].collect()}
-    if len(set(truth.values())) < 2:
+    ids, views = _collected(docs, list(truth))
+    y = np.array([truth[i] for i in ids], np.int64)
+    if len(np.unique(y)) < 2:
         return None
-    spare = docs.sparkSession.createDataFrame([(k,) for k in truth], "doc_id long")
-    free = sampled_keys(docs.select("doc_id").filter(~held_out()), "doc_id", sample[1])
-    rows = sampled_features(docs, spare.unionByName(free).distinct()).orderBy("doc_id").collect()
-    text, page = (np.stack([np.frombuffer(r[k], np.float32) for r in rows]) if rows else np.zeros((0, 1), np.float32) for k in ("text_view", "page_view"))
-    y = np.array([truth.get(r["doc_id"], -1) for r in rows])
-    return co_train([text, page], y) if len(np.unique(y[y >= 0])) == 2 else None
+    marked = labels.filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    free = _with_record(docs).filter("doc_id IS NOT NULL").filter(~held_out())
+    used: set[int] = set()
+
+    def exchange(models, share):
+        def run(batches):
+            for batch in pieces(batches, "text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, log_odds(batch, models))], names=["doc_id", "text_logit", "page_logit"])
+
+        scored = free.mapInArrow(tidy(run), "doc_id long, text_logit double, page_logit double")
+        logits = written(scored.join(marked, "doc_id", "left_anti"), "logits")
+        high, picked = max(1, round(exchanged * share)), []
+        for name in ("text_logit", "page_logit"):
+            # Bounded sorts: every task sends its best rows only. Some more, as others may have been used.
+            best = {1: logits.filter(f"{name} > {SURE}").orderBy(F.desc(name), "doc_id"), 0: logits.filter(f"{name} < -{SURE}").orderBy(F.asc(name), "doc_id")}
+            own: dict[int, int] = {}
+            for label, size in ((1, high), (0, exchanged - high)):
+                rows = best[label].select("doc_id").limit(size + len(used) + len(own)).collect()
+                fresh = [i for i in dict.fromkeys(r["doc_id"] for r in rows) if i not in used and i not in own]
+                own |= dict.fromkeys(fresh[:size], label)
+            used.update(own)
+            picked.append(own)
+        found, features = _collected(docs, [*picked[0], *picked[1]])
+        out = []
+        for view, own in enumerate(picked):
+            at = [i for i, k in enumerate(found) if k in own]
+            out.append((features[1 - view][at], np.array([own[found[i]] for i in at], np.int64)))
+        return out
+
+    return co_train(views, y, exchange, rounds)
 
 
 def score(docs: DataFrame, models: list[dict] | None) -> DataFrame:
@@ -190,21 +271,7 @@ def score(docs: DataFrame, models: list[dict] | None) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches, "text", 4 << 20):
-            n = batch.num_rows
-            odds = np.zeros((2, n))
-            if models:
-                raw, at = utf8_bytes(batch.column("text"))
-                w = models[0]["w"]
-                # The square root keeps the sum from being linear in the bytes: count each text's trigrams.
-                gram, ok = trigrams(raw).astype(np.int64), _inside(raw, at)
-                row = np.repeat(np.arange(n), np.diff(at))[: len(gram)]
-                key, count = np.unique(row[ok] * BUCKETS + gram[ok], return_counts=True)
-                doc = key // BUCKETS
-                total = np.maximum(np.bincount(row[ok], minlength=n), 1)
-                odds[0] = np.bincount(doc, np.sqrt(count / total[doc]) * w[key % BUCKETS], n) + w[-1]
-                odds[1] = page_features(batch) @ models[1]["w"][:-1] + models[1]["w"][-1]
-                for k in (0, 1):
-                    odds[k] = models[k]["a"] * odds[k] + models[k]["b"]
+            odds = log_odds(batch, models) if models else np.zeros((2, batch.num_rows))
             each = [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (odds[0], odds[1], odds.mean(axis=0))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *map(pa.array, each)], names=[*keep, *new])
 
@@ -214,7 +281,7 @@ def score(docs: DataFrame, models: list[dict] | None) -> DataFrame:
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     """The quality score of every document, and what either view says."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels))
+    scored = score(docs.select("doc_id", "text", *RECORD), fit(docs, labels))
     return scored.select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
