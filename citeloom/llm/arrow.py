@@ -65,6 +65,15 @@ def binary_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
 
 
+def blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column and the size of each value."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], np.diff(at)
+
+
 def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array, with the offsets of its rows; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())

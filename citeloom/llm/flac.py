@@ -21,14 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.arrow import binary_array, pieces, tidy, utf8_bytes
+from citeloom.llm.arrow import binary_array, blob, pieces, tidy, utf8_bytes, with_columns
 
 BLOCK, RATE, LPC_ORDER, PRECISION = 4096, 8000, 4, 10
-#: Bytes of files that a task decodes in step.
+#: Bytes of files that a task decodes in step; longer payloads and files are worked on in sections.
 STEP_BYTES = 2 << 20
 
 
@@ -129,8 +130,8 @@ def _linear(x: np.ndarray, t: np.ndarray, starts: np.ndarray, size: np.ndarray):
 MEANS = np.array([2.0**k * 1.4427 for k in range(14)])
 
 
-def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A FLAC file (mono, 8 bits) for each run of bytes; sizes are 1 or more."""
+def _frames(payload: np.ndarray, sizes: np.ndarray, begun: int = 0) -> tuple[list[bytes], np.ndarray]:
+    """Frames of all runs of bytes, one after another, and how many each run has; begun: frames before them in their file."""
     x = payload.astype(np.int32) - 128
     count = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(sizes)), count)
@@ -159,7 +160,7 @@ def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     k = np.choose(np.minimum(choice, 3), params)
     heads, prefix = [], []
     for i, (kind, n, num, at) in enumerate(zip(choice.tolist(), size.tolist(), number.tolist(), first.tolist(), strict=True)):
-        code = b"\xff\xf8" + bytes([0xC0 if n == BLOCK else 0x70, 0x02]) + coded_number(num) + (b"" if n == BLOCK else (n - 1).to_bytes(2, "big"))
+        code = b"\xff\xf8" + bytes([0xC0 if n == BLOCK else 0x70, 0x02]) + coded_number(begun + num) + (b"" if n == BLOCK else (n - 1).to_bytes(2, "big"))
         heads.append(code + bytes([crc8(code)]))
         if kind == 5:
             prefix.append(f"00000000{int(low[i]) & 255:08b}")
@@ -208,23 +209,42 @@ def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         frames.append(head + packed[a:b].tobytes())
     lengths = np.fromiter(map(len, frames), np.int64, len(frames))
     crc = crc16(np.frombuffer(b"".join(frames), np.uint8), np.cumsum(lengths) - lengths, lengths)
-    frames = [f + int(c).to_bytes(2, "big") for f, c in zip(frames, crc, strict=True)]
-    lengths += 2
-    out, i, signed, at = [], 0, x.astype(np.int8).tobytes(), 0
+    return [f + int(c).to_bytes(2, "big") for f, c in zip(frames, crc, strict=True)], count
+
+
+def _file(frames: list[bytes], n: int, md5: bytes) -> bytes:
+    """Metadata (with a seek point for each frame) and frames of n samples."""
+    lengths = list(map(len, frames))
+    block = max(16, min(BLOCK, n)) if len(frames) == 1 else BLOCK
+    info = block.to_bytes(2, "big") * 2 + min(lengths).to_bytes(3, "big") + max(lengths).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | n).to_bytes(8, "big") + md5
+    seek, offset = [], 0
+    for j, length in enumerate(lengths):
+        seek.append((j * BLOCK).to_bytes(8, "big") + offset.to_bytes(8, "big") + min(BLOCK, n - j * BLOCK).to_bytes(2, "big"))
+        offset += length
+    table = b"".join(seek)
+    return b"".join([b"fLaC\x00", len(info).to_bytes(3, "big"), info, b"\x83", len(table).to_bytes(3, "big"), table, *frames])
+
+
+def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A FLAC file (mono, 8 bits) for each run of bytes; sizes are 1 or more."""
+    frames, count = _frames(payload, sizes)
+    out, i, signed, at = [], 0, (payload ^ np.uint8(128)).tobytes(), 0
     for n, c in zip(sizes.tolist(), count.tolist(), strict=True):
-        own, smallest, largest = frames[i : i + c], int(lengths[i : i + c].min()), int(lengths[i : i + c].max())
-        block = max(16, min(BLOCK, n)) if c == 1 else BLOCK
-        info = block.to_bytes(2, "big") * 2 + smallest.to_bytes(3, "big") + largest.to_bytes(3, "big") + (RATE << 44 | 7 << 36 | n).to_bytes(8, "big") + hashlib.md5(signed[at : at + n]).digest()
-        seek, offset = [], 0
-        for j, f in enumerate(own):
-            seek.append((j * BLOCK).to_bytes(8, "big") + offset.to_bytes(8, "big") + min(BLOCK, n - j * BLOCK).to_bytes(2, "big"))
-            offset += len(f)
-        table = b"".join(seek)
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(own))
+        out.append(_file(frames[i : i + c], n, hashlib.md5(signed[at : at + n]).digest()))
         i, at = i + c, at + n
     return out
 
 
+def encode_long(payload: np.ndarray) -> bytes:
+    """The same file for one long run, made section by section."""
+    frames, digest, step = [], hashlib.md5(), STEP_BYTES // BLOCK * BLOCK
+    for at in range(0, len(payload), step):
+        part = payload[at : at + step]
+        frames += _frames(part, np.array([len(part)]), len(frames))[0]
+        digest.update((part ^ np.uint8(128)).tobytes())
+    return _file(frames, len(payload), digest.digest())
+
+
 # ---------------------------------------------------------------- decoding
 
 
@@ -495,6 +515,47 @@ def pcm(samples: np.ndarray, depth: int) -> bytes:
     return (samples + (1 << (depth - 1))).astype(np.uint8).tobytes() if depth <= 8 else signed_bytes(samples, depth)
 
 
+def all_listed(s: Stream) -> bool:
+    """Whether the seek table has every frame."""
+    return bool(s.seek) and s.seek[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(s.seek, s.seek[1:], strict=False)) and s.seek[-1][0] + s.seek[-1][2] == s.samples
+
+
+def decode_long(file: bytes) -> tuple[list[tuple[int, bytes]], str | None]:
+    """As decode() for one long file, section by section if its seek table has every frame."""
+    try:
+        s = parse_stream(file)
+    except FlacError as e:
+        return [], str(e)
+    if not all_listed(s):
+        return decode([file])[0]
+    points = [(p[0], s.begin + p[1]) for p in s.seek]
+    blocks, digest, samples, first = [], hashlib.md5(), 0, 0
+    while first < len(points):
+        last = first + 1
+        while last < len(points) and points[last][1] - points[first][1] < STEP_BYTES:
+            last += 1
+        low, high = points[first][1], points[last][1] if last < len(points) else len(file)
+        bits, errors, size = Bits(np.frombuffer(file[low:high], np.uint8)), [None], high - low
+        try:
+            frames = [parse_header(bits, at - low, 0, s, size) for _, at in points[first:last]]
+        except FlacError as e:
+            return [], str(e)
+        frames, starts = _decode_frames(bits, frames, [p[0] for p in points[first:last]], errors, np.array([size]))
+        if errors[0]:
+            return [], errors[0]
+        for f, sample in zip(frames, starts, strict=True):
+            own = _finish(f)
+            samples += len(own)
+            digest.update(signed_bytes(own, s.depth))
+            blocks.append((sample, pcm(own, s.depth)))
+        first = last
+    if s.samples and samples != s.samples * s.channels:
+        return [], "samples are missing"
+    if any(s.md5) and digest.digest() != s.md5:
+        return [], "stream checksum"
+    return blocks, None
+
+
 def decode(files: list[bytes]) -> list[tuple[list[tuple[int, bytes]], str | None]]:
     """For each file its blocks (sample offset, PCM) and None, or no blocks and what is wrong."""
     sizes = np.fromiter(map(len, files), np.int64, len(files))
@@ -509,9 +570,8 @@ def decode(files: list[bytes]) -> list[tuple[list[tuple[int, bytes]], str | None
         try:
             s = parse_stream(file)
             streams.append(s)
-            listed = s.seek and s.seek[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(s.seek, s.seek[1:], strict=False)) and s.seek[-1][0] + s.seek[-1][2] == s.samples
-            whole[i] = bool(listed)
-            waiting += [(i, s.begin + p[1], p[0]) for p in s.seek] if listed else [(i, s.begin, 0)] if len(file) > s.begin else []
+            whole[i] = all_listed(s)
+            waiting += [(i, s.begin + p[1], p[0]) for p in s.seek] if whole[i] else [(i, s.begin, 0)] if len(file) > s.begin else []
         except FlacError as e:
             streams.append(None)
             errors[i] = str(e)
@@ -594,8 +654,9 @@ def encode_payloads(df: DataFrame, column: str = "text", unit: int = 64) -> Data
             padded = np.maximum(1, -(-size // unit)) * unit
             payload = np.zeros(int(padded.sum()), np.uint8)
             begin = np.cumsum(padded) - padded
-            payload[np.arange(len(raw)) + np.repeat(begin - at[:-1], size)] = raw
-            media = encode(payload, padded)
+            for a, n, b in zip(at[:-1].tolist(), size.tolist(), begin.tolist(), strict=True):
+                payload[b : b + n] = raw[a : a + n]
+            media = encode(payload, padded) if len(payload) <= 2 * STEP_BYTES else [encode_long(payload[b : b + n]) for b, n in zip(begin.tolist(), padded.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(size), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
     return df.mapInArrow(tidy(run), schema)
@@ -610,7 +671,7 @@ def decode_blocks(df: DataFrame, column: str = "media") -> DataFrame:
     def run(batches):
         for batch in pieces(batches, column, STEP_BYTES):
             files = batch.column(column).to_pylist()
-            found = decode([f or b"" for f in files])
+            found = decode([f or b"" for f in files]) if len(files) > 1 or len(files[0] or b"") <= STEP_BYTES else [decode_long(files[0])]
             blocks = [None if f is None else [{"sample": s, "pcm": p} for s, p in x[0]] for f, x in zip(files, found, strict=True)]
             errors = [None if f is None else x[1] for f, x in zip(files, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(blocks, kind), pa.array(errors, pa.string())], names=[*keep, "blocks", "error"])
@@ -618,6 +679,22 @@ def decode_blocks(df: DataFrame, column: str = "media") -> DataFrame:
     return df.mapInArrow(tidy(run), schema)
 
 
+def joined_blocks(df: DataFrame, column: str = "blocks") -> DataFrame:
+    """df with payload: the PCM of all its blocks, one after another (null blocks: empty)."""
+    keep = [c for c in df.columns if c != "payload"]
+    schema = df.select(*keep).schema.add("payload", "binary")
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(column)
+            raw, size = blob(lists.flatten().field("pcm"))
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+            yield with_columns(batch, keep, payload=binary_array(raw, np.diff(upto)))
+
+    return df.select(*keep).mapInArrow(tidy(run), schema)
+
+
 def features(column: str = "blocks") -> "F.Column":
     """What the decoded blocks are like: number of blocks, samples, and the first and last block's size."""
     sizes = F.transform(column, lambda b: F.octet_length(b["pcm"]))
@@ -628,8 +705,9 @@ def op6_flac(spark, sf_dir: str) -> DataFrame:
     """Digests of every document's payload as it is read back from FLAC."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     read = decode_blocks(encode_payloads(docs))
-    payload = F.expr("if(error IS NULL, aggregate(blocks, cast('' AS binary), (a, b) -> concat(a, b.pcm)), raise_error(error))")  # no row is left out
-    media = read.select("doc_id", "n_bytes", "media", features().alias("shape"), payload.alias("payload"))
+    payload = F.expr("if(error IS NULL, payload, raise_error(error))")  # no row is left out
+    whole = joined_blocks(read.withColumn("shape", features()).select("doc_id", "n_bytes", "media", "shape", "error", "blocks")).drop("blocks")
+    media = whole.select("doc_id", "n_bytes", "media", "shape", payload.alias("payload"))
     return media.select(
         "doc_id",
         "n_bytes",

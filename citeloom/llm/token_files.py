@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.arrow import binary_array, pieces, tidy
+from citeloom.llm.arrow import binary_array, blob, pieces, tidy
 from citeloom.llm.word_tokens import forget, word_tokenizer
 from citeloom.session import shared_dir, written
 
@@ -90,6 +90,8 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches):
         tokenizer = word_tokenizer(path)
+        if max(tokenizer.most, end_id) > 0xFFFF:
+            raise ValueError("ids of this vocabulary do not fit into 16 bits")
         for batch in pieces(batches, "text", 8 << 20):
             ids, n = tokenizer.encode(batch.column("text"))
             whole = np.full(len(ids) + len(n), end_id, "<u2")
@@ -99,22 +101,13 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(tidy(run, forget), "doc_id long, row_hash long, ids binary")
 
 
-def _blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column and the size of each value."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[at[0] : at[-1]], np.diff(at)
-
-
 def frequencies(encoded: DataFrame, size: int = 1 << 16) -> DataFrame:
     """id, n over all ids: each task counts its own first."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(_blob(batch.column("ids"))[0].view("<u2"), minlength=size)
+            total += np.bincount(blob(batch.column("ids"))[0].view("<u2"), minlength=size)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["id", "n"])
 
@@ -140,7 +133,7 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
 
         n = 0
         for batch in pieces(batches, "ids", 2 * BLOCK_IDS):
-            raw, size = _blob(batch.column("ids"))
+            raw, size = blob(batch.column("ids"))
             own = batch.column("doc_id")
             held.append((own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), size // 2, raw.view("<u2")))
             n += len(raw) // 2

@@ -9,6 +9,7 @@ the ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -25,6 +26,9 @@ REMEMBERED = 500_000
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary's own pattern over such characters.
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The normaliser and the pre-tokeniser for which words stand for texts, as the vocabulary file has them.
+NORMALISER = [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A full stop or comma after a letter or digit and before white space stands alone in any case.
 STOP = r"([a-z0-9ß-öø-ÿ])([.,])(\s|$)"
 
@@ -38,8 +42,21 @@ _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
 
 
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those for which a text's ids are its words' ids, as the shortcuts here assume."""
+    steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [c for c in cuts if c["type"] == "Split" and c["pattern"] == {"Regex": SPLIT} and c["behavior"] == "Removed" and c["invert"]]
+    level = [c for c in cuts if c["type"] == "ByteLevel" and not c["add_prefix_space"] and not c["use_regex"]]
+    model = settings["model"]
+    return steps == NORMALISER and len(cuts) == 2 and len(split) == len(level) == 1 and model["type"] == "BPE" and not model.get("dropout") and not settings.get("post_processor")
+
+
 class WordTokenizer:
-    """Encodes Arrow string columns; keeps the ids of words it has seen."""
+    """Encodes Arrow string columns; keeps the ids of words it has seen.
+
+    A vocabulary with other settings is encoded text by text by the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,6 +64,8 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        self.by_words = splits_at_spaces(json.loads(self.library.to_str()))
+        self.most = max(self.library.get_vocab(with_added_tokens=True).values())
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -64,6 +83,9 @@ class WordTokenizer:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column (uint32) and the number of ids of each row; null is an empty text."""
         column = compact_text(column)  # the string kernels misread slices
+        if not self.by_words:
+            each = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in column.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, len(each))
         if not pc.any(pc.match_substring(column, "<|")).as_py():  # else a special token might appear or vanish
             column = pc.replace_substring_regex(pc.ascii_lower(column), STOP, r"\1 \2\3")
         lists = pc.ascii_split_whitespace(column)

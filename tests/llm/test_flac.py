@@ -154,3 +154,28 @@ def test_crc16_of_slices():
     raw = np.random.default_rng(2).integers(0, 256, 300).astype(np.uint8)
     start, size = np.array([0, 7, 100]), np.array([5, 90, 200])
     assert flac.crc16(raw, start, size).tolist() == [slow_crc16(raw[a : a + n].tobytes()) for a, n in zip(start, size, strict=True)]
+
+
+def test_long_payloads_in_sections_are_the_same_files(monkeypatch):
+    rng = np.random.default_rng(8)
+    payload = np.concatenate([rng.integers(0, 256, 9_000), rng.integers(97, 123, 60_000), np.zeros(20_064, np.int64)]).astype(np.uint8)
+    whole = flac.encode(payload, np.array([len(payload)]))[0]
+    expected = flac.decode([whole])[0]
+    monkeypatch.setattr(flac, "STEP_BYTES", 3 * flac.BLOCK)
+    assert flac.encode_long(payload) == whole
+    assert flac.decode_long(whole) == expected and b"".join(p for _, p in expected[0]) == payload.tobytes()
+    broken = bytearray(whole)
+    broken[-5_000] ^= 1
+    assert flac.decode_long(bytes(broken))[1] and flac.decode_long(b"no")[1] and not flac.decode_long(bytes(broken))[0]
+
+
+def test_columns_that_clash_and_blocks_put_together(spark):
+    rows = [(1, None, "b", "e", "p"), (2, "x" * 5_000_000, "b", "e", "p"), (3, "ü" * 100, "b", "e", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, blocks string, error string, payload string")
+    read = flac.decode_blocks(flac.encode_payloads(docs))
+    got = {r.doc_id: r for r in flac.joined_blocks(read).collect()}
+    assert all(r.error is None for r in got.values())
+    for i, text, *_ in rows:
+        raw = (text or "").encode()
+        assert bytes(got[i].payload) == raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw)) and got[i].n_bytes == len(raw)
+    assert flac.joined_blocks(read.filter("doc_id = 2")).first().blocks[-1].sample == 5_000_000 // flac.BLOCK * flac.BLOCK
