@@ -21,6 +21,10 @@ STOPWORDS = ("and", "the", "for", "with", "from", "that", "this", "its", "are",
 ENTRY_TYPES = {"journal-article": "article", "book-chapter": "incollection", "book-section": "incollection", "book-part": "incollection", "book-track": "incollection", "book": "book", "monograph": "book", "edited-book": "book", "reference-book": "book", "book-set": "book", "book-series": "book", "proceedings-article": "inproceedings", "dissertation": "phdthesis", "posted-content": "misc", "report": "techreport", "reference-entry": "misc"}
 #: Hosts whose pages never count as web evidence.
 EXCLUDED_HOSTS = ("plato.stanford.edu", "plato.sydney.edu.au", "seop.illc.uva.nl", "iep.utm.edu", "ndpr.nd.edu", "philpapers.org")
+#: What names a conference, ordinals in words, and series whose names have no such word.
+CONFERENCE = r"\b(conference|proceedings|symposium|workshop|congress|annual meeting|colloquium)\b"
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth", "thirtieth", "fortieth", "fiftieth", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+SERIES = ("neural information processing systems",)
 #: LaTeX spellings of letters without an accent command.
 LATEX_LETTERS = {r"{\ss}": "ß", r"\ss": "ß", r"{\o}": "ø", r"{\O}": "Ø", r"{\l}": "ł", r"{\L}": "Ł", r"{\aa}": "å", r"{\AA}": "Å", r"{\ae}": "æ", r"{\AE}": "Æ", r"{\oe}": "œ", r"{\OE}": "Œ"}
 #: HTML entities that venue names hold.
@@ -90,34 +94,41 @@ def journal_key(value: Column | str) -> Column:
     return F.regexp_replace(x, "^the ", "")
 
 
-def venue_key(value: Column | str, passes: int = 4) -> Column:
-    """A journal key from which the decoration of proceedings is taken, pass after pass.
+def venue_key(value: Column | str) -> Column:
+    """A journal key without the decoration of proceedings, taken off until nothing more goes.
 
-    A prefix goes only if the rest names a conference; a last number only if a
-    prefix went or the name has a conference word, and never after a volume word.
+    Brackets at the end and a year in front go from any name. `Proceedings of`
+    and `Advances in` go if the rest names a conference or a known series (or,
+    after `Proceedings of`, begins with an ordinal or a year); ordinals and
+    years in front go from a conference's name. A last number goes only if such
+    a prefix went, and never after a volume word.
     """
-    conference = r"\b(conference|proceedings|symposium|workshop|congress|annual meeting|colloquium)\b"
-    prefixes = (r"^(proceedings|proc\.?)\s+of\s+(the\s+)?", r"^(19|20)[0-9]{2}\s+", r"^[0-9]+(st|nd|rd|th)\s+", r"^(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|twentieth|thirtieth)\s+")
-
-    def bare(x: Column, pattern: str, evidence: str) -> Column:
-        """x without the pattern, if the rest bears the evidence."""
-        return let(x, lambda v: let(F.regexp_replace(v, pattern, ""), lambda rest: F.when(rest.rlike(evidence), rest).otherwise(v)))
-
-    def undecorated(x: Column) -> Column:
-        x = F.regexp_replace(x, r"\s*\([^()]*\)\s*$", "")
-        for prefix in prefixes:
-            x = bare(x, prefix, conference)
-        x = bare(x, r"^advances\s+in\s+", "^neural information processing systems")
-        volume = r"\b(vol\.?|volume|part|pt\.?|no\.?|issue|number)[\s,]+[0-9]{1,3}$"
-        return let(x, lambda v: F.when(v.rlike(volume), v).otherwise(F.regexp_replace(v, r"[\s,]+[0-9]{1,3}$", "")))
-
-    def repeated(x: Column) -> Column:
-        for _ in range(passes):
-            x = undecorated(x)
-        return F.trim(x)
-
-    series = conference + "|neural information processing systems"
-    return let(journal_key(value), lambda v: F.when(v.rlike(series), repeated(v)).otherwise(v))
+    word = "(" + "|".join(ORDINALS) + ")"
+    ordinal, year, number = rf"^([0-9]+(st|nd|rd|th)|{word}(-{word})?)\s+", r"^(19|20)[0-9]{2}\s+", r"[\s,]+[0-9]{1,3}$"
+    proceedings, advances = r"^(proceedings|proc\.?)\s+of\s+(the\s+)?", r"^advances\s+in\s+"
+    volume = r"\b(vol\.?|volume|part|pt\.?|no\.?|issue|number)[\s,]+[0-9]{1,3}$"
+    without = lambda x, pattern: F.trim(F.regexp_replace(x, pattern, ""))
+    known = lambda x: without(x, number).isin(*SERIES)
+    series = lambda x: without(x, number).rlike(CONFERENCE) | known(x)
+    state = lambda x, shown: F.struct(x.alias("x"), shown.alias("shown"))
+
+    def step(now: Column, _: Column) -> Column:
+        x, shown = now["x"], now["shown"]
+        rest, other = without(x, proceedings), without(x, advances)
+        instance = x.rlike(proceedings) & (rest.rlike(ordinal) | rest.rlike(year) | series(rest))
+        named = shown | x.rlike(CONFERENCE) | known(x)
+        return (
+            F.when(instance, state(rest, F.lit(True)))
+            .when(x.rlike(advances) & series(other), state(other, F.lit(True)))
+            .when(named & x.rlike(ordinal), state(without(x, ordinal), shown))
+            .when(named & x.rlike(year), state(without(x, year), shown))
+            .otherwise(now)
+        )
+
+    plain = without(F.regexp_replace(journal_key(value), r"(\s*\([^()]*\))+\s*$", ""), year)
+    steps = lambda x: F.sequence(F.lit(1), F.size(F.split(x, " ")))  # noqa: E731  # each takes a word at least
+    end = lambda now: F.when(now["shown"] & ~now["x"].rlike(volume), without(now["x"], number)).otherwise(now["x"])
+    return let(plain, lambda x: F.aggregate(steps(x), state(x, F.lit(False)), step, lambda now: squeeze(end(now))))
 
 
 def venue_lookup_key(value: Column | str) -> Column:
@@ -130,13 +141,14 @@ def url_host(value: Column | str) -> Column:
 
 
 def url_key(value: Column | str) -> Column:
-    """Scheme and host in lower case, no default port, last slash or fragment; path and query as they are."""
+    """Scheme and host in lower case, no default or impossible port, last slash or fragment; path and query as they are."""
     shape = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(:[^/?#]*)?([^?#]*)(\?[^#]*)?"
     x = F.trim(text_of(value))
     part = lambda i: F.regexp_extract(x, shape, i)
-    scheme, port = F.lower(part(1)), part(3)
-    usual = ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")) | (port == ":")
-    key = F.concat(scheme, F.lit("://"), F.lower(part(2)), F.when(usual, "").otherwise(port), F.regexp_replace(part(4), "/+$", ""), part(5))
+    scheme, port = F.lower(part(1)), F.regexp_extract(part(3), "^:0*([1-9][0-9]{0,4})$", 1)
+    usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    kept = F.when((port == "") | usual | (port.try_cast("int") > 65535), "").otherwise(F.concat(F.lit(":"), port))
+    key = F.concat(scheme, F.lit("://"), F.lower(part(2)), kept, F.regexp_replace(part(4), "/+$", ""), part(5))
     return F.when(x.rlike(shape), key).otherwise(x)
 
 
@@ -204,8 +216,9 @@ def title_tokens(value: Column | str) -> Column:
 
 
 def slug_title(value: Column | str) -> Column:
-    """A title as a review's slug has it: no subtitle, only ASCII letters and digits."""
-    return F.trim(F.regexp_replace(F.lower(F.split_part(text_of(value), F.lit(":"), F.lit(1))), r"[^a-z0-9]+", " "))
+    """A title as a review's slug has it: no subtitle; all but ASCII letters, digits and spaces is dropped."""
+    x = F.regexp_replace(F.lower(F.split_part(text_of(value), F.lit(":"), F.lit(1))), r"[^a-z0-9\s]", "")
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
 def dated_year(dates: list[tuple[str, Column]]) -> Column:

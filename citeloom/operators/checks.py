@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Forms of verbs that report a position, and forms that credit it with success.
-ATTRIBUTION = "argue argues argued assert asserts asserted claim claims claimed concede concedes conceded contend contends contended defend defends defended deny denies denied endorse endorses endorsed hold holds maintain maintains maintained objected press presses pressed propose proposes proposed reject rejects rejected reply replies replied respond responds responded".split()
-SUCCESS = "challenged conclude concludes concluded demonstrate demonstrates demonstrated develop develops developed establish establishes find finds found identify identifies identified occupy occupies occupied prove proves proved show shows showed shown trace traces traced".split()
+ATTRIBUTION = ("argue", "argues", "argued", "assert", "asserts", "asserted", "claim", "claims", "claimed", "concede", "concedes", "conceded", "contend", "contends", "contended", "defend", "defends", "defended", "deny", "denies", "denied", "endorse", "endorses", "endorsed", "hold", "holds", "maintain", "maintains", "maintained", "objected", "press", "presses", "pressed", "propose", "proposes", "proposed", "reject", "rejects", "rejected", "reply", "replies", "replied", "respond", "responds", "responded")
+SUCCESS = ("challenged", "conclude", "concludes", "concluded", "demonstrate", "demonstrates", "demonstrated", "develop", "develops", "developed", "establish", "establishes", "find", "finds", "found", "identify", "identifies", "identified", "occupy", "occupies", "occupied", "prove", "proves", "proved", "show", "shows", "showed", "shown", "trace", "traces", "traced")
 #: Tiers under which such a verb is worth a look.
 WEAK = ("EXISTENCE", "NONE")
 REACH = 60

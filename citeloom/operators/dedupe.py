@@ -58,16 +58,27 @@ def fold_groups(entries: DataFrame, group: str) -> DataFrame:
 def cascade(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Survivor of each row after passes by one key after the other: order, survivor, passes (how many merged it).
 
-    A pass groups the survivors of the pass before by their key; the smallest
-    order of a group survives. Empty and null keys group nothing.
+    A pass joins survivors of the pass before that share a key, their own or
+    that of a row they absorbed; the smallest order of a group survives. Empty
+    and null keys group nothing.
     """
-    now = rows.select(F.col(order).alias("__id"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).withColumn("survivor", F.col("__id"))
+    now = rows.select(F.col(order).alias("__id"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).withColumn("survivor", F.col("__id")).withColumn("passes", F.lit(0))
     for i in range(len(keys)):
-        heads = now.filter(F.col("__id") == F.col("survivor")).select("__id", F.col(f"__k{i}").alias("k")).filter("k IS NOT NULL AND k != ''")
-        least = heads.groupBy("k").agg(F.min("__id").alias("least"))
-        moved = heads.join(least, "k").select(F.col("__id").alias("survivor"), "least")
-        now = now.join(moved, "survivor", "left").withColumn("survivor", F.coalesce("least", "survivor")).drop("least")
-    return now.select(F.col("__id").alias(order), "survivor")
+        # The keys of all that a survivor has absorbed, as narrow rows.
+        each = now.select("survivor", F.col(f"__k{i}").alias("k")).filter("k IS NOT NULL AND k != ''").distinct()
+        now = now.join(_least_of(each, i > 0), "survivor", "left").withColumn("least", F.coalesce("least", "survivor"))
+        now = now.withColumn("passes", F.col("passes") + (F.col("least") != F.col("survivor")).cast("int")).withColumn("survivor", F.col("least")).drop("least")
+    return now.select(F.col("__id").alias(order), "survivor", "passes")
+
+
+def _least_of(each: DataFrame, several_keys: bool) -> DataFrame:
+    """survivor, least for the smallest survivor that shares a key (survivor, k), directly or through others."""
+    star = each.groupBy("k").agg(F.min("survivor").alias("least"))
+    edges = each.join(star, "k").select(F.col("survivor").alias("a"), F.col("least").alias("b"))
+    several = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low != high")
+    if not several_keys or several.isEmpty():  # one step is enough, as long as nothing has two keys that lead to different rows
+        return edges.groupBy(F.col("a").alias("survivor")).agg(F.min("b").alias("least"))
+    return connected_components(edges).select(F.col("node").alias("survivor"), F.col("label").alias("least"))
 
 
 def work_clusters(works: DataFrame) -> DataFrame:

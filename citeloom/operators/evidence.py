@@ -26,26 +26,30 @@ def with_breaker(plan: DataFrame, stripped: str, group: list[str]) -> DataFrame:
 
 def capture_gate(url_bound: Column, error: Column, provenance: Column, status: Column, text: Column, anchor: Column, title: Column, spans: Column) -> Column:
     """The first reason for which a web capture is no evidence, or `ok`. Unknown values never pass."""
-    from citeloom.functions.keys import containment_text, title_key
+    from citeloom.functions.keys import containment_text, let, title_key
 
-    folded = containment_text(text)
     words = lambda x: F.filter(F.split(title_key(x), " "), lambda w: F.length(w) > 3)
-    size = lambda s: F.size(F.split(containment_text(s), " "))
-    blocked = F.lit(False)
-    for sign in BOILERPLATE:
-        blocked = blocked | F.contains(folded, F.lit(sign))
+    size = lambda s: F.size(F.split(s, " "))
     good_status = F.coalesce((F.coalesce(provenance, F.lit("script")) == "agent") | status.between(200, 299), F.lit(False))
+    shared = let(words(title), lambda t: (F.size(t) > 0) & ~F.arrays_overlap(t, words(F.coalesce(anchor, F.substring(text, 1, 1000)))))
+
+    def against(folded: Column, quoted: Column) -> Column:
+        """The reasons that need the folded text and spans, which are computed once each."""
+        return (
+            F.when(F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda sign: F.contains(folded, sign)), "boilerplate")
+            .when(F.length(text) < LEAST_TEXT, "thin")
+            .when(shared, "title_mismatch")
+            .when((F.size(quoted) < 1) | (F.size(quoted) > MOST_SPANS) | F.exists(quoted, lambda s: ~size(s).between(LEAST_WORDS, MOST_WORDS)), "span_malformed")
+            .when(F.exists(quoted, lambda s: ~F.contains(folded, s)), "span_unverified")
+            .otherwise("ok")
+        )
+
     return (
         F.when(text.isNull() & error.isNull(), "no_capture")
         .when(error.isNotNull(), "fetch_error")
         .when(~F.coalesce(url_bound, F.lit(False)), "url_mismatch")
         .when(~good_status, "bad_status")
-        .when(blocked, "boilerplate")
-        .when(F.length(text) < LEAST_TEXT, "thin")
-        .when((F.size(words(title)) > 0) & ~F.arrays_overlap(words(title), words(F.coalesce(anchor, F.substring(text, 1, 1000)))), "title_mismatch")
-        .when((F.size(spans) < 1) | (F.size(spans) > MOST_SPANS) | F.exists(spans, lambda s: ~size(s).between(LEAST_WORDS, MOST_WORDS)), "span_malformed")
-        .when(F.exists(spans, lambda s: ~F.contains(folded, containment_text(s))), "span_unverified")
-        .otherwise("ok")
+        .otherwise(let(F.struct(containment_text(text).alias("t"), F.transform(spans, containment_text).alias("s")), lambda f: against(f["t"], f["s"])))
     )
 
 

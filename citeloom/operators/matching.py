@@ -76,13 +76,57 @@ def overlap_best(items: DataFrame, targets: DataFrame, least: int = 2, coverage:
     """For each item (item, tokens) the target (target, tokens) that shares most of its tokens.
 
     At least `least` tokens and that share of the item's tokens; the smallest
-    target among equals. Meets only pairs that share a token.
+    target among equals. Equal token sets are one class, and classes meet only
+    in tokens that matter: an item of n tokens that must share m has one of its
+    n - m + 1 rarest tokens in common with every such target. So the common
+    tokens bring no pairs together.
     """
-    own = items.select("item", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    other = targets.select("target", F.explode("tokens").alias("token"))
-    pairs = own.join(other, "token").groupBy("item", "n", "target").agg(F.count(F.lit(1)).alias("shared"))
-    good = pairs.filter((F.col("shared") >= least) & (F.col("shared") >= coverage * F.col("n")))
-    return good.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("score"), (-F.col("target")).alias("t"))).alias("best")).select("item", (-F.col("best.t")).alias("target"), F.col("best.score").alias("score"))
+    as_set = F.array_sort(F.array_distinct("tokens"))
+    own = items.select("item", as_set.alias("tokens"))
+    sets = own.select("tokens").distinct()
+    others = targets.groupBy(as_set.alias("theirs")).agg(F.min("target").alias("target"))
+    frequency = targets.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    need = F.greatest(F.lit(least), F.ceil(F.size("tokens") * coverage)).cast("int")
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(frequency, "token", "left")
+    by_rarity = each.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
+    rare = by_rarity.filter(F.size("tokens") >= need).select("tokens", need.alias("need"), F.explode(F.slice(F.col("r.token"), F.lit(1), F.size("tokens") - need + 1)).alias("token"))
+    pairs = rare.join(others.select("target", "theirs", F.explode("theirs").alias("token")), "token")
+    shared = F.size(F.array_intersect("tokens", "theirs"))
+    good = pairs.filter(shared >= F.col("need")).select("tokens", "target", (shared / F.size("tokens")).alias("score"))
+    best = good.groupBy("tokens").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("best"))
+    return own.join(best, "tokens").select("item", (-F.col("best.t")).alias("target"), F.col("best.score").alias("score"))
+
+
+GRAM = 8
+
+
+def mentions(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of documents (doc_id, text) that hold all words of an item (item_id, text) in a row.
+
+    Words are lower-cased and apart by white space. An item is looked up by its
+    first GRAM words, a shorter one by all it has; what is exploded and joined
+    carries hashes and positions only, and the words of a document are fetched
+    again for its hits. Items without words match nothing.
+    """
+    from citeloom.session import written
+
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " ")
+    own = docs.select("doc_id", words("text").alias("w"))
+    wanted = items.select("item_id", words("text").alias("v")).filter("v != array('')").withColumn("n", F.least(F.size("v"), F.lit(GRAM)))
+    wanted = written(wanted.withColumn("g", F.xxhash64("n", F.slice("v", F.lit(1), F.col("n")))), "items")
+    lengths = [r["n"] for r in wanted.select("n").distinct().orderBy("n").collect()]  # GRAM values at most
+    if not lengths:
+        return docs.select("doc_id").limit(0).join(items.select("item_id").limit(0), F.lit(True))
+    none = F.array().cast("array<struct<g:bigint,i:int>>")
+
+    def grams(n: int):
+        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        return F.when(F.size("w") >= n, F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(n), F.slice("w", i, n)).alias("g"), i.alias("i")))).otherwise(none)
+
+    each = own.select("doc_id", F.explode(F.concat(*map(grams, lengths))).alias("x")).select("doc_id", "x.g", "x.i")
+    hits = written(each.join(wanted.select("g", "item_id"), "g").select("doc_id", "item_id", "i"), "hits")
+    found = own.join(hits, "doc_id").join(wanted.select("item_id", "v"), "item_id")
+    return found.filter(F.slice("w", F.col("i"), F.size("v")) == F.col("v")).select("doc_id", "item_id").distinct()
 
 
 def slug_score(title: Column, slug: Column, author: Column) -> Column:

@@ -84,6 +84,23 @@ def reference_text(authors: Column, year: Column, title: Column, container: Colu
     return F.concat(F.regexp_replace(listed, r"\.$", ""), F.lit(". "), year, F.lit(". “"), F.regexp_replace(title, r"[.]$", ""), F.lit(".”"), place, F.when(place != "", ".").otherwise(""))
 
 
+def ordered_places(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with place: 1, 2, ... in the order given within each group, however large.
+
+    Rows are sorted once over all tasks; a group's place is counted from the
+    rows it has in the tasks before, of which each gives one number.
+    """
+    from citeloom.session import written
+
+    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    numbered = written(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "sorted")
+    parts = numbered.groupBy(group, "__p").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.withColumn("__before", before).select(F.col(group).alias("__g"), F.col("__p").alias("__q"), "__first", "__before")
+    met = numbered.join(base, numbered[group].eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return met.select(*rows.columns, (F.col("__i") - F.col("__first") + F.col("__before") + 1).alias("place"))
+
+
 def spliced_references(docs: DataFrame, references: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with a references section: sorted by surname and year, in the place of the last one."""
     ordered = F.array_sort(F.collect_list(F.struct(F.lower("surname").alias("s"), "year", "ord", "text")))

@@ -50,6 +50,35 @@ def edges_of(edges: DataFrame, node: str, directions: tuple[str, ...] = ("refere
     return out.filter("influential") if influential_only else out
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """node, n, influential, targets, direction: how many edges (source, target, influential) leave and reach each node."""
+    out = None
+    for direction, own, other in (("references", "source", "target"), ("citations", "target", "source")):
+        part = edges.groupBy(F.col(own).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count_if("influential").alias("influential"), F.count_distinct(other).alias("targets")).withColumn("direction", F.lit(direction))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def best_named(venues: DataFrame, name: str, order: str) -> DataFrame:
+    """For each name the venue (name, h_index, order) with the largest h-index (unknown: 0), the first among equals."""
+    best = venues.groupBy(name).agg(F.max(F.struct(F.coalesce("h_index", F.lit(0)).alias("h"), (-F.col(order)).alias("o"))).alias("b"))
+    return best.select(name, (-F.col("b.o")).alias(order), F.col("b.h").alias("h_index"))
+
+
+def recommended(vectors: DataFrame, examples: DataFrame, group: str, key: str, limit: int = 10) -> DataFrame:
+    """group, key, score, place: the vectors (group, key, e: whole numbers) nearest to the sum of their group's examples.
+
+    examples: group, e, sign (1 or -1 for what is not wanted). By inner product,
+    so whole numbers give the same result in any order of additions.
+    """
+    each = examples.select(group, "sign", F.posexplode("e").alias("i", "x")).groupBy(group, "i").agg(F.sum(F.col("x") * F.col("sign")).alias("c"))
+    centre = each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))
+    dot = F.aggregate(F.zip_with("e", "centre", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+    scored = vectors.join(centre, group).select(group, key, dot.alias("score"))
+    w = Window.partitionBy(group).orderBy(F.desc("score"), key)
+    return scored.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit)
+
+
 def site_results(results: DataFrame, path: str, id_pattern: str) -> DataFrame:
     """Web results (url) under a path from which an id can be read; each id once, at its first place (ord)."""
     with_id = results.filter(F.contains("url", F.lit(path))).withColumn("id", F.regexp_extract("url", id_pattern, 1)).filter("id != ''")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import keys
-from citeloom.operators import dedupe, evidence, matching, prose
+from citeloom.operators import checks, dedupe, evidence, matching, prose, search
 from citeloom.plans.tables import table
+from citeloom.sources import envelopes
 
 
 def dedupe_key_cascade(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), keys.abstract_hash(F.lower("text")).alias("a"))
-    return dedupe.cascade(docs, ["h", "a"], "doc_id")
+    return dedupe.cascade(docs, ["h", "a"], "doc_id").select("doc_id", "survivor")
 
 
 DEDUPE_KEY_CASCADE = r"SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(trim(regexp_replace(replace(lower(text), '\', ''), '\s+', ' ', 'g')))) AS survivor FROM documents"
@@ -77,9 +77,11 @@ SELECT c_custkey, outcome, CASE outcome WHEN 'swapped' THEN dated WHEN 'doi' THE
 
 
 def semi_verifiable(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 49).select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    orders = table(spark, sf_dir, "orders")
-    return orders.join(lines, "o_orderkey", "left_semi").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    """Orders whose number stands in the pool of large lines, by status."""
+    field = lambda c: (F.lit("number").alias("field"), F.col(c).cast("string").alias("value"))
+    pool = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 49).select(*field("l_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus", *field("o_orderkey"))
+    return checks.verifiable(orders, pool).filter("verifiable").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
 SEMI_VERIFIABLE = "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) GROUP BY 1"
@@ -95,9 +97,8 @@ ANTI_UNRESOLVED = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey
 
 def breaker(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_discount") >= 0.07).alias("hit"))
-    plan = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("stripped"))
-    tripped = (F.col("stripped") >= evidence.BREAKER_LEAST) & (F.col("stripped") * 100 > F.col("n") * int(100 * evidence.BREAKER_SHARE))
-    return plan.withColumn("tripped", tripped).withColumn("applied", F.when(tripped, 0).otherwise(F.col("stripped")))
+    plan = evidence.with_breaker(lines, "hit", ["l_suppkey"]).groupBy("l_suppkey", "tripped").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("stripped"))
+    return plan.withColumn("applied", F.when(F.col("tripped"), 0).otherwise(F.col("stripped")))
 
 
 BREAKER = "SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_discount >= 0.07) AS stripped, count(*) FILTER (l_discount >= 0.07) >= 5 AND count(*) FILTER (l_discount >= 0.07) * 100 > count(*) * 30 AS tripped, CASE WHEN count(*) FILTER (l_discount >= 0.07) >= 5 AND count(*) FILTER (l_discount >= 0.07) * 100 > count(*) * 30 THEN 0 ELSE count(*) FILTER (l_discount >= 0.07) END AS applied FROM lineitem GROUP BY 1"
@@ -152,51 +153,48 @@ SELECT a.event_id AS a_id, count(*) AS near, min(b.event_id) AS first_near FROM
 
 
 def title_mentions(spark, sf_dir):
-    """Benchmark passages that a document holds: candidates share a run of eight words, and are verified."""
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("v")).filter(F.size("v") >= 8)
-    first = items.withColumn("g", F.xxhash64(F.slice("v", 1, 8)))
-    grams = docs.filter(F.size("w") >= 8).select("doc_id", "w", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(F.xxhash64(F.slice("w", i, 8)).alias("g"), i.alias("i")))).alias("x"))
-    met = grams.select("doc_id", F.col("x.g").alias("g"), F.col("x.i").alias("i"), "w").join(first, "g")
-    held = met.filter(F.slice("w", F.col("i"), F.size("v")) == F.col("v"))
-    return held.select("doc_id", "item_id").distinct()
+    """Benchmark passages that a document holds."""
+    return matching.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 TITLE_MENTIONS = r"""
 WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' AS t FROM documents),
 b AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS p FROM benchmark)
-SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, ' ' || b.p || ' ') WHERE len(string_split(p, ' ')) >= 8
+SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, ' ' || b.p || ' ') WHERE p <> ''
 """
 
 
 def token_overlap(spark, sf_dir):
     token = lambda c: F.array_distinct(F.split(F.lower(c), r"[^a-z0-9]+"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), token(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
-    targets = parts.filter("item % 20 = 0").select(F.col("item").alias("target"), "tokens")
-    return matching.overlap_best(parts, targets)
+    return matching.overlap_best(parts, parts.select(F.col("item").alias("target"), "tokens"))
 
 
 TOKEN_OVERLAP = """
 WITH t AS (SELECT DISTINCT p_partkey AS item, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) AS token FROM part),
 n AS (SELECT item, count(*) AS n FROM t GROUP BY item),
-s AS (SELECT a.item, b.item AS target, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND b.item % 20 = 0 GROUP BY 1, 2),
+s AS (SELECT a.item, b.item AS target, count(*) AS shared FROM t a JOIN t b ON a.token = b.token GROUP BY 1, 2),
 g AS (SELECT s.item, target, shared / n.n AS score FROM s JOIN n ON s.item = n.item WHERE shared >= 2 AND shared >= 0.5 * n.n)
 SELECT item, target, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, target) AS rn FROM g) WHERE rn = 1
 """
 
 
 def work_components(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), F.substring("text", 1, 24).alias("title"))
+    """Works whose titles are the first lines of documents; every third has a DOI."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     doi = F.when(F.col("id") % 3 == 0, F.col("h")).otherwise("")
     return dedupe.work_clusters(docs.select("id", doi.alias("doi"), "title"))
 
 
+#: The closure of both kinds of links.
 WORK_COMPONENTS = """
-WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE '' END AS doi, substr(text, 1, 24) AS title FROM documents),
-c AS (SELECT *, CASE WHEN doi <> '' THEN min(id) OVER (PARTITION BY doi) ELSE id END AS c FROM d),
-t AS (SELECT title, count(DISTINCT nullif(doi, '')) AS n, min(c) AS least FROM c WHERE title <> '' GROUP BY title)
-SELECT id, CASE WHEN coalesce(n > 1, false) OR least IS NULL THEN c ELSE least(c, least) END AS cluster, coalesce(n > 1, false) AND doi = '' AS tainted FROM c LEFT JOIN t ON c.title = t.title
+WITH RECURSIVE d AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE '' END AS doi, split_part(text, chr(10), 1) AS title FROM documents),
+t AS (SELECT title, count(DISTINCT nullif(doi, '')) AS n FROM d WHERE title <> '' GROUP BY title),
+k AS (SELECT id, 'd' || doi AS k FROM d WHERE doi <> '' UNION ALL SELECT id, 't' || d.title FROM d JOIN t ON d.title = t.title WHERE n <= 1),
+l AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.k = b.k),
+r AS (SELECT id AS a, id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT id, least AS cluster, coalesce(n > 1, false) AND doi = '' AS tainted FROM d JOIN m ON m.a = d.id LEFT JOIN t ON d.title = t.title
 """
 
 
@@ -211,19 +209,16 @@ VENUE_RULE = "SELECT s_suppkey, coalesce(s_acctbal IS NOT NULL AND (CASE WHEN s_
 
 
 def best_venue(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") % 17).alias("h"))
-    best = s.groupBy("s_nationkey").agg(F.max(F.struct(F.coalesce("h", F.lit(0)).alias("h"), (-F.col("s_suppkey")).alias("o"))).alias("b"))
-    return best.select("s_nationkey", (-F.col("b.o")).alias("s_suppkey"), F.col("b.h").alias("h_index"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") % 17).alias("h_index"))
+    return search.best_named(s, "s_nationkey", "s_suppkey")
 
 
 BEST_VENUE = "SELECT s_nationkey, s_suppkey, h AS h_index FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY h DESC, s_suppkey) AS rn FROM (SELECT s_nationkey, s_suppkey, coalesce(CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 17 END, 0) AS h FROM supplier)) WHERE rn = 1"
 
 
 def citation_graph(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), (F.col("l_quantity") > 40).alias("influential"))
-    out = edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count_if("influential").alias("influential"), F.count_distinct("b").alias("targets")).withColumn("direction", F.lit("references"))
-    into = edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count_if("influential").alias("influential"), F.count_distinct("a").alias("targets")).withColumn("direction", F.lit("citations"))
-    return out.unionByName(into)
+    lines = table(spark, sf_dir, "lineitem")
+    return search.degrees(lines.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), (F.col("l_quantity") > 40).alias("influential")))
 
 
 CITATION_GRAPH = """
@@ -235,11 +230,7 @@ UNION ALL SELECT l_partkey, count(*), count(*) FILTER (l_quantity > 40), count(D
 def similar_items(spark, sf_dir):
     """The ten vectors of each label nearest to its centre, by inner product on a fixed grid (so sums are exact)."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("e"))
-    each = v.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("c"))
-    centre = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))
-    dot = F.aggregate(F.zip_with("e", "centre", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-    w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    return v.join(F.broadcast(centre), "label").select("label", "vec_id", dot.alias("score")).withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 10")
+    return search.recommended(v, v.select("label", "e", F.lit(1).alias("sign")), "label", "vec_id")
 
 
 SIMILAR_ITEMS = """
@@ -267,9 +258,10 @@ SELECT doc_id, CAST(quality AS INTEGER) AS quality, CAST(toxic AS INTEGER) AS to
 
 
 def json_pool(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 50 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props")).alias("props"))
-    v = F.expr("try_parse_json(props)")
-    return events.withColumn("v", v).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("malformed"), F.count(F.expr("try_variant_get(v, '$.k', 'int')")).alias("with_k"))
+    """Properties of events as files of a pool, some of them cut off."""
+    events = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", "event_id").alias("file"), F.when(F.col("event_id") % 50 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props")).alias("content"))
+    read = envelopes.pool(events)
+    return read.groupBy(F.split_part("file", F.lit("-"), F.lit(1)).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "skipped").alias("malformed"), F.count(F.expr("try_variant_get(body, '$.k', 'int')")).alias("with_k"))
 
 
 JSON_POOL = """

@@ -18,9 +18,9 @@ def url_keys(spark, sf_dir):
 
 URL_KEYS = r"""
 WITH p AS (SELECT page_id, trim(url) AS u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(:[^/?#]*)?([^?#]*)(\?[^#]*)?' AS s FROM pages),
-q AS (SELECT page_id, lower(regexp_extract(u, s, 1)) AS scheme, lower(regexp_extract(u, s, 2)) AS host, regexp_extract(u, s, 3) AS port, regexp_extract(u, s, 4) AS path, regexp_extract(u, s, 5) AS query FROM p),
+q AS (SELECT page_id, lower(regexp_extract(u, s, 1)) AS scheme, lower(regexp_extract(u, s, 2)) AS host, regexp_extract(regexp_extract(u, s, 3), '^:0*([1-9][0-9]{0,4})$', 1) AS port, regexp_extract(u, s, 4) AS path, regexp_extract(u, s, 5) AS query FROM p),
 l AS (SELECT *, string_split(host, '.') AS labels FROM q)
-SELECT page_id, scheme || '://' || host || CASE WHEN (scheme = 'http' AND port = ':80') OR (scheme = 'https' AND port = ':443') OR port = ':' THEN '' ELSE port END || regexp_replace(path, '/+$', '') || query AS url_key,
+SELECT page_id, scheme || '://' || host || CASE WHEN (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') OR port = '' OR CAST(port AS INTEGER) > 65535 THEN '' ELSE ':' || port END || regexp_replace(path, '/+$', '') || query AS url_key,
   array_to_string(labels[greatest(len(labels) - 1, 1):], '.') AS domain FROM l
 """
 
@@ -89,11 +89,11 @@ DISPLAY_YEARS = "SELECT year(o_orderdate) || CASE WHEN regexp_full_match(lower(s
 
 
 def cache_keys(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("h"), "event_type")
-    return events.groupBy(F.concat(F.lit("ev_"), F.substring("h", 1, 16)).alias("cache_key"), "event_type").agg(F.count(F.lit(1)).alias("hits"), F.min("event_id").alias("first_event"))
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(keys.cache_key("ev", F.struct("event_type", "user_id")).alias("cache_key"), "event_type").agg(F.count(F.lit(1)).alias("hits"), F.min("event_id").alias("first_event"))
 
 
-CACHE_KEYS = "SELECT 'ev_' || substr(sha256(event_type || '|' || CAST(user_id AS VARCHAR)), 1, 16) AS cache_key, event_type, count(*) AS hits, min(event_id) AS first_event FROM events GROUP BY 1, 2"
+CACHE_KEYS = "SELECT 'ev_' || substr(sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}'), 1, 16) AS cache_key, event_type, count(*) AS hits, min(event_id) AS first_event FROM events GROUP BY 1, 2"
 
 
 def natural_order(spark, sf_dir):
@@ -120,8 +120,8 @@ def slug_titles(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in keys.STOPWORDS)
-SLUG_TITLES = f"""
-SELECT p_partkey, trim(regexp_replace(lower(split_part(p_name || ': ' || p_brand, ':', 1)), '[^a-z0-9]+', ' ', 'g')) AS slug,
+SLUG_TITLES = rf"""
+SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(split_part(p_name || ': ' || p_brand, ':', 1)), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS slug,
   array_to_string(list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))), ' ') AS tokens FROM part
 """
 

@@ -22,16 +22,17 @@ SELECT o_orderkey, CASE WHEN n BETWEEN 2 AND 26 AND NOT bad THEN chr(CAST(96 + r
 
 
 def line_state(spark, sf_dir):
+    """Long lines as fences and short ones as headings: lines inside fences and the last section of each document."""
     lines = prose.text_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    long = lines.withColumn("mark", (F.length("line") > 200).cast("int")).withColumn("parity", F.sum("mark").over(w) % 2).withColumn("part", F.sum("mark").over(w))
-    return long.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("parity").alias("inside"), F.max("part").alias("parts"))
+    marked = lines.withColumn("line", F.when(F.length("line") > 200, "```").when(F.length("line") < 40, "# heading").otherwise(F.col("line")))
+    state = prose.line_state(marked)
+    return state.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("in_fence").alias("inside"), F.max("section").alias("sections"))
 
 
 LINE_STATE = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-m AS (SELECT doc_id, sum(CASE WHEN length(line) > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(part % 2) AS BIGINT) AS inside, CAST(max(part) AS BIGINT) AS parts FROM m GROUP BY 1
+m AS (SELECT doc_id, i, line, sum(CASE WHEN length(line) > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(part % 2) AS BIGINT) AS inside, CAST(count(*) FILTER (length(line) < 40 AND part % 2 = 0) AS BIGINT) AS sections FROM m GROUP BY 1
 """
 
 
@@ -95,11 +96,10 @@ SELECT CASE WHEN year(o_orderdate) = 1995 THEN 'no-change' WHEN o_orderkey % 5 =
 
 def reference_sort(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lower("c_name").alias("name"), "c_mktsegment")
-    w = Window.partitionBy("c_nationkey").orderBy("c_mktsegment", "name", "c_custkey")
-    return c.select("c_nationkey", "c_custkey", F.row_number().over(w).cast("long").alias("place")).filter("place <= 5")
+    return prose.ordered_places(c, "c_nationkey", ["c_mktsegment", "name", "c_custkey"]).select("c_nationkey", "c_custkey", "place")
 
 
-REFERENCE_SORT = "SELECT c_nationkey, c_custkey, place FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, lower(c_name), c_custkey) AS place FROM customer) WHERE place <= 5"
+REFERENCE_SORT = "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, lower(c_name), c_custkey) AS place FROM customer"
 
 
 def overlapping_windows(spark, sf_dir):

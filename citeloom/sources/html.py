@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,15 +61,15 @@ def articles(pages: DataFrame, column: str = "html") -> DataFrame:
     head = T.StructType().add("level", "integer").add("id", "string").add("text", "string")
     schema = schema.add("title", "string").add("text", "string").add("headings", T.ArrayType(head)).add("links", T.ArrayType(T.StringType()))
 
+    names = [*keep, "title", "text", "headings", "links"]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.struct([("level", pa.int32()), ("id", pa.string()), ("text", pa.string())])), pa.list_(pa.string())]
+
     def run(batches):
-        for pdf in batches:
-            found = [_read(x) for x in pdf[column]]
-            out = pdf[keep].copy()
-            for i, name in enumerate(("title", "text", "headings", "links")):
-                out[name] = pd.Series([f[i] for f in found], index=pdf.index, dtype=object)
-            yield out
-
-    return pages.mapInPandas(run, schema)
+        for batch in batches:
+            found = [_read(x) for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], names=names)
+
+    return pages.mapInArrow(run, schema)
 
 
 def related_entries(read: DataFrame) -> DataFrame:

@@ -23,9 +23,11 @@ CASES = [
     (keys.page_key, {"1 -- 9": "1-9", "3–5": "3-5", "7—8 ": "7-8", "12": "12"}),
     (keys.title_key, {"Straße & Söhne": "strasse sohne", "  The—Mind's   Eye ": "the mind s eye", "ﬁn": "fin", "": ""}),
     (keys.journal_key, {"The Philosophy \\& Technology": "philosophy & technology", "No\\^{u}s": "nous", "No&ucirc;s": "no&ucirc;s", "Philosophy &amp; X": "philosophy & x", "{Mind}": "mind", "No\\\"us": "nous"}),
-    (keys.venue_key, {"Proceedings of the 34th International Conference on Machine Learning (ICML 2017)": "international conference on machine learning", "Advances in Neural Information Processing Systems 30": "neural information processing systems", "Advances in Applied Energy 12": "advances in applied energy 12", "Eighteenth-Century Life": "eighteenth-century life"}),
+    (keys.venue_key, {"Proceedings of the 34th International Conference on Machine Learning (ICML 2017)": "international conference on machine learning", "Advances in Neural Information Processing Systems 30": "neural information processing systems", "Advances in Applied Energy 12": "advances in applied energy 12", "Eighteenth-Century Life": "eighteenth-century life", "Library of Congress Quarterly 7": "library of congress quarterly 7", "Criminology (Beverly Hills)": "criminology", "Mind (Oxford) (Online)": "mind", "2019 Journal of X 3": "journal of x 3", "Proceedings of the Twenty-First Annual Meeting of Y 12": "annual meeting of y", "Proc. of 2017 Fifth 2018 Workshop on Z, 9": "workshop on z", "Proceedings of the Oxford Studies Conference Volume 5": "oxford studies conference volume 5", "Proceedings of the Aristotelian Society 10": "proceedings of the aristotelian society 10", "First Conference on A 7": "conference on a 7", "": ""}),
+    (keys.slug_title, {"The Mind's Eye: A Tour": "the minds eye", "Self-Help  and\tX": "selfhelp and x", "": ""}),
+
     (keys.venue_lookup_key, {"The Mind & Machine": "mind and machine"}),
-    (keys.url_key, {"HTTP://Ex.org:80/A/b/?q=1#f": "http://ex.org/A/b?q=1", "https://x.org/": "https://x.org", "https://x.org:443": "https://x.org", "http://x.org:8080/a": "http://x.org:8080/a", "nonsense": "nonsense"}),
+    (keys.url_key, {"HTTP://Ex.org:80/A/b/?q=1#f": "http://ex.org/A/b?q=1", "https://x.org/": "https://x.org", "https://x.org:443": "https://x.org", "http://x.org:8080/a": "http://x.org:8080/a", "http://x.org:99999/a": "http://x.org/a", "http://x.org:ab/": "http://x.org", "http://x.org:0080/": "http://x.org", "http://x.org:0/": "http://x.org", "nonsense": "nonsense"}),
     (lambda c: keys.registered_domain(keys.url_host(c)), {"http://a.b.example.com/x": "example.com", "http://me.github.io": "me.github.io", "https://www.ox.ac.uk/": "ox.ac.uk", "http://localhost": "localhost"}),
     (lambda c: keys.excluded_host(c), {"plato.stanford.edu": "plato.stanford.edu", "x.philpapers.org.": "philpapers.org", "notphilpapers.org": None, "iep。utm。edu": "iep.utm.edu"}),
     (lambda c: keys.surname_last_word(c), {"Ada Lovelace": "Lovelace", "Lovelace, Ada": "Lovelace", "Plato": "Plato"}),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import components, dedupe, evidence, matching, prose
+from citeloom.operators import components, dedupe, evidence, matching, prose, search
 from citeloom.streaming import freshness
 
 
@@ -93,7 +93,10 @@ def test_fold_in_order(spark):
 
 def test_cascade_clusters_and_letters(spark):
     rows = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (3, "", "q"), (4, None, None), (5, "z", "p")], "id int, k1 string, k2 string")
-    assert {r.id: r.survivor for r in dedupe.cascade(rows, ["k1", "k2"], "id").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+    # 3 meets 1 by the second key of 2, which 1 has absorbed.
+    assert {r.id: (r.survivor, r.passes) for r in dedupe.cascade(rows, ["k1", "k2"], "id").collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 1), 4: (4, 0), 5: (1, 1)}
+    bridge = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (3, "y", "r"), (4, "y", "q"), (5, "z", "r")], "id int, k1 string, k2 string")
+    assert {r.id: r.survivor for r in dedupe.cascade(bridge, ["k1", "k2"], "id").collect()} == dict.fromkeys(range(1, 6), 1)
     works = spark.createDataFrame([(1, "d1", "t"), (2, "", "t"), (3, "d1", "u"), (4, "d2", "v"), (5, "d3", "v"), (6, "", "v")], "id int, doi string, title string")
     got = {r.id: (r.cluster, r.tainted) for r in dedupe.work_clusters(works).collect()}
     assert got == {1: (1, False), 2: (1, False), 3: (1, False), 4: (4, False), 5: (5, False), 6: (6, True)}
@@ -169,3 +172,39 @@ def test_ledger_versions(spark, tmp_path):
         for _ in range(2):  # a batch that runs again changes nothing
             freshness.merge_into_ledger(spark.createDataFrame(batch, schema), folder, version, "k", current)
     assert {r.k: r.v for r in spark.read.parquet(f"{folder}/v2").collect()} == {"a": 3, "b": 2}
+
+
+def test_mentions_of_any_length_and_overlap_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["a", "b", "c", "d"]
+    docs = [(i, rng.choice(["", " ", "\n"]).join([" ".join(rng.choices(words, k=rng.randint(0, 30)))])) for i in range(60)] + [(99, None), (98, "")]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 2, 2, 5, 7, 8, 9, 12] * 2)] + [(50, ""), (51, None), (52, docs[3][1]), (53, docs[4][1].upper())]
+    spaced = lambda t: " " + " ".join((t or "").lower().split()) + " "
+    expected = {(d, i) for d, t in docs for i, p in items if spaced(p).strip() and spaced(p) in spaced(t)}
+    found = matching.mentions(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected and len(found) == len(expected)
+    sets = [(i, rng.sample("abcdefgh", rng.randint(0, 6))) for i in range(80)]
+    best = {}
+    for i, own in sets:
+        scores = [(len(set(own) & set(o)) / max(1, len(own)), -t) for t, o in sets if len(set(own) & set(o)) >= max(2, 0.5 * len(own))]
+        if scores:
+            best[i] = max(scores)
+    df = spark.createDataFrame(sets, "item int, tokens array<string>")
+    got = {r.item: (r.score, -r.target) for r in matching.overlap_best(df, df.withColumnRenamed("item", "target")).collect()}
+    assert got == best
+
+
+def test_places_of_large_groups_and_recommendations(spark):
+    rows = [(g, i * 7 % 101, i) for g in (None, 1, 2) for i in range(100 if g == 1 else 3)]
+    df = spark.createDataFrame(rows, "g int, x int, i int").repartition(7)
+    got = {(r.g, r.i): r.place for r in prose.ordered_places(df, "g", ["x", "i"]).collect()}
+    expected = {}
+    for g in (None, 1, 2):
+        for place, (_, x, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1):
+            expected[g, i] = place
+    assert got == expected
+    vectors = spark.createDataFrame([(1, 10, [1, 0]), (1, 11, [0, 2]), (1, 12, [3, 3]), (2, 20, [1, 1])], "label int, vec_id int, e array<long>")
+    examples = spark.createDataFrame([(1, [2, 0], 1), (1, [0, 1], -1)], "label int, e array<long>, sign int")
+    assert [(r.vec_id, r.score, r.place) for r in search.recommended(vectors, examples, "label", "vec_id", 2).orderBy("place").collect()] == [(12, 3, 1), (10, 2, 2)]
