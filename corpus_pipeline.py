@@ -1,7 +1,9 @@
 """From raw documents to packed sequences of ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept. All but the last return the columns of documents.
+kept. All but the last return the columns of documents (COLUMNS); columns beyond
+these are dropped by the first stage. A null doc_id is a document of its own to
+every stage: it is judged like any other, and never the reason that one goes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at the threshold or above go."""
+    """Documents that score at the threshold or above go; those without doc_id are scored, but nothing is learnt from them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs.select(COLUMNS), toxicity.fit(docs, labels))
     return scored.filter(F.col("toxic_score") < toxicity.THRESHOLD).select(COLUMNS)
@@ -50,14 +52,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeat go; a character that loses some of its bytes becomes U+FFFD."""
+    """Bytes that repeat go; a character that loses some of its bytes becomes U+FFFD, and a null text becomes empty.
+
+    Documents without doc_id come first: theirs are the occurrences that stay.
+    """
     left = suffix_dedup.remove_repeats(docs.select(COLUMNS))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     return left.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids; rows without doc_id or with one that repeats are packed each on its own."""
     import public_tokenizers
 
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
