@@ -29,6 +29,8 @@ from citeloom.llm.word_tokens import forget, word_tokenizer
 from citeloom.session import written
 
 CAPACITY = 2048
+#: Rows of a plan up to which it is broadcast (about 15 MB).
+SMALL = 200_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -175,8 +177,8 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "row_hash")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    # places has a bounded number of rows: each multiset uses up a length, of which there are `capacity`.
-    met = ranked.join(F.broadcast(places), (F.col("length") == F.col("origin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    # Each multiset uses up a length, of which there are `capacity`, so places stays small; should it not, it is joined by shuffle.
+    met = ranked.join(F.broadcast(places) if len(rows) <= SMALL else places, (F.col("length") == F.col("origin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     item = F.col("first") + F.col("rank") - F.col("low")
     return met.select(
         *[c for c in pieces_df.columns if c not in ("start", "length")],

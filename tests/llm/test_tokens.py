@@ -49,6 +49,14 @@ def test_packing_covers_every_id_once(spark):
     check_packed(packing.packed_documents(docs, WORD).collect(), texts)
 
 
+def test_packing_very_long_text_and_clashing_columns(spark, monkeypatch):
+    """A text of a megabyte, columns named like the output, and a plan too large to broadcast."""
+    monkeypatch.setattr(packing, "SMALL", 0)
+    texts = {1: "alpha Beta, " * 90_000, 2: None, 3: "x"}
+    docs = spark.createDataFrame([(i, t, "a", "b", -1) for i, t in texts.items()], "doc_id long, text string, ids string, row_hash string, length int")
+    check_packed(packing.packed_documents(docs, WORD).collect(), texts)
+
+
 def test_packing_one_document_and_none(spark):
     docs = spark.createDataFrame([(None, None), (None, None), (7, "a b")], "doc_id long, text string")
     rows = packing.packed_documents(docs, WORD).collect()
