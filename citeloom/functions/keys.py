@@ -258,6 +258,34 @@ def cache_key(source: str, params: Column) -> Column:
     return F.concat(F.lit(source + "_"), F.substring(F.sha2(F.to_json(params), 256), 1, 16))
 
 
+def fallback_key(title: Column, year: Column, surname: Column) -> Column:
+    """Title, year and first surname as one key for works without a DOI; null if any of them is empty."""
+    parts = [title_key(title), F.trim(text_of(year)), title_key(surname)]
+    return F.when((parts[0] != "") & (parts[1] != "") & (parts[2] != ""), F.concat_ws("|", *parts))
+
+
+def author_signature(author: Column, editor: Column) -> Column:
+    """Surname and first initial of every author (else editor), `a, b and c, d` in order; empty if a surname is missing."""
+    names = F.split(F.coalesce(F.nullif(F.trim(text_of(author)), F.lit("")), F.trim(text_of(editor))), r"\s+and\s+")
+    first = lambda n: F.when(F.contains(n, F.lit(",")), F.split_part(n, F.lit(","), F.lit(2))).otherwise(F.regexp_replace(n, r"\s*\S+$", ""))
+    each = F.transform(F.filter(names, lambda n: F.trim(n) != ""), lambda n: F.struct(title_key(surname_last_word(F.trim(n))).alias("surname"), F.substring(title_key(first(F.trim(n))), 1, 1).alias("initial")))
+    return F.when(F.exists(each, lambda p: p["surname"] == ""), F.slice(each, 1, 0)).otherwise(each)
+
+
+#: Fields of a record that can verify an entry's.
+AUTHORITY = ("container_title", "volume", "issue", "pages", "publisher")
+
+
+def supplied_fields(record: Column | None = None) -> Column:
+    """Names of the AUTHORITY fields that a record (columns, or a struct) supplies; white space supplies nothing."""
+    of = lambda name: F.col(name) if record is None else record[name]
+    return F.array_compact(F.array(*[F.when(F.trim(text_of(of(name))) != "", name) for name in AUTHORITY]))
+
+
+def completeness(record: Column | None = None) -> Column:
+    return F.size(supplied_fields(record))
+
+
 def cleaned_fields(keywords: Column) -> Column:
     """Fields that a cleaning marker says were removed."""
     listed = F.regexp_extract(keywords, r"METADATA\\*_CLEANED:\s*([^;]*)", 1)

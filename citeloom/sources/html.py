@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -72,6 +73,124 @@ def articles(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
+HEADINGS, VOID = {"h2", "h3", "h4"}, {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "col", "source"}
+
+
+class _Parts(HTMLParser):
+    """Preamble, contents, sections and bibliography of an encyclopedia's article."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, str | None]] = []
+        self.preamble: list[str] | None = None
+        self.toc, self.items, self.blocks, self.related = [], [], [], []
+
+    def within(self, name: str) -> int | None:
+        """How far in the stack the division with that id lies below the top, or None."""
+        return next((len(self.stack) - 1 - i for i, (tag, own) in enumerate(self.stack) if tag == "div" and own == name), None)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        attrs = dict(attrs)
+        main = self.within("main-text")
+        self.stack.append((tag, attrs.get("id")))
+        if main == 0 and (tag in HEADINGS or tag == "p"):
+            self.blocks.append((tag, []))
+        if tag == "a" and self.within("toc") and attrs.get("href", "").startswith("#"):
+            self.toc.append([])
+        if tag == "a" and self.within("related-entries") and "/entries/" in attrs.get("href", ""):
+            self.related.append(attrs["href"].split("/entries/")[-1].strip("/"))
+        if tag == "li" and self.within("bibliography"):
+            self.items.append([])
+        if tag == "div" and attrs.get("id") == "preamble" and self.preamble is None:
+            self.preamble = []
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if at is not None:
+            del self.stack[at:]
+
+    def handle_data(self, data):
+        text = data.strip()
+        tags = [t for t, _ in self.stack]
+        if not text or "script" in tags or "style" in tags:
+            return
+        if self.within("preamble") is not None and self.preamble is not None:
+            self.preamble.append(text)
+        if self.within("toc") is not None and "a" in tags and self.toc:
+            self.toc[-1].append(text)
+        if self.within("bibliography") is not None and "li" in tags:
+            self.items[-1].append(text)
+        main = self.within("main-text")
+        if main and self.blocks and self.stack[len(self.stack) - main][0] == self.blocks[-1][0]:
+            self.blocks[-1][1].append(text)
+
+
+def _parts(page: str | None) -> dict:
+    reader = _Parts()
+    reader.feed(page or "")
+    reader.close()
+    squeezed = lambda parts: " ".join(" ".join(parts).split())
+    toc, sections, now = [], {}, None
+    for parts in reader.toc:
+        text = "".join(parts)
+        number = re.match(r"[0-9]+(\.[0-9]+)*", text)
+        if number:
+            toc.append({"id": number[0], "title": text[number.end() :].strip(". "), "level": text.count(".") + 1})
+    for tag, parts in reader.blocks:
+        if tag == "p":
+            if now:
+                sections[now]["content"].append(squeezed(parts))
+            continue
+        heading = re.match(r"([0-9]+(?:\.[0-9]+)*)\.\s*(.+)", "".join(parts))
+        now = heading[1] if heading else None
+        if heading:
+            sections[now] = {"id": now, "title": heading[2], "content": []}
+    found = [{**s, "content": " ".join(s["content"]).strip()} for s in sections.values()]
+    return {"preamble": None if reader.preamble is None else squeezed(reader.preamble), "toc": toc, "sections": found, "bibliography": [squeezed(x) for x in reader.items], "related": list(dict.fromkeys(reader.related))}
+
+
+def article_parts(pages: DataFrame, column: str = "html") -> DataFrame:
+    """pages without the html, with preamble, toc, sections, bibliography (lines) and related (names of entries).
+
+    A section is a numbered heading directly in the main text with the
+    paragraphs after it; an unnumbered heading ends it. Null and foreign pages
+    have a null preamble and empty lists.
+    """
+    new = {
+        "preamble": (T.StringType(), pa.string()),
+        "toc": (T.ArrayType(T.StructType().add("id", "string").add("title", "string").add("level", "integer")), pa.list_(pa.struct([("id", pa.string()), ("title", pa.string()), ("level", pa.int32())]))),
+        "sections": (T.ArrayType(T.StructType().add("id", "string").add("title", "string").add("content", "string")), pa.list_(pa.struct([("id", pa.string()), ("title", pa.string()), ("content", pa.string())]))),
+        "bibliography": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
+        "related": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
+    }
+    keep = [c for c in pages.columns if c not in (column, *new)]
+    schema = pages.select(*keep).schema
+    for name, (kind, _) in new.items():
+        schema = schema.add(name, kind)
+
+    def run(batches):
+        for batch in batches:
+            found = [_parts(x) for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array([f[n] for f in found], kind) for n, (_, kind) in new.items())], names=[*keep, *new])
+
+    return pages.select(*keep, column).mapInArrow(run, schema)
+
+
+def projected(parts: DataFrame, section_ids: list[str] | None = None, preamble: bool = True, bibliography: bool = True) -> DataFrame:
+    """Article parts with only what is asked for: some sections, with or without preamble and bibliography."""
+    out = parts if section_ids is None else parts.withColumn("sections", F.filter("sections", lambda s: s["id"].isin(*section_ids)))
+    return out.drop(*([] if preamble else ["preamble"]), *([] if bibliography else ["bibliography"]))
+
+
+def sitemap_slugs(files: DataFrame, folder: str = "reviews") -> DataFrame:
+    """slug, ord of the addresses under a folder in sitemaps (file, content), each slug once at its first place."""
+    found = F.regexp_extract_all("content", F.lit(rf"<loc>[^<]*/{folder}/([^/<\s]+)/?\s*</loc>"), F.lit(1))
+    each = files.select("file", F.posexplode(found).alias("ord", "slug"))
+    return each.groupBy("slug").agg(F.min(F.struct("file", "ord")).alias("at")).select("slug", "at.file", "at.ord")
+
+
 def related_entries(read: DataFrame) -> DataFrame:
     """Links of articles that lead to other entries."""
     return read.withColumn("related", F.array_distinct(F.filter("links", lambda x: F.contains(x, F.lit("/entries/")))))

@@ -70,3 +70,13 @@ def test_typed_values(spark):
     assert value(spark, keys.text_of_inverted_index(index)) == "a b a b"
     assert value(spark, keys.display_year(F.lit("2010"), F.lit("b"))) == "2010b" and value(spark, keys.display_year(F.lit("2010"), F.lit("unassigned"))) == "2010"
     assert value(spark, keys.printable_share(F.lit(""))) == 0.0 and value(spark, keys.printable_share(F.lit("ab\x01\x02"))) == 0.5
+
+
+def test_work_keys_and_signatures(spark):
+    rows = [("The Mind's Eye", " 2001 ", "Müller", "Müller, Ann and Bo Weiß", None), ("T", "", "S", "", "Ed, A."), (None, "2001", "S", "Plato", None), ("T", "2001", "S", ", X and Y, Z", None)]
+    df = spark.createDataFrame(rows, "title string, year string, surname string, author string, editor string")
+    got = df.select(keys.fallback_key(F.col("title"), F.col("year"), F.col("surname")).alias("k"), F.transform(keys.author_signature(F.col("author"), F.col("editor")), lambda p: F.concat_ws("/", p["surname"], p["initial"])).alias("s")).collect()
+    assert [r.k for r in got] == ["the mind s eye|2001|muller", None, None, "t|2001|s"]
+    assert [r.s for r in got] == [["muller/a", "weiss/b"], ["ed/a"], ["plato/"], []]
+    record = spark.createDataFrame([("J", " ", None, "1-2", "P"), (None, None, None, None, None)], "container_title string, volume string, issue string, pages string, publisher string")
+    assert [(r.f, r.n) for r in record.select(keys.supplied_fields().alias("f"), keys.completeness().alias("n")).collect()] == [(["container_title", "pages", "publisher"], 3), ([], 0)]

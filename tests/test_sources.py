@@ -104,3 +104,27 @@ def test_pages(spark):
     assert (rows[0].title, rows[0].text, rows[0].related) == ("A b", "Head One & two Sub l", ["/entries/x"])
     assert [(h.level, h.id, h.text) for h in rows[0].headings] == [(1, None, "Head"), (2, "s1", "Sub")]
     assert (rows[1].title, rows[1].text, rows[2].title) == ("", "", "Only")
+
+
+ARTICLE = """<html><body><div id="preamble"><p>First &amp; <em>last</em>.</p></div>
+<div id="toc"><ul><li><a href="#1">1. One</a></li><li><a href="#1.1">1.1 Sub</a></li><li><a href="#b">Bibliography</a></li><li><a href="http://x">2. No</a></li></ul></div>
+<div id="main-text"><h2>1. One</h2><p>Alpha <i>beta</i><br>gamma.</p><div><p>inside</p></div><p>More.</p><h3>1.1. Sub</h3><p>Delta.</p><h2>Notes</h2><p>left out</p></div>
+<div id="bibliography"><ul><li>A., 2001, <em>T</em>, P.</li><li>B., 2002.</li></ul></div>
+<div id="related-entries"><a href="../../entries/mind/">mind</a> <a href="/other/">x</a></div></body></html>"""
+
+
+def test_parts_of_articles_and_sitemaps(spark):
+    from citeloom.sources import html
+
+    pages = spark.createDataFrame([(1, ARTICLE, "clash"), (2, None, "c"), (3, "<p>no article", "c"), (4, "", "c")], "page_id int, html string, toc string")
+    parts = {r.page_id: r for r in html.article_parts(pages).collect()}
+    one = parts[1]
+    assert one.preamble == "First & last ."
+    assert [(x.id, x.title, x.level) for x in one.toc] == [("1", "One", 2), ("1.1", "Sub", 2)]
+    assert [(x.id, x.title, x.content) for x in one.sections] == [("1", "One", "Alpha beta gamma. More."), ("1.1", "Sub", "Delta.")]
+    assert one.bibliography == ["A., 2001, T , P.", "B., 2002."] and one.related == ["mind"]
+    assert all((parts[i].preamble, parts[i].sections, parts[i].bibliography) == (None, [], []) for i in (2, 3, 4))
+    some = html.projected(html.article_parts(pages), ["1.1"], preamble=False).filter("page_id = 1").first()
+    assert [s.id for s in some.sections] == ["1.1"] and "preamble" not in some.asDict()
+    maps = spark.createDataFrame([("a", "<loc>https://x.org/reviews/being-and-time/</loc><loc>https://x.org/about/</loc><loc>https://x.org/reviews/mind</loc><loc>https://x.org/reviews/mind/</loc>"), ("b", None)], "file string, content string")
+    assert sorted((r.slug, r.ord) for r in html.sitemap_slugs(maps).collect()) == [("being-and-time", 0), ("mind", 1)]
