@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
+from citeloom.session import written
 
 #: Fields that count as substance when entries are compared and merged.
 SUBSTANCE = ("journal", "booktitle", "volume", "number", "pages", "publisher", "doi", "url", "abstract", "sep_context", "iep_context")
@@ -62,7 +63,9 @@ def cascade(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     that of a row they absorbed; the smallest order of a group survives. Empty
     and null keys group nothing.
     """
-    now = rows.select(F.col(order).alias("__id"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).withColumn("survivor", F.col("__id")).withColumn("passes", F.lit(0))
+    # Every pass reads the keys twice: they are computed once and written, narrow as they are.
+    now = written(rows.select(F.col(order).alias("__id"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]), "keys")
+    now = now.withColumn("survivor", F.col("__id")).withColumn("passes", F.lit(0))
     for i in range(len(keys)):
         # The keys of all that a survivor has absorbed, as narrow rows.
         each = now.select("survivor", F.col(f"__k{i}").alias("k")).filter("k IS NOT NULL AND k != ''").distinct()
