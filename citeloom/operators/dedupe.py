@@ -44,16 +44,58 @@ def merge_pair(first: Column, second: Column) -> Column:
     return F.struct(F.least(first["ord"], second["ord"]).alias("ord"), win("key").alias("key"), fields.alias("fields"), raised.alias("keywords"), removed.alias("removed"), F.array_union(first["lineage"], second["lineage"]).alias("lineage"))
 
 
-def fold_groups(entries: DataFrame, group: str) -> DataFrame:
-    """One survivor for each group of entries (ord, key, fields, keywords, removed, lineage), folded in their order.
-
-    Rows without a group stay as they are.
+def fold_groups(entries: DataFrame, group: str, with_lineage: bool = True) -> DataFrame:
+    """One survivor for each group of entries (ord, key, fields, keywords, removed, lineage), as merge_pair folds them in order.
+
+    Rows without a group stay as they are, and so does a row alone in its
+    group. Nothing is folded row by row: the survivor changes only at a group's
+    first row with an abstract and at its first rows of a higher importance, so
+    all follows from aggregates of a few rows each, however large a group is.
+    A gap is filled from the latest of these leaders that has the field, else
+    from the first row that has; blank values fill nothing, and an abstract is
+    never among the removed fields. lineage is as long as its group: without it
+    `fold_lineage` gives the same as rows.
     """
-    columns = ["ord", "key", "fields", "keywords", "removed", "lineage"]
-    grouped = entries.filter(F.col(group).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*columns)), lambda a, b: (a["ord"] > b["ord"]).cast("int") - (a["ord"] < b["ord"]).cast("int")).alias("all"))
-    folded = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(1))), F.element_at("all", 1), merge_pair)
-    survivors = grouped.select(F.when(F.size("all") == 1, F.element_at("all", 1)).otherwise(folded).alias("e")).select("e.*")
-    return survivors.unionByName(entries.filter(F.col(group).isNull()).select(columns))
+    columns = ["ord", "key", "fields", "keywords", "removed"] + (["lineage"] if with_lineage else [])
+    own = entries.filter(F.col(group).isNotNull()).withColumn("__g", F.col(group))
+    place = F.struct("ord", "key")
+    has = F.length(F.coalesce(F.try_element_at("fields", F.lit("abstract")), F.lit(""))) > 10
+    level = importance(F.col("keywords"))
+    row = F.struct("ord", "key", "fields", "keywords", has.alias("has"))
+    first = lambda test: F.min_by(row, F.when(test, place))
+    leaders = {"__c0": F.lit(True), "__abs": has, "__i1": level >= 1, "__i2": level >= 2}
+    heads = own.groupBy("__g").agg(*[first(test).alias(name) for name, test in leaders.items()], F.max(level).alias("__top"), F.count(F.lit(1)).alias("__n"), F.min_by("removed", place).alias("__own"))
+    removed = own.select("__g", F.explode("removed").alias("k")).groupBy("__g").agg(F.array_sort(F.collect_set("k")).alias("__removed"))
+    substance = F.array(*map(F.lit, SUBSTANCE))
+    filling = own.select("__g", place.alias("__at"), F.explode(F.map_filter("fields", lambda k, v: k.isin(*SUBSTANCE) & (v != ""))).alias("k", "v"))
+    fills = filling.groupBy("__g", "k").agg(F.min_by("v", "__at").alias("v")).groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__fill"))
+    all_of = heads.join(removed, "__g", "left").join(fills, "__g", "left")
+    # An entry of higher importance leads only if the first abstract is not before it, or it has one itself.
+    later = lambda c: F.col(c)["ord"].isNotNull() & (F.col("__abs").isNull() | F.col(c)["has"] | (F.struct(F.col(c)["ord"], F.col(c)["key"]) < F.struct(F.col("__abs")["ord"], F.col("__abs")["key"])))
+    chain = F.filter(F.array("__c0", "__abs", F.when(later("__i1"), F.col("__i1")), F.when(later("__i2"), F.col("__i2"))), lambda x: x.isNotNull())
+    after = lambda a, b: F.struct(a["ord"], a["key"]) > F.struct(b["ord"], b["key"])
+    all_of = all_of.withColumn("__chain", F.array_sort(chain, lambda a, b: after(b, a).cast("int") - after(a, b).cast("int"))).withColumn("__win", F.element_at("__chain", 1))
+    gone = F.coalesce("__removed", F.array().cast("array<string>"))
+    led = lambda k: F.try_element_at(F.filter(F.transform("__chain", lambda c: F.nullif(F.try_element_at(c["fields"], k), F.lit(""))), lambda v: v.isNotNull()), F.lit(1))
+    filled = F.transform(substance, lambda k: F.struct(k.alias("k"), F.coalesce(led(k), F.try_element_at("__fill", k)).alias("v")))
+    plain = F.map_filter(F.coalesce(F.col("__win.fields"), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*SUBSTANCE) & v.isNotNull())
+    fields = F.map_filter(F.map_concat(plain, F.map_from_entries(F.filter(filled, lambda s: s["v"].isNotNull()))), lambda k, v: ~F.array_contains(gone, k))
+    words = F.col("__win.keywords")
+    raised = F.when(importance(words) < F.col("__top"), F.concat_ws(", ", F.filter(F.split(words, r",\s*"), lambda w: ~w.isin(*IMPORTANCE)), F.element_at(F.array(*map(F.lit, IMPORTANCE)), F.col("__top") + 1))).otherwise(words)
+    alone = F.col("__n") == 1
+    survivors = all_of.select("__g", F.col("__c0.ord").alias("ord"), F.col("__win.key").alias("key"), F.when(alone, F.col("__win.fields")).otherwise(fields).alias("fields"), raised.alias("keywords"), F.when(alone, F.col("__own")).otherwise(gone).alias("removed"))
+    if with_lineage:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "lineage"))), lambda s: s["lineage"])
+        survivors = survivors.join(own.groupBy("__g").agg(F.array_distinct(F.flatten(listed)).alias("lineage")), "__g")
+    return survivors.select(columns).unionByName(entries.filter(F.col(group).isNull()).select(columns))
+
+
+def fold_lineage(entries: DataFrame, group: str, survivors: DataFrame) -> DataFrame:
+    """key, member: every entry's own key under that of its group's survivor (of fold_groups); a survivor is its own member."""
+    own = entries.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col("key").alias("member"))
+    least = entries.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.min("ord").alias("ord"))
+    led = least.join(survivors.select("ord", "key"), "ord").select("g", "key")
+    return own.join(led, "g").select("key", "member").unionByName(entries.filter(F.col(group).isNull()).select("key", F.col("key").alias("member")))
 
 
 def cascade(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

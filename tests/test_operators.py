@@ -1,5 +1,7 @@
 """Decision tables of the operators, branch by branch."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,29 @@ def test_fold_in_order(spark):
     assert b.fields == {"title": "T", "abstract": "long enough abstract", "journal": "J"}
 
 
+def test_fold_of_aggregates_equals_the_fold_in_order(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        fields = {k: rng.choice(["", None, f"{k}{i}"]) for k in rng.sample(["abstract", "journal", "pages", "doi", "note", "title"], 4)}
+        if fields.get("abstract"):
+            fields["abstract"] = rng.choice(["short", f"an abstract {i}"])
+        fields = {k: v for k, v in fields.items() if v or k == "journal" and v == ""}
+        words = rng.choice([None, "", "a", "Low, a", "a, Medium", "High", "Highly"])
+        rows.append((i, f"k{i}", fields, words, rng.choice([[], [], [], ["pages"], ["doi", "pages"]]), [f"k{i}"], f"g{rng.randrange(90)}"))
+    entries = spark.createDataFrame(rows, "ord int, key string, fields map<string,string>, keywords string, removed array<string>, lineage array<string>, g string")
+    columns = entries.columns[:-1]
+    listed = entries.groupBy("g").agg(F.collect_list(F.struct(*columns)).alias("all"))
+    ordered = listed.withColumn("all", F.array_sort("all", lambda a, b: a["ord"] - b["ord"]))
+    folded = ordered.select(F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(1))), F.element_at("all", 1), dedupe.merge_pair).alias("f"), F.element_at("all", 1).alias("one"), F.size("all").alias("n"))
+    expected = folded.select(F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("f")).alias("e")).select("e.*").collect()
+    found = dedupe.fold_groups(entries, "g")
+    plain = lambda r: (r.ord, r.key, {k: v for k, v in r.fields.items() if v}, r.keywords, sorted(r.removed), list(r.lineage))
+    assert sorted(map(plain, found.collect()), key=str) == sorted(map(plain, expected), key=str)
+    members = dedupe.fold_lineage(entries, "g", found).collect()
+    assert sorted((r.key, r.member) for r in members) == sorted((r.key, m) for r in expected for m in r.lineage)
+
+
 def test_cascade_clusters_and_letters(spark):
     rows = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (3, "", "q"), (4, None, None), (5, "z", "p")], "id int, k1 string, k2 string")
     # 3 meets 1 by the second key of 2, which 1 has absorbed.
