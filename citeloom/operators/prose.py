@@ -45,16 +45,72 @@ def positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return each.withColumn("pos", F.coalesce(F.sum(F.length("word") + 1).over(w), F.lit(0)).cast("long")).select(key, "word", "pos")
 
 
+#: A year, a name, and words before a comma that are no author of what follows.
+YEAR = r"(?:1[6-9]|20)[0-9]{2}"
+NAME = r"\p{Lu}[\w'’-]+"
+LEAD_INS = (
+    "However", "Moreover", "Nevertheless", "Nonetheless", "Furthermore", "Therefore", "Thus", "Hence", "Accordingly", "Consequently", "Instead", "Conversely", "Similarly", "Likewise",
+    "Indeed", "Admittedly", "Arguably", "Notably", "Crucially", "Importantly", "Interestingly", "Strikingly", "Famously", "Relatedly", "Alternatively", "Meanwhile", "Overall", "Finally",
+    "Ultimately", "First", "Second", "Third", "Fourth", "Fifth", "Recently", "Historically", "Traditionally", "Classically", "Typically", "Generally", "Specifically", "Broadly",
+    "Roughly", "Strictly", "Formally", "Initially", "Subsequently", "Originally", "Again", "Still", "Yet", "Rather", "Otherwise", "Equally", "Correspondingly", "Unsurprisingly",
+    "Surprisingly", "Curiously", "Tellingly", "Plainly", "Clearly", "Obviously", "Presumably",
+)
+#: Names that lead to another one, particles after `and`, a first name, the last surname, et al., and years with letters.
+CITATION = (
+    rf"(?U)((?:{NAME}(?:,?\s+(?:and|&)\s+|,\s+))*)((?:(?<=\band\s{{1,4}})(?:[\p{{Ll}}'’-]+\s+)+)?)(?:(\p{{Lu}}[\w.]*)\s+)?({NAME})"
+    rf"(?:\s+(et al)\.?)?(?:['’]s)?[\s,]*\(?\s*({YEAR}[a-z]?\b(?:\s*[;,]\s*(?:{YEAR}[a-z]?\b|[a-z](?=\s*(?:[;,)]|$))))*)"
+)
+
+
+def _scanned(docs: DataFrame, key: str) -> DataFrame:
+    """Every place of an author-year citation: key, n, names (all before the last), last, surname, second, form, years, accepted.
+
+    The names before the last surname decide. After `and` it is the second of a
+    pair, if nothing stands between; a name that follows another one by comma,
+    `and` or `&` is no first author, so that such a place is not accepted.
+    """
+    found = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(CITATION), F.lit(0))).alias("n", "c"))
+    part = lambda i: F.regexp_extract("c", CITATION, i)
+    found = found.select(key, "n", *[part(i).alias(name) for i, name in enumerate(["leads", "particles", "first", "last", "etal", "list"], 1)])
+    names = lambda c: F.regexp_extract_all(c, F.lit(f"(?U){NAME}"), F.lit(0))
+    prior = F.regexp_replace("leads", rf"(?U){NAME},?\s+(?:(?:and|&)\s+)?$", "")
+    free = lambda c: (c == "") | (c.rlike(r",\s+$") & ~c.rlike(r"\s(?:and|&)\s+$") & F.try_element_at(names(c), F.lit(-1)).isin(*LEAD_INS))
+    own = lambda c: F.regexp_replace(c, "['’]s$", "")
+    pair = F.rlike("leads", F.lit(r"\sand\s+$")) & (F.col("etal") == "") & (F.col("first") == "")
+    tokens = F.transform(F.split("list", r"\s*[;,]\s*"), lambda t: F.struct(F.regexp_extract(t, "^[0-9]{4}", 0).alias("year"), F.regexp_extract(t, "[a-z]$", 0).alias("letter")))
+    year = lambda i: F.element_at(F.filter(F.transform(F.slice("tokens", F.lit(1), i + 1), lambda t: t["year"]), lambda y: y != ""), -1)
+    return found.withColumn("tokens", tokens).select(
+        key,
+        "n",
+        F.transform(names("leads"), own).alias("names"),
+        own(F.col("last")).alias("last"),
+        own(F.when(pair, F.element_at(names("leads"), -1)).otherwise(F.col("last"))).alias("surname"),
+        F.when(pair, own(F.concat("particles", "last"))).alias("second"),
+        F.when(pair, "pair").when(F.col("etal") != "", "etal").otherwise("solo").alias("form"),
+        F.transform("tokens", lambda t, i: F.struct(F.when(t["year"] != "", t["year"]).otherwise(year(i)).alias("year"), F.nullif(t["letter"], F.lit("")).alias("letter"))).alias("years"),
+        F.when(pair, free(prior)).otherwise(free(F.col("leads"))).alias("accepted"),
+    )
+
+
 def citations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, surname, second, form, year, letter of author-year citations in prose.
+    """key, n, surname, second, form, year, letter, continuation of author-year citations in prose.
+
+    Forms: solo `A (2001a)`, pair `A and B (2001)`, etal `A et al. (2001)`. A
+    list of years, `A (2001a, b; 2003)`, gives a row for each: all but the
+    first continue it, and a letter alone belongs to the year before. Names
+    within longer lists of authors are left to rejected_mentions.
+    """
+    found = _scanned(docs, key).filter("accepted").select(key, "n", "surname", "second", "form", F.posexplode("years").alias("i", "y"))
+    return found.select(key, "n", "surname", "second", "form", "y.year", "y.letter", (F.col("i") > 0).alias("continuation"))
+
+
+def rejected_mentions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, surname, year: every name of a citation that citations leaves out, with its years that have no letter.
 
-    Forms: `A (2001a)`, `(A 2001)`, `A and B (2001)`, `A et al. (2001)`.
+    Such a place may mean the works of any of its names, so each is protected.
     """
-    pattern = r"(?U)(\p{Lu}[\p{L}'’-]+)(?:\s+(?:and|&)\s+(\p{Lu}[\p{L}'’-]+)|\s+(et al)\.?)?,?\s+\(?((?:1[5-9]|20)[0-9]{2})([a-z])?\b"
-    part = lambda i: F.regexp_extract_all("text", F.lit(pattern), F.lit(i))
-    found = docs.select(key, F.posexplode(F.arrays_zip(*[part(i).alias(n) for i, n in ((1, "surname"), (2, "second"), (3, "etal"), (4, "year"), (5, "letter"))])).alias("n", "c"))
-    form = F.when(F.col("c.etal") != "", "etal").when(F.col("c.second") != "", "pair").otherwise("solo")
-    return found.select(key, "n", F.col("c.surname").alias("surname"), F.nullif("c.second", F.lit("")).alias("second"), form.alias("form"), F.col("c.year").alias("year"), F.nullif("c.letter", F.lit("")).alias("letter"))
+    found = _scanned(docs, key).filter("NOT accepted").select(key, F.explode(F.array_distinct(F.concat("names", F.array("last")))).alias("surname"), "years")
+    return found.select(key, "surname", F.explode("years").alias("y")).filter("y.letter IS NULL").select(key, "surname", "y.year").distinct()
 
 
 def unresolved(found: DataFrame, references: DataFrame) -> DataFrame:

@@ -284,7 +284,26 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 30 <> n
 """
 
 
+def citation_lists(spark, sf_dir):
+    """Years that sentences made of customers cite, and those they name among authors of a longer list."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.translate(F.initcap("n_name"), "_0123456789", "xabcdefghij").alias("name"))
+    year = (F.lit(1980) + F.col("c_custkey") % 20).cast("string")
+    said = F.concat(F.lit("Thus, "), "name", F.lit(" and Other ("), year, F.lit("a, b; 2009) say. See Clark, "), "name", F.lit(" ("), year, F.lit("), and Sutton."))
+    texts = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
+    cited = prose.citations(texts).select("doc_id", "surname", F.coalesce("second", F.lit("")).alias("second"), "year", F.coalesce("letter", F.lit("")).alias("letter"), F.when(F.col("continuation"), "continued").otherwise("cited").alias("how"))
+    named = prose.rejected_mentions(texts).select("doc_id", "surname", F.lit("").alias("second"), "year", F.lit("").alias("letter"), F.lit("named").alias("how"))
+    return cited.unionByName(named)
+
+
+CITATION_LISTS = """
+WITH c AS (SELECT c_custkey AS doc_id, translate(upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)), '_0123456789', 'xabcdefghij') AS name, CAST(1980 + c_custkey % 20 AS VARCHAR) AS year FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT doc_id, name AS surname, 'Other' AS second, year, 'a' AS letter, 'cited' AS how FROM c UNION ALL SELECT doc_id, name, 'Other', year, 'b', 'continued' FROM c UNION ALL SELECT doc_id, name, 'Other', '2009', '', 'continued' FROM c
+UNION ALL SELECT doc_id, 'Clark', '', year, '', 'named' FROM c UNION ALL SELECT doc_id, name, '', year, '', 'named' FROM c
+"""
+
+
 QUERIES = {
+    "citation_lists": (citation_lists, CITATION_LISTS),
     "dedupe_key_cascade": (dedupe_key_cascade, DEDUPE_KEY_CASCADE),
     "ordered_fold_merge": (ordered_fold_merge, ORDERED_FOLD_MERGE),
     "conflict_groups": (conflict_groups, CONFLICT_GROUPS),

@@ -182,6 +182,31 @@ def test_prose(spark):
     assert said.select(prose.claims(F.col("t")).alias("c")).first().c == ["the mind is not what the brain does"]
 
 
+CITED = [
+    ("Menary (2006, 2010, 2013) and Wiens (2015a; 2015b)", [("Menary", None, "2006", None, False), ("Menary", None, "2010", None, True), ("Menary", None, "2013", None, True), ("Wiens", None, "2015", "a", False), ("Wiens", None, "2015", "b", True)], []),
+    ("Menary (2010a, b) said", [("Menary", None, "2010", "a", False), ("Menary", None, "2010", "b", True)], []),
+    ("Menary (2010), 2011 saw; Smith 2010a, a view", [("Menary", None, "2010", None, False), ("Smith", None, "2010", "a", False)], []),
+    ("Moore's (1903) and Smith and de Sousa's (1990)", [("Moore", None, "1903", None, False), ("Smith", "de Sousa", "1990", None, False)], []),
+    ("However, Clark and Menary (2010)", [("Clark", "Menary", "2010", None, False)], []),
+    ("Thus, Menary (2010)", [("Menary", None, "2010", None, False)], []),
+    ("See Clark, Menary (2010, 2011b), and Sutton", [], [("Clark", "2010"), ("Menary", "2010")]),
+    ("Clark & Menary (2010)", [], [("Clark", "2010"), ("Menary", "2010")]),
+    ("Muldoon, Wu, and Li (2023)", [], [("Muldoon", "2023"), ("Wu", "2023"), ("Li", "2023")]),
+    ("Clark and Menary et al. (2010)", [], [("Clark", "2010"), ("Menary", "2010")]),
+    ("in the 1990s, Ayer 12345 and A 1599", [], []),
+    ("", [], []),
+    (None, [], []),
+]
+
+
+def test_citations_in_lists(spark):
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CITED)], "doc_id int, text string")
+    found, left = prose.citations(docs).collect(), prose.rejected_mentions(docs).collect()
+    for i, (text, expected, rejected) in enumerate(CITED):
+        assert sorted(((r.surname, r.second, r.year, r.letter, r.continuation) for r in found if r.doc_id == i), key=str) == sorted(expected, key=str), text
+        assert sorted((r.surname, r.year) for r in left if r.doc_id == i) == sorted(rejected), text
+
+
 def test_conflicts_and_overlap(spark):
     rows = spark.createDataFrame([("d", "1", "x"), ("d", "2", "y"), ("d", "2", "x"), ("e", "1", "x"), ("e", "", "y")], "k string, v string, s string")
     assert {(r.k, r.v, tuple(r.sources)) for r in matching.conflicts(rows, "k", "v", "s").collect()} == {("d", "1", ("x",)), ("d", "2", ("x", "y"))}
