@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.operators.evidence import with_breaker
+from citeloom.functions import keys
+from citeloom.operators import checks, matching
+from citeloom.operators.evidence import overwritable_year, with_breaker
 from citeloom.sources.bibtex import REQUIRED
 
 #: Fields that may be removed when nothing verifies them.
@@ -65,3 +67,84 @@ def collision_groups(entries: DataFrame) -> DataFrame:
     first = spelled.groupBy("year", "v").agg(F.min("entry").alias("least"), F.count_distinct("entry").alias("n")).filter("n > 1")
     edges = spelled.join(first, ["year", "v"]).select(F.col("entry").alias("a"), F.col("least").alias("b"))
     return connected_components(edges).select(F.col("node").alias("entry"), F.col("label").alias("group"))
+
+
+#: Where a record has the value of an entry's field.
+OF_RECORD = {"journal": "container_title", "booktitle": "container_title", "volume": "volume", "number": "issue", "pages": "pages", "publisher": "publisher", "doi": "doi"}
+
+
+def same_value(name: str, value: Column, own: Column) -> Column:
+    """Whether a field's value is that of the entry's own record; empty values confirm nothing."""
+    forms = {"journal": (keys.venue_key, keys.journal_key), "booktitle": (keys.venue_key, keys.journal_key), "pages": (keys.page_key,), "publisher": (keys.publisher_key,), "doi": (keys.doi_key,)}.get(name, (lambda c: F.trim(keys.text_of(c)),))
+    test = F.lit(False)
+    for form in forms:
+        test = test | ((form(value) != "") & (form(value) == form(own)))
+    return F.coalesce(test, F.lit(False))
+
+
+def cleaned(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """What cleaning makes of entries (bib_file, entry_ord, key, entry_type, fields), by the records of the pool.
+
+    entries with outcome (how the own record was found, or why not), removed,
+    tripped, new_type, new_fields (with a marker of what changed), year_verdict,
+    and the identifier that the own record confirms, with its value: this is
+    what a later tier is bound to. A field stays if any record of the pool has
+    its value, or the own one. Years change only by the own record, found by
+    DOI. Nothing changes in a file whose breaker trips.
+    """
+    value = lambda name: F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+    known = records.select(
+        keys.doi_key("doi").alias("doi"), keys.title_key("title").alias("title"), keys.year_key("year").alias("year"), F.col("entry_scoped").alias("scoped"), F.struct("file", "rec_ord").alias("ord"),
+        keys.supplied_fields().alias("filled"), F.struct(*[c for c in dict.fromkeys([*OF_RECORD.values(), "year", "year_basis", "entry_scoped"])]).alias("record"),
+    )
+    asked = entries.select("bib_file", "entry_ord", keys.doi_key(value("doi")).alias("doi"), keys.title_key(keys.latex_text(value("title"))).alias("title"), keys.year_key(value("year")).alias("year"))
+    found = matching.resolve(asked, known).select("bib_file", "entry_ord", "outcome", "record")
+    held = records.select(F.explode(F.map_entries(F.map_filter(F.create_map(*[x for name, c in OF_RECORD.items() for x in (F.lit(name), F.col(c))]), lambda k, v: v != ""))).alias("e")).select("e.key", "e.value")
+    each = entries.select("bib_file", "entry_ord", F.explode(F.map_filter("fields", lambda k, v: k.isin(*CLEANABLE))).alias("field", "value"))
+    by_pool = checks.verifiable(each, held.select(F.col("key").alias("field"), "value")).filter("verifiable").select("bib_file", "entry_ord", "field")
+    joined = entries.join(found, ["bib_file", "entry_ord"])
+    confirmed = F.array_compact(F.array(*[F.when(same_value(name, value(name), F.col("record")[c]), name) for name, c in OF_RECORD.items()]))
+    joined = joined.withColumn("confirmed", confirmed)
+    proof = by_pool.unionByName(joined.select("bib_file", "entry_ord", F.explode("confirmed").alias("field")))
+    by_doi = F.col("outcome").isin("doi", "swapped")
+    place = F.col("entry_ord").cast("string")
+    plan = cleaning_plan(
+        joined.select("*", F.col("key").alias("citekey")).withColumn("key", place).withColumn("matched", F.col("record").isNotNull()).withColumn("doi_matched", by_doi),
+        proof.select("bib_file", place.alias("key"), "field"),
+    )
+    verdict = F.when(by_doi, overwritable_year(value("year"), F.col("entry_type"), F.coalesce(F.col("record.year"), F.lit("")), F.col("record.year_basis"), F.col("record.entry_scoped"))).otherwise("unmatched")
+    plan = plan.withColumn("key", F.col("citekey")).withColumn("year_verdict", F.when(F.col("tripped"), "tripped").otherwise(verdict))
+    change = F.when(F.col("year_verdict") == "yes", F.concat(value("year"), F.lit("->"), F.col("record.year")))
+    words = with_marker(value("keywords"), F.col("removed"), change)
+    over = F.map_filter(F.create_map(F.lit("keywords"), F.nullif(words, F.lit("")), F.lit("year"), F.when(F.col("year_verdict") == "yes", F.col("record.year"))), lambda k, v: v.isNotNull())
+    fields = F.map_concat(F.map_filter("kept", lambda k, v: ~F.map_contains_key(over, k)), over)
+    touched = (F.size("removed") > 0) | change.isNotNull()
+    identifier = F.when(F.array_contains("confirmed", "doi"), "doi").when(F.array_contains("confirmed", "publisher") & F.lower("entry_type").isin("book", "incollection", "inbook"), "publisher")
+    bound = F.when(identifier == "doi", keys.doi_key(value("doi"))).when(identifier == "publisher", keys.publisher_key(value("publisher")))
+    return plan.select(*entries.columns, "outcome", "removed", "tripped", "new_type", F.when(touched, fields).otherwise(F.col("fields")).alias("new_fields"), touched.alias("touched"), "year_verdict", identifier.alias("identifier"), bound.alias("identifier_value"))
+
+
+def clean_files(texts: DataFrame, pool_files: DataFrame, out: str) -> DataFrame:
+    """Bibliography texts (bib_file, file_ord, content) cleaned by API answers (file, content): files to files.
+
+    The plan is written once and cuts the lineage; then the ledger goes to
+    out/ledger, and only then the new texts to out/bib, so that a job that dies
+    leaves no text without its ledger. Chunks that do not change are written as
+    they were. Returns the ledger: bib_file, key, outcome, matched, abstained,
+    removed, year_verdict, identifier, identifier_value, breaker_tripped.
+    """
+    from citeloom.session import written
+    from citeloom.sources import bibtex, envelopes
+
+    parsed = written(bibtex.parse(texts), "entries")
+    records = written(envelopes.records(envelopes.pool(pool_files)), "records")
+    plan = written(cleaned(parsed.filter("key IS NOT NULL").select("bib_file", "entry_ord", "key", "entry_type", "fields"), records), "plan")
+    ledger = plan.select(
+        "bib_file", "key", "outcome", F.col("outcome").isin("doi", "swapped", "title").alias("matched"), F.col("outcome").isin("scoped_year_disagreement", "pooled_year_conflict").alias("abstained"),
+        "removed", "year_verdict", "identifier", "identifier_value", F.col("tripped").alias("breaker_tripped"),
+    )
+    ledger.write.mode("overwrite").json(f"{out}/ledger")
+    new = plan.filter("touched").select("bib_file", "entry_ord", F.col("new_type").alias("entry_type"), "key", F.col("new_fields").alias("fields"), F.lit(None).cast("string").alias("raw"))
+    same = parsed.join(new, ["bib_file", "entry_ord"], "left_anti").select("bib_file", "entry_ord", F.lit(None).cast("string").alias("entry_type"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("map<string,string>").alias("fields"), "raw")
+    bibtex.to_text(same.unionByName(new)).select("content", "bib_file").write.mode("overwrite").partitionBy("bib_file").text(f"{out}/bib")
+    return ledger

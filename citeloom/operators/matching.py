@@ -40,8 +40,11 @@ def resolve(entries: DataFrame, records: DataFrame) -> DataFrame:
         F.min_by(F.struct("record", "year", "scoped", "filled"), order).alias("best"),
         F.collect_set(F.when(F.col("scoped") & with_year, F.col("year"))).alias("scoped_years"),
         F.collect_set(F.when(with_year, F.col("year"))).alias("years"),
-        F.array_sort(F.collect_list(F.when(F.col("scoped") & with_year, F.struct("ord", "record", "filled")))).alias("dated"),
     )
+    # Of dated records that supply the same fields the first is enough, so that a DOI has only as many as there are sets of fields.
+    firsts = records.filter((F.col("doi") != "") & F.col("scoped") & with_year).groupBy("doi", F.array_sort("filled").alias("filled")).agg(F.min("ord").alias("ord"), F.min_by("record", "ord").alias("record"))
+    dated = firsts.groupBy("doi").agg(F.array_sort(F.collect_list(F.struct("ord", "record", "filled"))).alias("dated"))
+    by_doi = by_doi.join(dated, "doi", "left").withColumn("dated", F.coalesce("dated", F.array()))
     by_title = records.filter("title != '' AND year != ''").groupBy("title", "year").agg(F.min_by("record", "ord").alias("titled"))
     joined = entries.join(by_doi, "doi", "left").join(by_title, ["title", "year"], "left")
     best = F.col("best")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import keys
-from citeloom.operators import dedupe, licence
+from citeloom.operators import cleaning, dedupe, licence
 from citeloom.plans.tables import table
 
 
@@ -93,7 +93,34 @@ SELECT CAST(doc_id AS VARCHAR) AS key, first_doc, coalesce(journal, '') AS journ
 FROM (SELECT *, max(rn) OVER (PARTITION BY g) AS last FROM f) WHERE rn = last
 """
 
+def clean_entries(spark, sf_dir):
+    """Documents as entries of seven files; two of three have a record of their own, some of which lack the volume."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    no = F.lit(None).cast("string")
+    fields = F.create_map(F.lit("doi"), F.concat(F.lit("https://doi.org/10.1/D"), d), F.lit("volume"), d.cast("string"), F.lit("year"), F.lit("2001"), F.lit("title"), F.concat(F.lit("t"), d))
+    entries = docs.select(F.concat(F.lit("b"), d % 7).alias("bib_file"), d.alias("entry_ord"), F.concat(F.lit("k"), d).alias("key"), F.when(d % 11 == 0, "book").otherwise("article").alias("entry_type"), fields.alias("fields"))
+    records = docs.filter(d % 3 != 0).select(
+        F.concat(F.lit("f"), d).alias("file"), F.lit("crossref").alias("producer"), F.lit(0).alias("rec_ord"), (d % 5 != 0).alias("entry_scoped"), F.lit("").alias("title"), no.alias("container_title"),
+        F.when((d % 4 != 0) & (d % 7 != 3), d.cast("string")).alias("volume"), no.alias("issue"), no.alias("pages"), no.alias("publisher"), F.lit("2002").alias("year"),
+        F.when(d % 2 == 0, "print").alias("year_basis"), no.alias("suggested_type"), F.concat(F.lit("10.1/d"), d).alias("doi"),
+    )
+    plan = cleaning.cleaned(entries, records)
+    value = lambda k: F.coalesce(F.try_element_at("new_fields", F.lit(k)), F.lit(""))
+    return plan.select(F.col("entry_ord").alias("doc_id"), "outcome", F.array_join("removed", ",").alias("removed"), "tripped", "new_type", "year_verdict", value("year").alias("new_year"), value("volume").alias("volume"), value("keywords").alias("keywords"), F.coalesce("identifier_value", F.lit("")).alias("identifier"))
+
+
+CLEAN_ENTRIES = """
+WITH e AS (SELECT doc_id, doc_id % 7 AS f, doc_id % 3 <> 0 AS matched, doc_id % 3 <> 0 AND (doc_id % 4 = 0 OR doc_id % 7 = 3) AS hit, doc_id % 11 = 0 AS book FROM documents),
+t AS (SELECT *, count(*) FILTER (hit) OVER w >= 5 AND count(*) FILTER (hit) OVER w * 100 > count(*) OVER w * 30 AS tripped FROM e WINDOW w AS (PARTITION BY f)),
+v AS (SELECT *, hit AND NOT tripped AS gone, CASE WHEN tripped THEN 'tripped' WHEN NOT matched THEN 'unmatched' WHEN doc_id % 5 = 0 THEN 'unscoped' WHEN doc_id % 2 <> 0 THEN 'no-version-of-record-date' WHEN book THEN 'book-year-moved-later' ELSE 'yes' END AS year_verdict FROM t)
+SELECT doc_id, CASE WHEN matched THEN 'doi' ELSE 'unmatched' END AS outcome, CASE WHEN gone THEN 'volume' ELSE '' END AS removed, tripped, CASE WHEN book AND gone THEN 'misc' WHEN book THEN 'book' ELSE 'article' END AS new_type, year_verdict,
+  CASE WHEN year_verdict = 'yes' THEN '2002' ELSE '2001' END AS new_year, CASE WHEN gone THEN '' ELSE CAST(doc_id AS VARCHAR) END AS volume,
+  CASE WHEN gone OR year_verdict = 'yes' THEN 'METADATA_CLEANED: ' || concat_ws(', ', CASE WHEN gone THEN 'volume' END, CASE WHEN year_verdict = 'yes' THEN 'year:2001->2002' END) ELSE '' END AS keywords,
+  CASE WHEN matched THEN '10.1/d' || doc_id ELSE '' END AS identifier FROM v
+"""
+
 QUERIES = {
+    "clean_entries": (clean_entries, CLEAN_ENTRIES),
     "entry_fold": (entry_fold, ENTRY_FOLD),
     "tier_licence": (tier_licence, TIER_LICENCE),
     "tier_restamp": (tier_restamp, TIER_RESTAMP),

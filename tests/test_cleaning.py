@@ -39,3 +39,34 @@ def test_collisions(spark):
     ]
     got = {r.member: (r.kept, r.reason) for r in cleaning.collision_fate(spark.createDataFrame(rows, flags)).collect()}
     assert got == {1: (True, "first"), 2: (True, "first"), 3: (False, "first"), 4: (True, "ambiguous"), 5: (False, "second"), 6: (True, "second"), 7: (True, "nothing")}
+
+
+def test_files_to_files(spark, tmp_path):
+    import json
+
+    bib = """@comment{stays}
+
+@article{a2001,
+  author = {A B}, title = {On {X}},
+  journal = {Mind}, volume = {7}, doi = {10.1/A}, year = {2001}, keywords = {High}
+}
+
+@article{same, author = "C", title = "Y", journal = {Noûs}, year = 1999}
+
+@book{b, author = {D}, title = {Z}, publisher = {Press}, year = {1990}}
+"""
+    lookup = {"source": "crossref", "results": [{"title": "On X", "container_title": "MIND", "publisher": "OUP", "year": "2002", "year_basis": "print", "doi": "10.1/a"}]}
+    dump = {"source": "s2", "results": [{"title": "Z", "year": "1990", "venue": "V"}, {"title": "Q", "year": "1980"}]}
+    texts = spark.createDataFrame([("x.bib", 0, bib), ("empty.bib", 1, "")], "bib_file string, file_ord int, content string")
+    files = spark.createDataFrame([("verify_1.json", json.dumps(lookup)), ("s2.json", "log line " + json.dumps(dump)), ("bad.json", "{"), ("none.json", None)], "file string, content string")
+    cleaning.clean_files(texts, files, str(tmp_path))
+    ledger = {r.key: r for r in spark.read.schema("key string, outcome string, matched boolean, removed array<string>, year_verdict string, identifier string, identifier_value string, breaker_tripped boolean").json(f"{tmp_path}/ledger").collect()}
+    a, same, b = ledger["a2001"], ledger["same"], ledger["b"]
+    assert (a.outcome, a.removed, a.year_verdict, a.identifier, a.identifier_value) == ("doi", ["volume"], "yes", "doi", "10.1/a")
+    assert (same.outcome, same.matched, same.removed, same.identifier) == ("unmatched", False, [], None)
+    assert (b.outcome, b.removed, b.identifier, b.breaker_tripped) == ("title", ["publisher"], None, False)
+    rows = spark.read.option("wholetext", True).text(f"{tmp_path}/bib").filter("bib_file = 'x.bib'").collect()
+    out = "".join(r.value for r in rows)
+    assert "@comment{stays}" in out and '@article{same, author = "C", title = "Y", journal = {Noûs}, year = 1999}' in out
+    assert "volume" not in out.replace("METADATA_CLEANED: volume", "") and "year = {2002}" in out and "keywords = {High, METADATA_CLEANED: volume, year:2001->2002}" in out
+    assert "@misc{b" in out and out.index("a2001") < out.index("@article{same") < out.index("@misc{b")
