@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import keys
 from citeloom.operators import checks, matching
 from citeloom.operators.evidence import overwritable_year, with_breaker
+from citeloom.session import written
 from citeloom.sources.bibtex import REQUIRED
 
 #: Fields that may be removed when nothing verifies them.
@@ -73,12 +74,16 @@ def collision_groups(entries: DataFrame) -> DataFrame:
 OF_RECORD = {"journal": "container_title", "booktitle": "container_title", "volume": "volume", "number": "issue", "pages": "pages", "publisher": "publisher", "doi": "doi"}
 
 
-def same_value(name: str, value: Column, own: Column) -> Column:
-    """Whether a field's value is that of the entry's own record; empty values confirm nothing."""
-    forms = {"journal": (keys.venue_key, keys.journal_key), "booktitle": (keys.venue_key, keys.journal_key), "pages": (keys.page_key,), "publisher": (keys.publisher_key,), "doi": (keys.doi_key,)}.get(name, (lambda c: F.trim(keys.text_of(c)),))
-    test = F.lit(False)
-    for form in forms:
-        test = test | ((form(value) != "") & (form(value) == form(own)))
+def same_value(name: Column, value: Column, own: Column) -> Column:
+    """Whether the value of the field called name is that of the entry's own record; empty values confirm nothing."""
+    equal = lambda form: F.nullif(form(value), F.lit("")) == form(own)
+    test = (
+        F.when(name.isin("journal", "booktitle"), F.coalesce(equal(keys.venue_key), F.lit(False)) | equal(keys.journal_key))
+        .when(name == "pages", equal(keys.page_key))
+        .when(name == "publisher", equal(keys.publisher_key))
+        .when(name == "doi", equal(keys.doi_key))
+        .otherwise(equal(lambda c: F.trim(keys.text_of(c))))
+    )
     return F.coalesce(test, F.lit(False))
 
 
@@ -102,10 +107,10 @@ def cleaned(entries: DataFrame, records: DataFrame) -> DataFrame:
     held = records.select(F.explode(F.map_entries(F.map_filter(F.create_map(*[x for name, c in OF_RECORD.items() for x in (F.lit(name), F.col(c))]), lambda k, v: v != ""))).alias("e")).select("e.key", "e.value")
     each = entries.select("bib_file", "entry_ord", F.explode(F.map_filter("fields", lambda k, v: k.isin(*CLEANABLE))).alias("field", "value"))
     by_pool = checks.verifiable(each, held.select(F.col("key").alias("field"), "value")).filter("verifiable").select("bib_file", "entry_ord", "field")
-    joined = entries.join(found, ["bib_file", "entry_ord"])
-    confirmed = F.array_compact(F.array(*[F.when(same_value(name, value(name), F.col("record")[c]), name) for name, c in OF_RECORD.items()]))
-    joined = joined.withColumn("confirmed", confirmed)
-    proof = by_pool.unionByName(joined.select("bib_file", "entry_ord", F.explode("confirmed").alias("field")))
+    joined = written(entries.join(found, ["bib_file", "entry_ord"]), "matched")  # read four times below
+    of_record = F.create_map(*[x for name, c in OF_RECORD.items() for x in (F.lit(name), F.col("record")[c])])
+    own = joined.filter("record IS NOT NULL").select("bib_file", "entry_ord", of_record.alias("own"), F.explode(F.map_filter("fields", lambda k, v: k.isin(*CLEANABLE))).alias("field", "value"))
+    proof = by_pool.unionByName(own.filter(same_value(F.col("field"), F.col("value"), F.col("own")[F.col("field")])).select("bib_file", "entry_ord", "field"))
     by_doi = F.col("outcome").isin("doi", "swapped")
     place = F.col("entry_ord").cast("string")
     plan = cleaning_plan(
@@ -119,7 +124,8 @@ def cleaned(entries: DataFrame, records: DataFrame) -> DataFrame:
     over = F.map_filter(F.create_map(F.lit("keywords"), F.nullif(words, F.lit("")), F.lit("year"), F.when(F.col("year_verdict") == "yes", F.col("record.year"))), lambda k, v: v.isNotNull())
     fields = F.map_concat(F.map_filter("kept", lambda k, v: ~F.map_contains_key(over, k)), over)
     touched = (F.size("removed") > 0) | change.isNotNull()
-    identifier = F.when(F.array_contains("confirmed", "doi"), "doi").when(F.array_contains("confirmed", "publisher") & F.lower("entry_type").isin("book", "incollection", "inbook"), "publisher")
+    confirms = lambda name, form: F.nullif(form(value(name)), F.lit("")) == form(F.col("record")[name])
+    identifier = F.when(confirms("doi", keys.doi_key), "doi").when(confirms("publisher", keys.publisher_key) & F.lower("entry_type").isin("book", "incollection", "inbook"), "publisher")
     bound = F.when(identifier == "doi", keys.doi_key(value("doi"))).when(identifier == "publisher", keys.publisher_key(value("publisher")))
     return plan.select(*entries.columns, "outcome", "removed", "tripped", "new_type", F.when(touched, fields).otherwise(F.col("fields")).alias("new_fields"), touched.alias("touched"), "year_verdict", identifier.alias("identifier"), bound.alias("identifier_value"))
 
@@ -133,7 +139,6 @@ def clean_files(texts: DataFrame, pool_files: DataFrame, out: str) -> DataFrame:
     they were. Returns the ledger: bib_file, key, outcome, matched, abstained,
     removed, year_verdict, identifier, identifier_value, breaker_tripped.
     """
-    from citeloom.session import written
     from citeloom.sources import bibtex, envelopes
 
     parsed = written(bibtex.parse(texts), "entries")
