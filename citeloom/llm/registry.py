@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.llm import byte_bpe, embedding_dedup, exact_dedup, fill_in_middle, flac, language_id, packing, quality, simhash, suffix_dedup, token_files, toxicity
+from citeloom.llm import byte_bpe, collocations, embedding_dedup, exact_dedup, fill_in_middle, flac, language_id, packing, quality, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_packing": packing.op10_packing,
         "op11_exact_dedup": exact_dedup.op11_exact_dedup,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -34,4 +35,4 @@ FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN m ON vec_id = m.a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": EMBEDDING_DEDUP, "op11_exact_dedup": exact_dedup.SQL, "op12_fill_in_middle": fill_in_middle.SQL}
+    return {"op3_embedding_dedup": EMBEDDING_DEDUP, "op11_exact_dedup": exact_dedup.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_collocations": collocations.SQL}
