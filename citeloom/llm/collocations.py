@@ -1,20 +1,20 @@
 """Phrases whose words stand together more often than their parts would suggest.
 
 Every word of a piece of text is a suffix, known by a pointer. Suffixes are
-sorted by multikey three-way quicksort down to `depth` words: a segment of
-pointers is parted by one word of each into less, equal and greater, the equal
-part goes on with the next word, and its size is the count of the phrase it
-shares. All segments of a block are parted in step, in numpy.
+dealt to segments by their leading word and then sorted by multikey three-way
+quicksort down to `depth` words: a segment of pointers is parted by the next
+word of each into less, equal and greater, the equal part goes on with the word
+after, and its size is the count of the phrase it shares. All segments of a
+block are parted in step, in numpy.
 
 Counting takes two such sorts. Each task sorts the suffixes of its own texts
-and sends one row for each different one, with its number: these are routed to
-the tasks of the second sort by the hash of their two leading words, so that
-phrases of two words or more meet in one place, whatever the corpus. There a
-part whose weight is below the least count is abandoned, with all phrases in
-it. Pairs that hold more rows than a task should read are routed by the whole
-suffix; their pieces of counts are added up afterwards, as are those of single
-words, which come from the first sort. How many such pairs there can be follows
-from the number of tasks, so their list is broadcast.
+and sends, for each leading word, one row with its count and the tree of equal
+parts below it. Rows are routed by the hash of the leading word, so that its
+phrases meet in one place, whatever the corpus. There a part whose weight is
+below the least count is abandoned, with all phrases in it. Leading words, and
+pairs of them, that would fill too much of a task are routed by one word more;
+the pieces of counts of such pairs are added up afterwards. How many of these
+there can be follows from the number of tasks, so their list is broadcast.
 
 Defined results: a null text is empty, a null language is `und`; rows that
 repeat count each time; an empty table gives no rows; extra columns are ignored.
@@ -33,6 +33,8 @@ from citeloom.session import written
 
 #: Longest phrase, least count, share of a phrase (in hundredths) that makes its parts redundant, and rows for each language.
 DEPTH, LEAST, NESTED, TOP = 3, 10, 50, 2_000
+#: Before a word of level 2, 3, ... in a tree: bytes that no word can hold.
+LEVELS = "\n\t\r\x0b\x0c.,;"
 #: Bytes of text that one task sorts at a time, and suffixes for which a task of the second sort is planned.
 BLOCK, ROUTED = 12 << 20, 1_500_000
 #: Occurrences in one block from which a pair is reported, as it may be too many for one task.
@@ -70,79 +72,108 @@ class Words:
         for _ in range(depth - 1):
             self.left[:-1] = np.where(goes_on[:-1], np.minimum(self.left[1:] + 1, depth), 1)
 
-    def phrases(self, pointers: np.ndarray, n: int) -> pa.Array:
-        """The first n words of each suffix, joined by spaces."""
-        parts = [self.words.take(pa.array(self.code[pointers + i])) for i in range(n)]
-        return (pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]).cast(pa.string())
 
+def three_way(code: np.ndarray, left: np.ndarray, pointer: np.ndarray, weight: np.ndarray, size: np.ndarray, depth: int, least: int = 1, spared: np.ndarray | None = None):
+    """Multikey three-way quicksort; yields (words, pointers, weights, places) of the equal parts.
 
-def three_way(code: np.ndarray, left: np.ndarray, pointer: np.ndarray, weight: np.ndarray, size: np.ndarray, depth: int, least: int, spared: np.ndarray | None = None):
-    """Multikey three-way quicksort; yields (words, pointers, weights) of the equal parts: one pointer and the whole weight of each.
-
-    pointer and weight come in segments of the given sizes, which never mix.
-    Parts lighter than least are abandoned, but for those that hold a spared
-    suffix (flags in step with pointer).
+    pointer and weight come in segments of the given sizes, of suffixes that
+    share their leading word. An equal part is given by one of its pointers,
+    its whole weight, and where it begins in the sorted order (in which a
+    suffix that ends comes before all that go on). Parts lighter than least
+    are abandoned, but for those that hold a spared suffix.
     """
-    done = np.zeros(len(size), np.int8)  # leading words that all suffixes of a segment share
+
+    def going_on(keep, owner, place, done):
+        """What is left of segments numbered by owner, without suffixes that end where their segment is compared next."""
+        goes = keep.copy()
+        goes[keep] = left[pointer[keep]] > done[owner[keep]]
+        ended = np.bincount(owner[keep & ~goes], minlength=len(done))
+        sizes = np.bincount(owner[goes], minlength=len(done))
+        full = sizes > 0
+        return pointer[goes], weight[goes], None if spared is None else spared[goes], sizes[full], (place + ended)[full], done[full]
+
+    place = np.cumsum(size) - size
+    pointer, weight, spared, size, place, done = going_on(np.ones(len(pointer), bool), np.repeat(np.arange(len(size)), size), place, np.ones(len(size), np.int64))
     while len(pointer):
         first = np.cumsum(size) - size
-        shared = np.repeat(done, size)
-        key = code[pointer + shared]
+        key = code[pointer + np.repeat(done, size)]
         low, mid, high = key[first], key[first + size // 2], key[first + size - 1]
         pivot = np.repeat(np.maximum(np.minimum(low, mid), np.minimum(np.maximum(low, mid), high)), size)
-        greater, equal = key > pivot, key == pivot
-        side = (greater.astype(np.int64) << 1) + equal  # 0 less, 1 equal, 2 greater
+        side = (key > pivot).astype(np.int64) * 2 + (key == pivot)  # 0 less, 1 equal, 2 greater
         part = np.repeat(np.arange(0, 3 * len(size), 3), size) + side
         sizes = np.bincount(part, minlength=3 * len(size))
         begins = np.cumsum(sizes) - sizes
         order = np.empty(len(pointer), np.int64)
         for own in range(3):
-            of = np.flatnonzero(side == own)
-            mine = sizes[own::3]
+            of, mine = np.flatnonzero(side == own), sizes[own::3]
             order[np.arange(len(of)) + np.repeat(begins[own::3] - (np.cumsum(mine) - mine), mine)] = of
         pointer, weight = pointer[order], weight[order]
         spared = None if spared is None else spared[order]
-        sizes, begins, words = sizes.reshape(-1, 3), begins.reshape(-1, 3), done
-        full = sizes.ravel() > 0
-        total = np.zeros(sizes.size, np.int64)
-        total[full] = np.add.reduceat(weight, begins.ravel()[full])
-        live = total >= least
-        if spared is not None:
-            held = np.zeros(sizes.size, bool)
-            held[full] = np.logical_or.reduceat(spared, begins.ravel()[full])
-            live |= held
-        total, live = total.reshape(-1, 3), live.reshape(-1, 3) & (sizes > 0)
-        met = live[:, 1]
-        for n in np.unique(words[met]).tolist():
-            at = met & (words == n)
-            yield n + 1, pointer[begins[at, 1]], total[at, 1]
-        # The equal part goes on with its next word, without the suffixes that end here.
-        deeper = np.stack([words, words + 1, words], axis=1).ravel()
-        live = live.ravel() & (deeper < depth)
-        keep = np.repeat(live, sizes.ravel())
-        owner = np.repeat(np.arange(sizes.size), sizes.ravel())[keep]
-        pointer, weight = pointer[keep], weight[keep]
-        spared = None if spared is None else spared[keep]
-        goes = left[pointer] > deeper[owner]
-        pointer, weight, owner = pointer[goes], weight[goes], owner[goes]
-        spared = None if spared is None else spared[goes]
-        size = np.bincount(owner, minlength=len(live))
-        done, size = deeper[size > 0].astype(np.int8), size[size > 0]
-
-
-def _segments(group: np.ndarray, *others: np.ndarray):
-    """The arrays sorted by group, and the sizes of the groups."""
-    order = np.argsort(group, kind="stable")
-    return [x[order] for x in others], np.unique(group[order], return_counts=True)[1]
+        full = sizes > 0
+        total, live = np.zeros(len(sizes), np.int64), full.copy()
+        total[full] = np.add.reduceat(weight, begins[full])
+        if least > 1:
+            live &= total >= least
+            if spared is not None:
+                live[full] |= np.logical_or.reduceat(spared, begins[full])
+        ahead = begins.reshape(-1, 3) - begins[::3, None]
+        place = (place[:, None] + ahead).ravel()
+        met = np.flatnonzero(live[1::3])
+        for n in np.unique(done[met]).tolist():
+            at = 3 * met[done[met] == n] + 1
+            yield n + 1, pointer[begins[at]], total[at], place[at]
+        deeper = np.stack([done, done + 1, done], axis=1).ravel()
+        live &= deeper < depth
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        pointer, weight, spared, size, place, done = going_on(live[owner], owner, place, deeper)
+
+
+def by_lead(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal leads stand together, and the sizes of their segments."""
+    order = np.argsort(lead, kind="stable")
+    edges = np.flatnonzero(np.diff(lead[order])) + 1
+    return order, np.diff(np.concatenate([[0], edges, [len(lead)]])) if len(lead) else np.zeros(0, np.int64)
+
+
+def trees(words: Words, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """For each group (of a pointer) and leading word: one pointer, the weight and the tree below it; then pairs: pointers, weights.
+
+    A tree is text: each equal part in order, as the byte of its level, its
+    word and, after a space, how many suffixes end in it (left out where this
+    is usual: one at the last level, none before).
+    """
+    pointer, size = by_lead(group.astype(np.int64) * (len(words.words) + 1) + words.code)
+    first = np.cumsum(size) - size
+    parts = [(np.ones(len(size), np.int64), pointer[first], size, first)]
+    pairs = (pointer[:0], size[:0])
+    for n, at, weight, place in three_way(words.code, words.left, pointer, np.ones(len(pointer), np.int64), size, depth):
+        parts.append((np.full(len(at), n), at, weight, place))
+        if n == 2:
+            often = weight >= MARK
+            pairs = (np.concatenate([pairs[0], at[often]]), np.concatenate([pairs[1], weight[often]]))
+    level, at, weight, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((level, place))
+    level, at, weight = level[order], at[order], weight[order]
+    index, ends = np.arange(len(level)), weight.copy()
+    for n in range(2, depth + 1):
+        parent = np.maximum.accumulate(np.where(level == n - 1, index, 0))[level == n]
+        ends -= np.bincount(parent, weight[level == n], minlength=len(level)).astype(np.int64)
+    own = level > 1
+    usual = ends == (level == depth)
+    text = lambda values: pa.array(values, pa.string()).cast(pa.binary())
+    number = pc.if_else(pa.array(usual), pa.scalar(b""), pc.binary_join_element_wise(b"", pa.array(ends).cast(pa.string()).cast(pa.binary()), b" "))
+    node = pc.binary_join_element_wise(text(["", *LEVELS]).take(pa.array(level - 1)), words.words.take(pa.array(words.code[at + level - 1])), number, b"")
+    node = pc.if_else(pa.array(own), node, pa.scalar(b""))
+    heads = np.flatnonzero(~own)
+    tails = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(heads, len(level))), node), b"")
+    return at[heads], weight[heads], tails, *pairs
 
 
 def suffixes(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """kind, lang, phrase, n of every block of texts.
+    """lang, words, lead, n, tree of every block of texts: each leading word with its count and the phrases it leads.
 
-    kind 1: single words; 2: pairs that occur often in a block; 3: suffixes of
-    two words or more, cut at depth. n: how often the block has them.
+    Rows of two words have no tree: pairs that are frequent in a block.
     """
-    schema = "kind byte, lang string, phrase string, n long"
 
     def run(batches):
         held, size = [], 0
@@ -150,63 +181,98 @@ def suffixes(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int
             held.append(batch)
             size += batch.column("text").nbytes
             if size >= BLOCK:
-                yield from sort(held)
+                yield from block(held)
                 held, size = [], 0
         if held:
-            yield from sort(held)
+            yield from block(held)
 
-    def sort(held):
-        batch = pa.Table.from_batches(held).combine_chunks().to_batches()
-        if not batch:
-            return
-        raw, at = utf8_bytes(batch[0].column("text"))
+    def block(held):
+        batch = pa.Table.from_batches(held).combine_chunks()
+        langs = batch.column("lang").combine_chunks().dictionary_encode()
+        raw, at = utf8_bytes(batch.column("text").combine_chunks())
         words = Words(LOWER[raw], at, depth)
-        langs = batch[0].column("lang").dictionary_encode()
-        (pointer, own), size = _segments(langs.indices.to_numpy(zero_copy_only=False)[words.row], np.arange(len(words.code)), langs.indices.to_numpy(zero_copy_only=False)[words.row])
-        of_pointer = np.empty(len(words.code), np.int32)
-        of_pointer[pointer] = own
-        for n, pointers, weights in three_way(words.code, words.left, pointer, np.ones(len(pointer), np.int64), size, depth, 1):
-            if n == 1:
-                yield from rows(1, words, langs.dictionary, of_pointer, pointers, weights, 1)
-            if n == 2:
-                often = weights >= MARK
-                yield from rows(2, words, langs.dictionary, of_pointer, pointers[often], weights[often], 2)
-            if n == depth > 1:
-                yield from rows(3, words, langs.dictionary, of_pointer, pointers, weights, n)
-        # Suffixes that the end of a piece cuts short: few, and each is a row of its own.
-        for n in range(2, depth):
-            short = np.flatnonzero(words.left == n)
-            yield from rows(3, words, langs.dictionary, of_pointer, short, np.ones(len(short), np.int64), n)
-
-    def rows(kind, words, langs, of_pointer, pointers, weights, n):
-        for i in range(0, len(pointers), 1 << 17):
-            own = pointers[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(own), kind, np.int8)), langs.take(pa.array(of_pointer[own])).cast(pa.string()), words.phrases(own, n), pa.array(weights[i : i + (1 << 17)])], names=["kind", "lang", "phrase", "n"]
-            )
+        of_row = langs.indices.to_numpy(zero_copy_only=False)
+        leads, weights, tails, pairs, often = trees(words, of_row[words.row], depth)
+        word = lambda at: words.words.take(pa.array(words.code[at]))
+        of = lambda at: langs.dictionary.take(pa.array(of_row[words.row[at]]))
+        for i in range(0, len(leads), 1 << 15):
+            own, n = leads[i : i + (1 << 15)], len(leads[i : i + (1 << 15)])
+            yield row(of(own), np.full(n, 1), word(own), weights[i : i + n], tails.slice(i, n).cast(pa.string()))
+        yield row(of(pairs), np.full(len(pairs), 2), pc.binary_join_element_wise(word(pairs), word(pairs + 1), b" "), often, pa.nulls(len(pairs), pa.string()))
+
+    def row(lang, words, lead, n, tree):
+        return pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(words.astype(np.int32)), lead.cast(pa.string()), pa.array(n), tree], names=["lang", "words", "lead", "n", "tree"])
 
     named = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return named.mapInArrow(tidy(run), schema)
+    return named.mapInArrow(tidy(run), "lang string, words int, lead string, n long, tree string")
+
 
+class Suffixes:
+    """The suffixes of trees: code (depth numbers for each suffix, that of the leading word unused), left, weight, row; words: the dictionary."""
 
-def _lead(n: int) -> Column:
-    return F.substring_index("phrase", " ", n)
+    def __init__(self, raw: np.ndarray, at: np.ndarray, depth: int):
+        role = np.zeros(256, np.int8)
+        role[0x20] = 1
+        role[[*LEVELS[: depth - 1].encode()]] = np.arange(2, depth + 1)
+        kind = role[raw]
+        inside = kind == 0
+        start, stop = inside.copy(), inside.copy()
+        start[1:] &= ~inside[:-1]
+        stop[:-1] &= ~inside[1:]  # a tree begins with the byte of a level, so no token goes on into the next row
+        begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        token = binary_array(raw[inside], end - begin)
+        level = kind[begin - 1].astype(np.int64)
+        word = level > 1
+        coded = token.filter(pa.array(word)).dictionary_encode()
+        self.words = coded.dictionary
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.append(~word[1:], False)[word] if len(word) else word  # followed by a number
+        level, begin = level[word], begin[word]
+        weight = (level == depth).astype(np.int64)
+        weight[ends] = token.filter(pa.array(~word)).cast(pa.string()).cast(pa.int64()).to_numpy()
+        held = np.flatnonzero(weight)
+        path, index = np.zeros((len(held), depth), np.int32), np.arange(len(level))
+        for n in range(2, depth + 1):
+            last = np.maximum.accumulate(np.where(level == n, index, 0)) if len(index) else index
+            path[:, n - 1] = codes[last[held]] if len(held) else 0
+        self.code, self.weight = path.ravel(), weight[held]
+        self.left = np.repeat(level[held], depth).astype(np.int8)
+        self.row = np.searchsorted(at[1:], begin[held], side="right")
+
+
+def _split(tree: Column, level: int) -> Column:
+    """A tree as trees of one part of that level each; suffixes that end before it are a tree of their own."""
+    if level == 2:
+        return F.transform(F.filter(F.split(tree, LEVELS[0]), lambda x: x != ""), lambda x: F.concat(F.lit(LEVELS[0]), x))
+    parts = F.split(tree, LEVELS[1])
+    head = F.substring_index(F.element_at(parts, 1), " ", 1)
+    cut = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(head, F.lit(LEVELS[1]), x))
+    return F.concat(F.filter(F.slice(parts, 1, 1), lambda x: F.contains(x, F.lit(" "))), cut)
 
 
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int = DEPTH, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words, n of all phrases of depth words at most that occur least times or more; lang, total of all words."""
     found = written(suffixes(docs, lang, text, depth), "suffixes")
     spark = found.sparkSession
-    own = found.filter("kind = 3")
-    rows = own.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROUTED))
-    # A pair is too wide if it alone may fill a quarter of a task: there are 4 * parts of these at most.
-    pairs = found.filter("kind = 2").groupBy("lang", "phrase").agg(F.sum("n").alias("rows"))
-    wide = pairs.filter(F.col("rows") >= max(MARK, rows // (4 * parts))).select(F.col("lang").alias("__lang"), F.col("phrase").alias("__pair"))
-    met = own.join(F.broadcast(wide), (own["lang"] == F.col("__lang")) & (_lead(2) == F.col("__pair")), "left")
-    dealt = met.select("lang", "phrase", "n", F.col("__pair").isNotNull().alias("wide"))
-    route = F.xxhash64("lang", F.when(F.col("wide"), F.col("phrase")).otherwise(_lead(2)))
-    dealt = dealt.repartition(parts, route)
+    leads = written(found.groupBy("lang", "words", "lead").agg(F.sum("n").alias("n")), "leads")
+    total = leads.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
+    all_words = leads.filter("words = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_words // ROUTED))
+    # Too wide is what alone may fill a quarter of a task: 4 * parts words and as many pairs, at most.
+    wide = leads.filter(F.col("n") >= max(MARK, all_words // (4 * parts)))
+    wide = [F.broadcast(wide.filter(f"words = {n}").select(F.col("lang").alias("__lang"), F.col("lead").alias("__lead"))) for n in (1, 2)]
+    rows = found.filter("words = 1 AND tree != ''").select("lang", "lead", "tree")
+    met = rows.join(wide[0], (rows["lang"] == F.col("__lang")) & (rows["lead"] == F.col("__lead")), "left")
+    one = F.when(F.col("__lead").isNull(), F.array("tree")).otherwise(_split(F.col("tree"), 2))
+    met = met.select("lang", "lead", F.col("__lead").isNotNull().alias("split"), F.explode(one).alias("tree"))
+    second = F.when(F.col("split"), F.regexp_extract("tree", f"^\n([^{LEVELS} ]+)", 1))
+    met = met.select("lang", "lead", "tree", second.alias("second"))
+    met = met.join(wide[1], (met["lang"] == F.col("__lang")) & (F.concat_ws(" ", "lead", "second") == F.col("__lead")), "left")
+    spared = F.col("__lead").isNotNull() & F.col("second").isNotNull() & F.lit(depth > 2)
+    two = F.when(spared, _split(F.col("tree"), 3)).otherwise(F.array("tree"))
+    met = met.select("lang", "lead", "second", spared.alias("spared"), F.explode(two).alias("tree"))
+    third = F.when(F.col("spared"), F.regexp_extract("tree", f"{LEVELS[1]}([^{LEVELS} ]+)", 1))
+    dealt = met.select("lang", "lead", "spared", "tree", F.xxhash64("lang", "lead", "second", third).alias("route")).repartition(parts, "route").drop("route")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -214,27 +280,28 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int =
             return
         table = pa.Table.from_batches(held).combine_chunks()
         del held
-        raw, at = utf8_bytes(table.column("phrase").combine_chunks() if table.num_rows else pa.array([], pa.string()))
-        words = Words(raw, at, depth)
-        langs = table.column("lang").combine_chunks().dictionary_encode()
-        weight, spare = table.column("n").to_numpy(), table.column("wide").to_numpy(zero_copy_only=False)
-        first = np.searchsorted(words.row, np.arange(table.num_rows))  # a row is one suffix: only its first word has a pointer
-        code = langs.indices.to_numpy(zero_copy_only=False)
-        (pointer, weight, flag), size = _segments(code, first, weight, spare)
-        for n, pointers, weights in three_way(words.code, words.left, pointer, weight, size, depth, least, flag):
-            if n == 1:
-                continue
-            for i in range(0, len(pointers), 1 << 17):
-                part = pointers[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays(
-                    [langs.dictionary.take(pa.array(code[words.row[part]])).cast(pa.string()), words.phrases(part, n), pa.array(np.full(len(part), n, np.int32)), pa.array(weights[i : i + (1 << 17)])], names=["lang", "phrase", "words", "n"]
-                )
-
-    schema = "lang string, phrase string, words int, n long"
-    single = found.filter("kind = 1").select("lang", "phrase", F.lit(1).alias("words"), "n")
-    total = found.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    added = dealt.mapInArrow(tidy(run), schema).unionByName(single).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return written(added.filter(F.col("n") >= least), "phrases"), total
+        key = pc.binary_join_element_wise(table.column("lang").combine_chunks(), table.column("lead").combine_chunks(), "\n").dictionary_encode()
+        lead = key.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(lead, kind="stable")
+        table, lead = table.take(pa.array(order)), lead[order]
+        names = pc.split_pattern(key.dictionary, "\n")
+        own = Suffixes(*utf8_bytes(table.column("tree").combine_chunks()), depth)
+        flags = table.column("spared").to_numpy()[own.row]
+        of = lead[own.row]
+        _, size = by_lead(of)
+        pointer = np.arange(len(of)) * depth
+        for n, at, weight, _ in three_way(own.code, own.left, pointer, own.weight, size, depth, least, flags if flags.any() else None):
+            for i in range(0, len(at), 1 << 16):
+                part = at[i : i + (1 << 16)]
+                whose = names.take(pa.array(of[part // depth]))
+                words = [own.words.take(pa.array(own.code[part + k])).cast(pa.string()) for k in range(1, n)]
+                phrase = pc.binary_join_element_wise(pc.list_element(whose, 1), *words, " ")
+                yield pa.RecordBatch.from_arrays([pc.list_element(whose, 0), phrase, pa.array(np.full(len(part), n, np.int32)), pa.array(weight[i : i + (1 << 16)])], names=["lang", "phrase", "words", "n"])
+
+    longer = dealt.mapInArrow(tidy(run), "lang string, phrase string, words int, n long")
+    added = longer.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    single = leads.filter(F.col("words") == 1).filter(F.col("n") >= least).select("lang", F.col("lead").alias("phrase"), "words", "n")
+    return written(added.unionByName(single), "phrases"), total
 
 
 def scored(counted: DataFrame, least: int = LEAST, nested: int = NESTED) -> DataFrame:

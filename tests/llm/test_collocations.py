@@ -61,14 +61,35 @@ def texts(n, seed):
 def test_equal_parts_are_counts(depth):
     own = texts(200, depth)
     words = co.Words(co.LOWER[utf8_bytes(pa.array(own))[0]], utf8_bytes(pa.array(own))[1], depth)
+    name = [w.decode() for w in words.words.to_pylist()]
+    pointer, size = co.by_lead(words.code)
     f = phrases(own, depth)
     for least in (1, 4, 10):
         got = Counter()
-        for n, pointers, weights in co.three_way(words.code, words.left, np.arange(len(words.code)), np.ones(len(words.code), np.int64), np.array([len(words.code)]), depth, least):
-            for p, w in zip(words.phrases(pointers, n).to_pylist(), weights.tolist(), strict=True):
-                assert tuple(p.split(" ")) not in got
-                got[tuple(p.split(" "))] = w
-        assert got == Counter({p: n for p, n in f.items() if n >= least})
+        for n, pointers, weights, _ in co.three_way(words.code, words.left, pointer, np.ones(len(pointer), np.int64), size, depth, least):
+            for p, w in zip(pointers.tolist(), weights.tolist(), strict=True):
+                phrase = tuple(name[c] for c in words.code[p : p + n])
+                assert phrase not in got
+                got[phrase] = w
+        assert got == Counter({p: n for p, n in f.items() if n >= least and len(p) > 1})
+
+
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_trees_hold_all_suffixes_in_order(depth):
+    own = texts(150, depth)
+    words = co.Words(co.LOWER[utf8_bytes(pa.array(own))[0]], utf8_bytes(pa.array(own))[1], depth)
+    leads, weights, tails, _, _ = co.trees(words, np.zeros(len(words.code), np.int64), depth)
+    back = co.Suffixes(*utf8_bytes(tails.cast(pa.string())), depth)
+    first = [words.words[int(c)].as_py() for c in words.code[leads]]
+    got = Counter()
+    for i, w in enumerate(back.weight.tolist()):
+        n = int(back.left[i * depth])
+        got[(first[back.row[i]], *(back.words[int(c)].as_py() for c in back.code[i * depth + 1 : i * depth + n]))] += w
+    expected = Counter()
+    for t in own:
+        for w in split(t):
+            expected.update(tuple(x.encode() for x in w[i : i + depth]) for i in range(len(w)) if i + 1 < len(w))
+    assert got == expected and weights.sum() == len(words.code) and len(back.weight) == len(expected)
 
 
 @pytest.mark.parametrize(("depth", "mark", "block", "routed"), [(3, 8, 12 << 20, 1_500_000), (3, 1, 500, 50), (4, 1, 2_000, 200)])
