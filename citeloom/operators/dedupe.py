@@ -44,7 +44,7 @@ def merge_pair(first: Column, second: Column) -> Column:
     return F.struct(F.least(first["ord"], second["ord"]).alias("ord"), win("key").alias("key"), fields.alias("fields"), raised.alias("keywords"), removed.alias("removed"), F.array_union(first["lineage"], second["lineage"]).alias("lineage"))
 
 
-def fold_groups(entries: DataFrame, group: str, with_lineage: bool = True) -> DataFrame:
+def fold_groups(entries: DataFrame, group: str, with_lineage: bool = True, with_group: bool = False) -> DataFrame:
     """One survivor for each group of entries (ord, key, fields, keywords, removed, lineage), as merge_pair folds them in order.
 
     Rows without a group stay as they are, and so does a row alone in its
@@ -54,7 +54,8 @@ def fold_groups(entries: DataFrame, group: str, with_lineage: bool = True) -> Da
     A gap is filled from the latest of these leaders that has the field, else
     from the first row that has; blank values fill nothing, and an abstract is
     never among the removed fields. lineage is as long as its group: without it
-    `fold_lineage` gives the same as rows.
+    `fold_lineage` gives the same as rows. with_group: the group is a column of
+    the result, too, under its own name.
     """
     columns = ["ord", "key", "fields", "keywords", "removed"] + (["lineage"] if with_lineage else [])
     own = entries.filter(F.col(group).isNotNull()).withColumn("__g", F.col(group))
@@ -87,14 +88,20 @@ def fold_groups(entries: DataFrame, group: str, with_lineage: bool = True) -> Da
     if with_lineage:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "lineage"))), lambda s: s["lineage"])
         survivors = survivors.join(own.groupBy("__g").agg(F.array_distinct(F.flatten(listed)).alias("lineage")), "__g")
-    return survivors.select(columns).unionByName(entries.filter(F.col(group).isNull()).select(columns))
+    shown = [*columns, *([group] if with_group else [])]
+    return survivors.withColumn(group, F.col("__g")).select(shown).unionByName(entries.filter(F.col(group).isNull()).select(shown))
 
 
 def fold_lineage(entries: DataFrame, group: str, survivors: DataFrame) -> DataFrame:
-    """key, member: every entry's own key under that of its group's survivor (of fold_groups); a survivor is its own member."""
+    """key, member: every entry's own key under that of its group's survivor; a survivor is its own member.
+
+    survivors: of fold_groups with its groups (with_group). Without them they
+    are folded again here, as nothing else tells which group one comes from.
+    """
+    if group not in survivors.columns:
+        survivors = fold_groups(entries, group, with_lineage=False, with_group=True)
     own = entries.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col("key").alias("member"))
-    least = entries.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.min("ord").alias("ord"))
-    led = least.join(survivors.select("ord", "key"), "ord").select("g", "key")
+    led = survivors.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), "key")
     return own.join(led, "g").select("key", "member").unionByName(entries.filter(F.col(group).isNull()).select("key", F.col("key").alias("member")))
 
 

@@ -55,11 +55,15 @@ LEAD_INS = (
     "Roughly", "Strictly", "Formally", "Initially", "Subsequently", "Originally", "Again", "Still", "Yet", "Rather", "Otherwise", "Equally", "Correspondingly", "Unsurprisingly",
     "Surprisingly", "Curiously", "Tellingly", "Plainly", "Clearly", "Obviously", "Presumably",
 )
+#: A name with what joins it to the next one. Quantifiers are possessive all through: they loop, and never try again.
+_LEAD = rf"{NAME}(?:,?\s+(?:and|&)\s++(?=\p{{Lu}}|[\p{{Ll}}'’-]+\s)|,\s++(?=\p{{Lu}}))"
 #: Names that lead to another one, particles after `and`, a first name, the last surname, et al., and years with letters.
-CITATION = (
-    rf"(?U)((?:{NAME}(?:,?\s+(?:and|&)\s+|,\s+))*)((?:(?<=\band\s{{1,4}})(?:[\p{{Ll}}'’-]+\s+)+)?)(?:(\p{{Lu}}[\w.]*)\s+)?({NAME})"
-    rf"(?:\s+(et al)\.?)?(?:['’]s)?[\s,]*\(?\s*({YEAR}[a-z]?\b(?:\s*[;,]\s*(?:{YEAR}[a-z]?\b|[a-z](?=\s*(?:[;,)]|$))))*)"
+PLACE = (
+    rf"((?:{_LEAD})*+)((?:(?<=\band\s{{1,4}})(?:[\p{{Ll}}'’-]+\s+)++)?)(?:(\p{{Lu}}[\w.]*+)\s++)?({NAME})"
+    rf"(?:\s+(et al)\.?)?(?:['’]s)?[\s,]*+\(?\s*+({YEAR}[a-z]?\b(?:\s*[;,]\s*(?:{YEAR}[a-z]?\b|[a-z](?=\s*(?:[;,)]|$))))*+)"
 )
+#: A place, or else all leading names or one word: a run of names without a year is passed over at once.
+CITATION = rf"(?U)(?:{PLACE}|(?:{_LEAD})++|\p{{Lu}}[\w.'’-]*+)"
 
 
 def _scanned(docs: DataFrame, key: str) -> DataFrame:
@@ -69,17 +73,21 @@ def _scanned(docs: DataFrame, key: str) -> DataFrame:
     pair, if nothing stands between; a name that follows another one by comma,
     `and` or `&` is no first author, so that such a place is not accepted.
     """
-    found = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(CITATION), F.lit(0))).alias("n", "c"))
-    part = lambda i: F.regexp_extract("c", CITATION, i)
-    found = found.select(key, "n", *[part(i).alias(name) for i, name in enumerate(["leads", "particles", "first", "last", "etal", "list"], 1)])
+    hits = F.filter(F.regexp_extract_all("text", F.lit(CITATION), F.lit(0)), lambda c: c.rlike(f"(?U)^{PLACE}$"))
+    found = docs.select(key, F.posexplode(hits).alias("n", "c"))
+    parts = F.split(F.regexp_replace("c", F.lit(f"(?U)^{PLACE}$"), F.lit("\x01".join(f"${i}" for i in range(1, 7)))), "\x01")  # no part can hold this byte
+    part = lambda i: F.element_at("parts", i)
+    found = found.select(key, "n", parts.alias("parts")).select(key, "n", *[part(i).alias(name) for i, name in enumerate(["leads", "particles", "first", "last", "etal", "list"], 1)])
     names = lambda c: F.regexp_extract_all(c, F.lit(f"(?U){NAME}"), F.lit(0))
     prior = F.regexp_replace("leads", rf"(?U){NAME},?\s+(?:(?:and|&)\s+)?$", "")
     free = lambda c: (c == "") | (c.rlike(r",\s+$") & ~c.rlike(r"\s(?:and|&)\s+$") & F.try_element_at(names(c), F.lit(-1)).isin(*LEAD_INS))
     own = lambda c: F.regexp_replace(c, "['’]s$", "")
     pair = F.rlike("leads", F.lit(r"\sand\s+$")) & (F.col("etal") == "") & (F.col("first") == "")
-    tokens = F.transform(F.split("list", r"\s*[;,]\s*"), lambda t: F.struct(F.regexp_extract(t, "^[0-9]{4}", 0).alias("year"), F.regexp_extract(t, "[a-z]$", 0).alias("letter")))
-    year = lambda i: F.element_at(F.filter(F.transform(F.slice("tokens", F.lit(1), i + 1), lambda t: t["year"]), lambda y: y != ""), -1)
-    return found.withColumn("tokens", tokens).select(
+    # A letter alone belongs to the year before it: each year with the letters that follow.
+    dated = F.regexp_extract_all("list", F.lit(r"[0-9]{4}[a-z]?(?:\s*[;,]\s*[a-z](?![0-9a-z]))*+"), F.lit(0))
+    letter = lambda t: F.nullif(F.regexp_extract(t, "[a-z]$", 0), F.lit(""))
+    years = F.flatten(F.transform(dated, lambda d: F.transform(F.split(d, r"\s*[;,]\s*"), lambda t: F.struct(F.substring(d, 1, 4).alias("year"), letter(t).alias("letter")))))
+    return found.select(
         key,
         "n",
         F.transform(names("leads"), own).alias("names"),
@@ -87,7 +95,7 @@ def _scanned(docs: DataFrame, key: str) -> DataFrame:
         own(F.when(pair, F.element_at(names("leads"), -1)).otherwise(F.col("last"))).alias("surname"),
         F.when(pair, own(F.concat("particles", "last"))).alias("second"),
         F.when(pair, "pair").when(F.col("etal") != "", "etal").otherwise("solo").alias("form"),
-        F.transform("tokens", lambda t, i: F.struct(F.when(t["year"] != "", t["year"]).otherwise(year(i)).alias("year"), F.nullif(t["letter"], F.lit("")).alias("letter"))).alias("years"),
+        years.alias("years"),
         F.when(pair, free(prior)).otherwise(free(F.col("leads"))).alias("accepted"),
     )
 
@@ -117,11 +125,11 @@ def unresolved(found: DataFrame, references: DataFrame) -> DataFrame:
     """Citations (surname, year) for which no reference (surname, year) shares year and any spelling of the name."""
     from citeloom.functions.keys import name_variants
 
-    own = found.withColumn("__row", F.xxhash64(*found.columns))
-    variants = own.select("__row", "year", F.explode(name_variants(F.col("surname"))).alias("v"))
+    asked = found.select("year", "surname").distinct()
+    variants = asked.select("year", "surname", F.explode(name_variants(F.col("surname"))).alias("v"))
     known = references.select("year", F.explode(name_variants(F.col("surname"))).alias("v")).distinct()
-    good = variants.join(known, ["year", "v"], "left_semi").select("__row").distinct()
-    return own.join(good, "__row", "left_anti").drop("__row")
+    good = variants.join(known, ["year", "v"], "left_semi").select(F.col("year").alias("__year"), F.col("surname").alias("__surname")).distinct()
+    return found.join(good, found["year"].eqNullSafe(F.col("__year")) & found["surname"].eqNullSafe(F.col("__surname")), "left_anti")
 
 
 def reference_text(authors: Column, year: Column, title: Column, container: Column, volume: Column, pages: Column) -> Column:

@@ -76,7 +76,7 @@ def entry_fold(spark, sf_dir):
     words = F.concat(F.lit("k, "), F.when(d % 7 == 0, "High").when(d % 3 == 0, "Medium").otherwise("Low"))
     removed = F.when(d % 29 == 0, F.array(F.lit("pages"))).otherwise(F.array().cast("array<string>"))
     entries = docs.select(d.alias("ord"), d.cast("string").alias("key"), fields.alias("fields"), words.alias("keywords"), removed.alias("removed"), F.concat_ws("-", "source", d % 37).alias("g"))
-    folded = dedupe.fold_groups(entries, "g", with_lineage=False)
+    folded = dedupe.fold_groups(entries, "g", with_lineage=False, with_group=True)
     members = dedupe.fold_lineage(entries, "g", folded).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     value = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))
     return folded.join(members, "key").select("key", F.col("ord").alias("first_doc"), value("journal").alias("journal"), value("pages").alias("pages"), value("note").alias("note"), "keywords", "members")

@@ -45,25 +45,38 @@ class _Reader(HTMLParser):
         self.text.append(data)
 
 
-def _read(page: str | None) -> tuple[str, str, list[dict], list[str]]:
+def _fed(reader: HTMLParser, page: str | None) -> str | None:
+    """Feeds the page; what stopped the parser, if anything did: then the page is known up to there."""
+    try:
+        reader.feed(page or "")
+        reader.close()
+    except (AssertionError, IndexError, ValueError) as error:  # one bad page of a crawl must not end the job
+        return f"{type(error).__name__}: {error}"[:200]
+    return None
+
+
+def _read(page: str | None) -> tuple[str, str, list[dict], list[str], str | None]:
     reader = _Reader()
-    reader.feed(page or "")
-    reader.close()
+    error = _fed(reader, page)
     clean = lambda s: " ".join(s.split())
     heads = [{"level": int(t[1]), "id": i, "text": clean(x)} for t, i, x in reader.heads]
     title = clean(reader.title) or next((h["text"] for h in heads if h["level"] == 1), "")
-    return title, clean(" ".join(reader.text)), heads, reader.links
+    return title, clean(" ".join(reader.text)), heads, reader.links, error
 
 
 def articles(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages without the html, with title (else the first h1), text, headings and links."""
-    keep = [c for c in pages.columns if c not in (column, "title", "text", "headings", "links")]
+    """pages without the html, with title (else the first h1), text, headings, links and error.
+
+    error: what stopped the parser, null if nothing did; the rest then is what
+    stands before that place.
+    """
+    keep = [c for c in pages.columns if c not in (column, "title", "text", "headings", "links", "error")]
     schema = pages.select(*keep).schema
     head = T.StructType().add("level", "integer").add("id", "string").add("text", "string")
-    schema = schema.add("title", "string").add("text", "string").add("headings", T.ArrayType(head)).add("links", T.ArrayType(T.StringType()))
+    schema = schema.add("title", "string").add("text", "string").add("headings", T.ArrayType(head)).add("links", T.ArrayType(T.StringType())).add("error", "string")
 
-    names = [*keep, "title", "text", "headings", "links"]
-    kinds = [pa.string(), pa.string(), pa.list_(pa.struct([("level", pa.int32()), ("id", pa.string()), ("text", pa.string())])), pa.list_(pa.string())]
+    names = [*keep, "title", "text", "headings", "links", "error"]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.struct([("level", pa.int32()), ("id", pa.string()), ("text", pa.string())])), pa.list_(pa.string()), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -120,7 +133,7 @@ class _Parts(HTMLParser):
             self.preamble.append(text)
         if self.within("toc") is not None and "a" in tags and self.toc:
             self.toc[-1].append(text)
-        if self.within("bibliography") is not None and "li" in tags:
+        if self.within("bibliography") is not None and "li" in tags and self.items:
             self.items[-1].append(text)
         main = self.within("main-text")
         if main and self.blocks and self.stack[len(self.stack) - main][0] == self.blocks[-1][0]:
@@ -129,8 +142,7 @@ class _Parts(HTMLParser):
 
 def _parts(page: str | None) -> dict:
     reader = _Parts()
-    reader.feed(page or "")
-    reader.close()
+    error = _fed(reader, page)
     squeezed = lambda parts: " ".join(" ".join(parts).split())
     toc, sections, now = [], {}, None
     for parts in reader.toc:
@@ -148,11 +160,11 @@ def _parts(page: str | None) -> dict:
         if heading:
             sections[now] = {"id": now, "title": heading[2], "content": []}
     found = [{**s, "content": " ".join(s["content"]).strip()} for s in sections.values()]
-    return {"preamble": None if reader.preamble is None else squeezed(reader.preamble), "toc": toc, "sections": found, "bibliography": [squeezed(x) for x in reader.items], "related": list(dict.fromkeys(reader.related))}
+    return {"preamble": None if reader.preamble is None else squeezed(reader.preamble), "toc": toc, "sections": found, "bibliography": [squeezed(x) for x in reader.items], "related": list(dict.fromkeys(reader.related)), "error": error}
 
 
 def article_parts(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages without the html, with preamble, toc, sections, bibliography (lines) and related (names of entries).
+    """pages without the html, with preamble, toc, sections, bibliography (lines), related (names of entries) and error.
 
     A section is a numbered heading directly in the main text with the
     paragraphs after it; an unnumbered heading ends it. Null and foreign pages
@@ -164,6 +176,7 @@ def article_parts(pages: DataFrame, column: str = "html") -> DataFrame:
         "sections": (T.ArrayType(T.StructType().add("id", "string").add("title", "string").add("content", "string")), pa.list_(pa.struct([("id", pa.string()), ("title", pa.string()), ("content", pa.string())]))),
         "bibliography": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
         "related": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
+        "error": (T.StringType(), pa.string()),
     }
     keep = [c for c in pages.columns if c not in (column, *new)]
     schema = pages.select(*keep).schema

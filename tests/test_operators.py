@@ -258,3 +258,29 @@ def test_places_of_large_groups_and_recommendations(spark):
     vectors = spark.createDataFrame([(1, 10, [1, 0]), (1, 11, [0, 2]), (1, 12, [3, 3]), (2, 20, [1, 1])], "label int, vec_id int, e array<long>")
     examples = spark.createDataFrame([(1, [2, 0], 1), (1, [0, 1], -1)], "label int, e array<long>, sign int")
     assert [(r.vec_id, r.score, r.place) for r in search.recommended(vectors, examples, "label", "vec_id", 2).orderBy("place").collect()] == [(12, 3, 1), (10, 2, 2)]
+
+
+def test_lineage_where_orders_repeat(spark):
+    """Two files number their entries alike; each group keeps its own members."""
+    rows = [(0, "a", {}, "", [], "g1"), (0, "b", {}, "", [], "g2"), (1, "c", {"abstract": "a long abstract"}, "", [], "g1"), (0, "d", {}, "", [], None)]
+    entries = spark.createDataFrame(rows, "ord int, key string, fields map<string,string>, keywords string, removed array<string>, g string")
+    for with_group in (True, False):
+        folded = dedupe.fold_groups(entries, "g", with_lineage=False, with_group=with_group)
+        got = sorted(map(tuple, dedupe.fold_lineage(entries, "g", folded).collect()))
+        assert got == [("b", "b"), ("c", "a"), ("c", "c"), ("d", "d")]
+
+
+def test_runs_of_names_take_time_in_proportion(spark):
+    import time
+
+    seconds = []
+    for n in (25_000, 100_000):
+        texts = ["Smith, " * n, "Smith and " * n, "Smith, " * n + "Kant (1781a, b; 1790)", "Kant and " + "the " * n, "Kant" + " " * n + "x", "Kant (1781" + ", 1790" * n + ")", "Smith, Jones and the " * n, "SmithÉ’s-" * n]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        began = time.perf_counter()
+        found = prose.citations(docs).groupBy("doc_id").count().collect()
+        named = prose.rejected_mentions(docs).collect()
+        seconds.append(time.perf_counter() - began)
+        assert {r.doc_id: r["count"] for r in found} == {5: n + 1}
+        assert {(r.doc_id, r.surname, r.year) for r in named} == {(2, "Smith", "1790"), (2, "Kant", "1790")}
+    assert seconds[1] < 8 * seconds[0] + 2

@@ -45,7 +45,7 @@ def test_files_in_argument_order(spark, tmp_path):
     for name in ("z.bib", "a.bib"):
         (tmp_path / name).write_text("@misc{k, title = {T}}")
     texts = bibtex.read_texts(spark, [f"{tmp_path}/z.bib", f"{tmp_path}/a.bib"])
-    assert [r.bib_file for r in bibtex.parse(texts).orderBy("file_ord").collect()] == ["z.bib", "a.bib"]
+    assert [r.bib_file for r in bibtex.parse(texts).orderBy("file_ord").collect()] == [f"{tmp_path}/z.bib", f"{tmp_path}/a.bib"]
 
 
 def test_people(spark):
@@ -128,3 +128,13 @@ def test_parts_of_articles_and_sitemaps(spark):
     assert [s.id for s in some.sections] == ["1.1"] and "preamble" not in some.asDict()
     maps = spark.createDataFrame([("a", "<loc>https://x.org/reviews/being-and-time/</loc><loc>https://x.org/about/</loc><loc>https://x.org/reviews/mind</loc><loc>https://x.org/reviews/mind/</loc>"), ("b", None)], "file string, content string")
     assert sorted((r.slug, r.ord) for r in html.sitemap_slugs(maps).collect()) == [("being-and-time", 0), ("mind", 1)]
+
+
+def test_one_bad_page_ends_nothing(spark):
+    bad = ["<title>T</title><p>before <![foo[bar]]> after", "<li>open <div id='bibliography'>text <ul><li>A. 2001</li></ul></div>", "<![CDATA[<p>x", "<!DOCTYPE [<!x", "&#xffffffffff; <p>fine"]
+    pages = spark.createDataFrame([(i, b, 1) for i, b in enumerate(bad)] + [(9, "<title>Good</title>", 1)], "page_id int, html string, error int")
+    read = {r.page_id: r for r in html.articles(pages).collect()}
+    parts = {r.page_id: r for r in html.article_parts(pages).collect()}
+    assert len(read) == len(parts) == 6 and read[9].title == "Good" and read[9].error is None
+    assert read[0].error.startswith("AssertionError") and read[0].title == "T" and "before" in read[0].text
+    assert parts[1].error is None and parts[1].bibliography == ["A. 2001"]
