@@ -133,14 +133,17 @@ def cleaned(entries: DataFrame, records: DataFrame) -> DataFrame:
 def clean_files(texts: DataFrame, pool_files: DataFrame, out: str) -> DataFrame:
     """Bibliography texts (bib_file, file_ord, content) cleaned by API answers (file, content): files to files.
 
-    The plan is written once and cuts the lineage; then the ledger goes to
-    out/ledger, and only then the new texts to out/bib, so that a job that dies
-    leaves no text without its ledger. Chunks that do not change are written as
-    they were. Returns the ledger: bib_file, key, outcome, matched, abstained,
-    removed, year_verdict, identifier, identifier_value, breaker_tripped.
+    The plan is written once and cuts the lineage. Ledger and new texts are the
+    parts of one version under out, which holds from the moment its pointer is
+    moved (sources/versions.py): a job that dies leaves the old version whole.
+    Edits replace or take out single fields; all else, and every file without
+    an edit, is written byte for byte. Returns the ledger: bib_file, key,
+    outcome, matched, abstained, removed, year_verdict, identifier,
+    identifier_value, breaker_tripped.
     """
-    from citeloom.sources import bibtex, envelopes
+    from citeloom.sources import bibtex, envelopes, versions
 
+    spark = texts.sparkSession
     parsed = written(bibtex.parse(texts), "entries")
     records = written(envelopes.records(envelopes.pool(pool_files)), "records")
     plan = written(cleaned(parsed.filter("key IS NOT NULL").select("bib_file", "entry_ord", "key", "entry_type", "fields"), records), "plan")
@@ -148,8 +151,13 @@ def clean_files(texts: DataFrame, pool_files: DataFrame, out: str) -> DataFrame:
         "bib_file", "key", "outcome", F.col("outcome").isin("doi", "swapped", "title").alias("matched"), F.col("outcome").isin("scoped_year_disagreement", "pooled_year_conflict").alias("abstained"),
         "removed", "year_verdict", "identifier", "identifier_value", F.col("tripped").alias("breaker_tripped"),
     )
-    ledger.write.mode("overwrite").json(f"{out}/ledger")
-    new = plan.filter("touched").select("bib_file", "entry_ord", F.col("new_type").alias("entry_type"), "key", F.col("new_fields").alias("fields"), F.lit(None).cast("string").alias("raw"))
-    same = parsed.join(new, ["bib_file", "entry_ord"], "left_anti").select("bib_file", "entry_ord", F.lit(None).cast("string").alias("entry_type"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("map<string,string>").alias("fields"), "raw")
-    bibtex.to_text(same.unionByName(new)).select("content", "bib_file").write.mode("overwrite").partitionBy("bib_file").text(f"{out}/bib")
-    return ledger
+    set_ = F.map_filter("new_fields", lambda k, v: ~F.coalesce(F.try_element_at("fields", k) == v, F.lit(False)))
+    gone = F.filter(F.map_keys("fields"), lambda k: ~F.map_contains_key("new_fields", k))
+    edits = F.map_concat(set_, F.map_from_arrays(gone, F.transform(gone, lambda k: F.lit(None).cast("string"))))
+    touched = plan.filter("touched").select("bib_file", "entry_ord", edits.alias("edits"), "new_type")
+    own = parsed.select("bib_file", "entry_ord", "raw", "entry_type", "key", "fields")
+    new = bibtex.spliced(own.join(touched, ["bib_file", "entry_ord"]))
+    same = own.join(touched, ["bib_file", "entry_ord"], "left_anti").withColumn("refusal", F.lit(None).cast("string"))
+    whole = same.unionByName(new)
+    folder = versions.commit(spark, out, None, {"ledger": lambda path: ledger.write.json(path), "bib": lambda path: bibtex.write_texts(bibtex.to_text(whole), path)})
+    return spark.read.schema(ledger.schema).json(f"{folder}/ledger")

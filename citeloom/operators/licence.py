@@ -38,7 +38,8 @@ def bound_values(entry_type: Column, fields: Column) -> Column:
         F.lower(F.trim(field(fields, "abstract_source"))).alias("source"),
         hashed("sep_context").alias("sep_context"),
         hashed("iep_context").alias("iep_context"),
-        F.nullif(keys.url_key(keys.first_url(field(fields, "url"), field(fields, "howpublished"))), F.lit("")).alias("url"),
+        # The address is found once: its key reads it so often that the compiled code would pass the JVM's limit of a method.
+        keys.let(keys.first_url(field(fields, "url"), field(fields, "howpublished")), lambda u: F.nullif(keys.url_key(u), F.lit(""))).alias("url"),
     )
 
 

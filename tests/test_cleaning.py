@@ -59,14 +59,28 @@ def test_files_to_files(spark, tmp_path):
     dump = {"source": "s2", "results": [{"title": "Z", "year": "1990", "venue": "V"}, {"title": "Q", "year": "1980"}]}
     texts = spark.createDataFrame([("x.bib", 0, bib), ("empty.bib", 1, "")], "bib_file string, file_ord int, content string")
     files = spark.createDataFrame([("verify_1.json", json.dumps(lookup)), ("s2.json", "log line " + json.dumps(dump)), ("bad.json", "{"), ("none.json", None)], "file string, content string")
-    cleaning.clean_files(texts, files, str(tmp_path))
-    ledger = {r.key: r for r in spark.read.schema("key string, outcome string, matched boolean, removed array<string>, year_verdict string, identifier string, identifier_value string, breaker_tripped boolean").json(f"{tmp_path}/ledger").collect()}
+    from citeloom.sources import versions
+
+    assert cleaning.clean_files(texts, files, str(tmp_path)).count() == 3
+    folder = versions.current(spark, str(tmp_path))
+    ledger = {r.key: r for r in spark.read.schema("key string, outcome string, matched boolean, removed array<string>, year_verdict string, identifier string, identifier_value string, breaker_tripped boolean").json(f"{folder}/ledger").collect()}
     a, same, b = ledger["a2001"], ledger["same"], ledger["b"]
     assert (a.outcome, a.removed, a.year_verdict, a.identifier, a.identifier_value) == ("doi", ["volume"], "yes", "doi", "10.1/a")
     assert (same.outcome, same.matched, same.removed, same.identifier) == ("unmatched", False, [], None)
     assert (b.outcome, b.removed, b.identifier, b.breaker_tripped) == ("title", ["publisher"], None, False)
-    rows = spark.read.option("wholetext", True).text(f"{tmp_path}/bib").filter("bib_file = 'x.bib'").collect()
+    rows = spark.read.option("wholetext", True).text(f"{folder}/bib").filter("bib_file = 'x.bib'").collect()
     out = "".join(r.value for r in rows)
     assert "@comment{stays}" in out and '@article{same, author = "C", title = "Y", journal = {Noûs}, year = 1999}' in out
     assert "volume" not in out.replace("METADATA_CLEANED: volume", "") and "year = {2002}" in out and "keywords = {High, METADATA_CLEANED: volume, year:2001->2002}" in out
     assert "@misc{b" in out and out.index("a2001") < out.index("@article{same") < out.index("@misc{b")
+    assert "keywords = {High, METADATA_CLEANED: volume, year:2001->2002}}" in out and "  author = {A B}, title = {On {X}},  journal" in out  # all else stays as it was
+
+
+def test_a_file_without_edits_comes_back_byte_for_byte(spark, tmp_path):
+    from citeloom.sources import versions
+
+    bib = "\ufeff% head\n\n@comment{a}\n\n\n@article{x, title = {T},\n   year=1999}   \n\n@misc(y, note = \"{q}\" # jan)\n\n"
+    texts = spark.createDataFrame([("a b.bib", 0, bib), ("c.bib", 1, bib.rstrip())], "bib_file string, file_ord int, content string")
+    cleaning.clean_files(texts, spark.createDataFrame([], "file string, content string"), str(tmp_path))
+    back = {r.bib_file: r.value for r in spark.read.text(f"{versions.current(spark, str(tmp_path))}/bib", wholetext=True).collect()}
+    assert back == {"a b.bib": bib, "c.bib": bib.rstrip()}
