@@ -36,7 +36,7 @@ DEPTH, LEAST, NESTED, TOP = 3, 10, 50, 2_000
 #: Before a word of level 2, 3, ... in a tree: bytes that no word can hold.
 LEVELS = "\n\t\r\x0b\x0c.,;"
 #: Bytes of text that one task sorts at a time, and suffixes for which a task of the second sort is planned.
-BLOCK, ROUTED = 12 << 20, 1_500_000
+BLOCK, ROUTED = 8 << 20, 1_000_000
 #: Occurrences in one block from which a pair is reported, as it may be too many for one task.
 MARK = 8
 #: What each byte is to the splitting (0 of a word, 1 blank, 2 end of a piece), and lower case.

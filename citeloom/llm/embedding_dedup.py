@@ -231,12 +231,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     base = classes.select("cid", "least", "weight").join(counts, "cid", "left").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
     named = base.groupBy("label").agg(F.min("least").alias("component"))
-    by_class = base.join(named, "label").select(F.col("cid").alias("__cid"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component")
+    by_class = base.join(named, "label").select(F.col("cid").alias("__cid"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.col("component").alias("__component"))
     return keyed.join(by_class, "__cid", "left").select(
         *rest,
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept"),
+        F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("__component", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("__component", "vec_id"), F.lit(False)).alias("kept"),
     )
 
 

@@ -7,8 +7,11 @@ language tag, the size it was crawled with, and source and language together.
 Both start from labelled documents; in each round each view labels the
 documents of the whole corpus that it is most confident about, in the
 proportion of the classes, for the other. Confidence is calibrated (Platt) on
-labelled documents that no view is trained on, so a view that knows little
-teaches nothing. At the end the views' calibrated log-odds are averaged.
+labelled documents that no view is trained on. A view is sure where its odds
+reach the best tenth of these on either side, so each one teaches what it knows
+best; what a label counts for is its calibrated margin (2p - 1), so a view that
+knows little teaches as many documents, but lightly. At the end the views'
+calibrated log-odds are averaged.
 
 Executors make features and, in each round, score all unlabelled documents; a
 view's most confident ones are found by a bounded sort (EXCHANGED a round), so
@@ -36,8 +39,8 @@ from citeloom.session import written
 BUCKETS, HASHED = 2048, 24
 #: Labelled documents at most; rounds, documents a view labels in a round, gradient steps.
 SAMPLE, ROUNDS, EXCHANGED, STEPS = 2_500, 2, 400, 150
-#: Calibrated log-odds from which a view is sure (nine to one).
-SURE = 2.2
+#: The share of calibration rows, on either side, whose odds make a view sure.
+SURE = 0.1
 #: Kinds of bytes: letters in either case, digits, space, line ends, stops, other ASCII, beyond ASCII.
 KINDS = np.full(256, 6, np.int8)
 KINDS[97:123], KINDS[65:91], KINDS[48:58], KINDS[32], KINDS[10], KINDS[128:] = 0, 1, 2, 3, 4, 7
@@ -104,10 +107,11 @@ def text_features(column: pa.Array) -> np.ndarray:
     return np.concatenate([shares, statistics(raw, at)], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last one is the bias) of a class-balanced logistic regression, by Adam."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float = 1e-4, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last one is the bias) of a class-balanced logistic regression, by Adam; weight: what each row counts for."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = (weight * np.where(y == 1, 0.5 / max(1e-9, weight[y == 1].sum()), 0.5 / max(1e-9, weight[y == 0].sum()))).astype(np.float32)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for step in range(1, steps + 1):
         g = ((1 / (1 + np.exp(-(x @ w))) - y) * share) @ x + decay * w
@@ -138,26 +142,32 @@ def co_train(views: list[np.ndarray], y: np.ndarray, exchange, rounds: int = ROU
     """Weights and calibration of both views, learnt from labelled rows (features of each view, and y).
 
     exchange(models, share) names what each view is most sure about in the
-    corpus: for each view the other view's features of those documents and the
-    labels it gives them. A document is labelled once at most.
+    corpus: for each view the other view's features of those documents, the
+    labels it gives them and, if it likes, what each counts for. A document is
+    labelled once at most. Each model says how many labels it was taught
+    (taught), and from which odds on it is sure (sure: low and high).
     """
     base, aside = split_known(y)
     x, taught = [v[base] for v in views], [y[base], y[base]]
+    counts = [np.ones(len(base)), np.ones(len(base))]
     share = float((y[base] == 1).mean())
 
     def learnt() -> list[dict]:
         out = []
-        for view, own, labels in zip(views, x, taught, strict=True):
-            w = logistic(own, labels)
-            a, b = platt(view[aside] @ w[:-1] + w[-1], y[aside])
-            out.append({"w": w, "a": a, "b": b})
+        for view, own, labels, weight in zip(views, x, taught, counts, strict=True):
+            w = logistic(own, labels, weight=weight)
+            logit = view[aside] @ w[:-1] + w[-1]
+            a, b = platt(logit, y[aside])
+            low, high = np.quantile(a * logit + b, [SURE, 1 - SURE], method="lower")
+            out.append({"w": w, "a": a, "b": b, "sure": (min(low, -1e-6), max(high, 1e-6)), "taught": len(labels) - len(base)})
         return out
 
     models = learnt()
     for _ in range(rounds):
-        for view, (features, labels) in enumerate(exchange(models, share)):
+        for view, (features, labels, *weight) in enumerate(exchange(models, share)):
             other = 1 - view
             if len(labels):
+                counts[other] = np.concatenate([counts[other], weight[0] if weight else np.ones(len(labels))])
                 x[other] = np.concatenate([x[other], features])
                 taught[other] = np.concatenate([taught[other], labels])
         models = learnt()
@@ -240,22 +250,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
 
         scored = free.mapInArrow(tidy(run), "doc_id long, text_logit double, page_logit double")
         logits = written(scored.join(marked, "doc_id", "left_anti"), "logits")
-        high, picked = max(1, round(exchanged * share)), []
-        for name in ("text_logit", "page_logit"):
+        picked = []
+        for name, model in zip(("text_logit", "page_logit"), models, strict=True):
             # Bounded sorts: every task sends its best rows only. Some more, as others may have been used.
-            best = {1: logits.filter(f"{name} > {SURE}").orderBy(F.desc(name), "doc_id"), 0: logits.filter(f"{name} < -{SURE}").orderBy(F.asc(name), "doc_id")}
-            own: dict[int, int] = {}
-            for label, size in ((1, high), (0, exchanged - high)):
-                rows = best[label].select("doc_id").limit(size + len(used) + len(own)).collect()
-                fresh = [i for i in dict.fromkeys(r["doc_id"] for r in rows) if i not in used and i not in own]
-                own |= dict.fromkeys(fresh[:size], label)
+            low, high = model["sure"]
+            best = {1: logits.filter(F.col(name) >= float(high)).orderBy(F.desc(name), F.xxhash64("doc_id"), "doc_id"), 0: logits.filter(F.col(name) <= float(low)).orderBy(F.asc(name), F.xxhash64("doc_id"), "doc_id")}
+            found = {}
+            for label, part in ((1, share), (0, 1 - share)):
+                size = max(1, round(exchanged * part))
+                rows = best[label].select("doc_id", name).limit(size + len(used) + exchanged).collect()
+                fresh = {r["doc_id"]: r[name] for r in rows if r["doc_id"] not in used and r["doc_id"] not in found}
+                found |= {i: (label, odds) for i, odds in list(fresh.items())[:size]}
+            # As many of either kind as keep the proportion of the classes.
+            have = {k: sum(1 for label, _ in found.values() if label == k) for k in (0, 1)}
+            total = min(have[1] / max(share, 1e-9), have[0] / max(1 - share, 1e-9))
+            own, left = {}, {1: round(total * share), 0: round(total * (1 - share))}
+            for i, (label, odds) in found.items():
+                if left[label]:
+                    own[i], left[label] = (label, float(np.tanh(abs(odds) / 2))), left[label] - 1
             used.update(own)
             picked.append(own)
         found, features = _collected(docs, [*picked[0], *picked[1]])
         out = []
         for view, own in enumerate(picked):
             at = [i for i, k in enumerate(found) if k in own]
-            out.append((features[1 - view][at], np.array([own[found[i]] for i in at], np.int64)))
+            given = [own[found[i]] for i in at]
+            out.append((features[1 - view][at], np.array([g[0] for g in given], np.int64), np.array([g[1] for g in given])))
         return out
 
     return co_train(views, y, exchange, rounds)

@@ -235,20 +235,26 @@ def table_use(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)).agg(*[F.sum(c).alias(c) for c in names])
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """As near_duplicates, with __label: one value for each component, even where two have one component_id."""
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """docs' columns without text, with fp, component_id and __simhash_group: one value for each component."""
     hashed = written(fingerprints(docs), "fingerprints")
     distinct = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = connected_components(star_edges(distinct.select("fp"), distinct.count(), radius))
-    of = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("__label"), "least")
-    named = of.groupBy("__label").agg(F.min("least").alias("component_id"))
-    by_fp = of.join(named, "__label").select("fp", "component_id", "__label")
-    return hashed.drop("component_id").join(by_fp, "fp").select(*[c for c in hashed.columns if c != "component_id"], "component_id", "__label")
+    of = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("__simhash_group"), "least")
+    named = of.groupBy("__simhash_group").agg(F.min("least").alias("component_id"))
+    by_fp = of.join(named, "__simhash_group").select("fp", "component_id", "__simhash_group")
+    own = [c for c in hashed.columns if c not in ("component_id", "__simhash_group")]
+    return hashed.select(own).join(by_fp, "fp").select(*own, "component_id", "__simhash_group")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """As near_duplicates, with __label: one value for each component, even where two have one component_id."""
+    return _grouped(docs, radius).drop("__label").withColumnRenamed("__simhash_group", "__label")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs' columns without text, with fp and component_id (the smallest doc_id reachable)."""
-    return near_groups(docs, radius).drop("__label")
+    return _grouped(docs, radius).drop("__simhash_group")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

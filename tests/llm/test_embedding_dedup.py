@@ -128,3 +128,11 @@ def test_classes_whose_numbers_collide_stay_apart(spark):
     own = {r.vec_id: r["__cid"] for r in keyed.collect()}
     assert own[1] == own[3] != own[2] and own[4] != own[1] and own[5] is None
     assert sorted((r.least, r.weight) for r in classes.collect()) == [(1, 2), (2, 1), (4, 1)]
+
+
+def test_columns_of_inner_names_pass_through(spark):
+    rows = [(1, [1.0, 0.0], 1, 7, 8, 9), (2, [1.0, 0.0], 1, 7, 8, 9), (3, [0.0, 1.0], 1, 7, 8, 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n int, component int, cid int")
+    vectors = vectors.selectExpr("*", "1 AS weight", "2 AS links", "3 AS least", "4 AS node", "5 AS root")
+    got = sorted(ed.near_vectors(vectors).select("vec_id", "n_links", "component_id", "n", "component", "cid", "weight", "links").collect())
+    assert [tuple(r) for r in got] == [(1, 1, 1, 7, 8, 9, 1, 2), (2, 1, 1, 7, 8, 9, 1, 2), (3, 0, 3, 7, 8, 9, 1, 2)]

@@ -87,3 +87,24 @@ def test_views_teach_each_other():
     models = quality.co_train([v[:40] for v in views], y[:40], exchange)
     logit = np.mean([m["a"] * (v @ m["w"][:-1] + m["w"][-1]) + m["b"] for m, v in zip(models, views, strict=True)], axis=0)
     assert len(calls) == quality.ROUNDS and ((logit > 0) == (y == 1)).mean() > 0.95
+
+
+def test_both_views_teach_in_the_real_exchange(spark):
+    """Source and size tell of quality as the text does: each view is taught by the other, in the proportion of the classes."""
+    rng = random.Random(5)
+    rows, labels, truth = [], [], {}
+    for i in range(900):
+        good = rng.random() < 0.6
+        words = ["".join(rng.choices(["ta", "no", "mi", "re"], k=3)) for _ in range(rng.randint(20, 60))]
+        text = " ".join(words) + "." if good != (rng.random() < 0.1) else "!! ".join(w.upper() for w in words) + "$$$"
+        source = f"s{rng.randint(0, 3) + 4 * (good != (rng.random() < 0.1))}"
+        rows.append((i, text, source, "xx", len(text)))
+        truth[i] = int(good)
+        if i % 5 == 0:
+            labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    models = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), exchanged=60)
+    assert all(m["taught"] >= 60 for m in models), [m["taught"] for m in models]
+    got = quality.score(docs, models).collect()
+    right = lambda name: np.mean([(r[name] >= 0.5) == bool(truth[r.doc_id]) for r in got])
+    assert right("quality_score") > max(right("text_score"), right("page_score")) - 0.02 and right("quality_score") > 0.9

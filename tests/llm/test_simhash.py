@@ -146,3 +146,10 @@ def test_the_table_discards_most_pairs_and_no_link(spark):
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64).tolist()], "fp long")
     use = simhash.table_use(df, len(fp)).first()
     assert use.links >= links and use.survivors < 0.5 * use.pairs
+
+
+def test_columns_of_inner_names_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "x", 5, 7), (2, "a b c d e", "y", 6, 8), (3, "other words of a text", "z", 7, 9)], "doc_id long, text string, __label string, least long, label int")
+    got = sorted(tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "component_id", "__label", "least", "label").collect())
+    assert got == [(1, 1, "x", 5, 7), (2, 1, "y", 6, 8), (3, 3, "z", 7, 9)]
+    assert len({r["__label"] for r in simhash.near_groups(docs).collect()}) == 2
