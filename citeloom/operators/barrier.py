@@ -15,6 +15,7 @@ all of them; equal keys within a file share their attestation.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -111,14 +112,15 @@ def report(done: DataFrame, states: DataFrame, fared: dict[str, str]) -> DataFra
     return rows.unionByName(refused).unionByName(inputs).unionByName(passed)
 
 
-def execute(out: str, expected: DataFrame, texts: DataFrame, ledgers: dict[str, DataFrame], attestations: DataFrame, passes: dict[str, Pass] | None = None) -> dict:
-    """Plans, reports and commits; gives status (complete, degraded or failed), the number of degraded inputs and the version's folder.
+def publish(out: str, done: DataFrame, states: DataFrame, fared: dict[str, str]) -> dict:
+    """Writes what plan gave: the report, and if any bibliography is present a new version of the texts.
 
     out/reports/<version>: the report as JSON rows, and its summary;
     out/versions/<version>/bib: all texts; out/CURRENT: the version that holds.
+    Gives status (complete, degraded or failed), the numbers of degraded and
+    present inputs, and the version's folder.
     """
-    spark = expected.sparkSession
-    done, states, fared = plan(expected, texts, ledgers, attestations, passes)
+    spark = done.sparkSession
     count = states.agg(F.count_if("degraded").alias("degraded"), F.count_if(F.col("bib") == "present").alias("present")).first()
     bad = count["degraded"] > 0 or any(how != "ok" for how in fared.values())
     status = "failed" if not count["present"] else "degraded" if bad else "complete"
@@ -129,8 +131,11 @@ def execute(out: str, expected: DataFrame, texts: DataFrame, ledgers: dict[str,
         versions.put(spark, f"{path}/_summary.json", json.dumps(summary))
 
     if status == "failed":
-        import uuid
-
         told(f"{out.rstrip('/')}/reports/{uuid.uuid4().hex}")
         return summary | {"folder": None}
     return summary | {"folder": versions.commit(spark, out, told, {"bib": lambda path: bibtex.write_texts(bibtex.to_text(done), path)})}
+
+
+def execute(out: str, expected: DataFrame, texts: DataFrame, ledgers: dict[str, DataFrame], attestations: DataFrame, passes: dict[str, Pass] | None = None) -> dict:
+    """Plans, reports and commits."""
+    return publish(out, *plan(expected, texts, ledgers, attestations, passes))

@@ -315,7 +315,7 @@ def splice(raw: str, edits: dict[str, str | None], kind: str | None = None) -> t
     expected = [(p.name, p.value) for p in now.places if p.name not in edits]
     after = scan(text)
     kept = [(p.name, p.value) for p in after.places if p.name not in edits]
-    good = after.key == now.key and after.kind == (kind or now.kind) and kept == expected and after.error == now.error
+    good = after.key == now.key and after.kind == (kind or now.kind) and kept == expected and after.error in (None, now.error)
     good = good and all({p.value for p in after.places if p.name == k} == ({v.strip()} if v is not None else set()) for k, v in edits.items())
     return (text, None) if good else (raw, "refused")
 

@@ -48,8 +48,6 @@ def test_states_tiers_passes_and_report(spark, tmp_path):
     assert rows["tier", "d0.bib", "EXISTENCE"] == 1 and rows["tier", "d0.bib", "ALL"] == 2 and rows["tier", "d1.bib", "NONE"] == 2
     assert ("input bib", "d2.bib", "malformed") in rows and ("input bib", "d3.bib", "missing") in rows and ("input enrichment", "d1.bib", "missing") in rows
     assert json.loads((path / "_summary.json").read_text())["status"] == "degraded"
-    again = barrier.execute(out, *inputs(spark))  # its own output is a state it keeps
-    assert again["folder"] != got["folder"] and "EVIDENCE" in texts_of(spark, out)["d0.bib"]
 
 
 def test_nothing_present_is_a_failed_run(spark, tmp_path):
@@ -59,29 +57,26 @@ def test_nothing_present_is_a_failed_run(spark, tmp_path):
 
 
 def test_a_kill_between_any_two_writes_leaves_all_or_nothing(spark, tmp_path, monkeypatch):
-    out = str(tmp_path)
+    out, real, steps = str(tmp_path), versions._step, []
     barrier.execute(out, *inputs(spark))
-    old, steps, real = texts_of(spark, out), [], versions._step
+    old = texts_of(spark, out)
+    planned = barrier.plan(*inputs(spark, GOOD.replace("{T}", "{New}")))
     monkeypatch.setattr(versions, "_step", lambda name, write: (steps.append(name), real(name, write)))
-    new_inputs = inputs(spark, GOOD.replace("{T}", "{New}"))
-    barrier.execute(str(tmp_path / "dry"), *new_inputs)
-    assert steps == ["report", "bib", "manifest", "pointer"]
-    for at in range(len(steps)):
-        for half in (False, True):
-
-            def killed(name, write, at=at, half=half, seen=[]):  # noqa: B006
+    barrier.publish(f"{out}/dry", *planned)
+    new = texts_of(spark, f"{out}/dry")
+    assert steps == ["report", "bib", "manifest", "pointer"] and new != old and set(new) == set(old)
+    for at, last in enumerate(list(steps)):
+        for after in (False, True):  # dies before, or right after that write
+            seen = []
+
+            def killed(name, write, at=at, after=after, seen=seen):
                 seen.append(name)
+                if len(seen) <= at or after:
+                    write()
                 if len(seen) == at + 1:
-                    if half:
-                        write()
                     raise SystemExit("killed")
-                write()
 
-            monkeypatch.setattr(versions, "_step", lambda name, write, k=killed, s=None: k(name, write, seen=state))
-            state = []
+            monkeypatch.setattr(versions, "_step", killed)
             with pytest.raises(SystemExit):
-                barrier.execute(out, *new_inputs)
-            now = texts_of(spark, out)
-            assert now == old or (at == len(steps) - 1 and half and all("{New}" in t for t in now.values()))
-            if now != old:
-                assert (at, half) == (3, True) and set(now) == set(old)
+                barrier.publish(out, *planned)
+            assert seen[-1] == last and texts_of(spark, out) == (new if (last, after) == ("pointer", True) else old)
