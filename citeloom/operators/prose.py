@@ -95,21 +95,23 @@ def _scanned(docs: DataFrame, key: str) -> DataFrame:
         own(F.when(pair, F.element_at(names("leads"), -1)).otherwise(F.col("last"))).alias("surname"),
         F.when(pair, own(F.concat("particles", "last"))).alias("second"),
         F.when(pair, "pair").when(F.col("etal") != "", "etal").otherwise("solo").alias("form"),
+        F.nullif(F.col("first"), F.lit("")).alias("first"),
         years.alias("years"),
         F.when(pair, free(prior)).otherwise(free(F.col("leads"))).alias("accepted"),
     )
 
 
 def citations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n, surname, second, form, year, letter, continuation of author-year citations in prose.
+    """key, n, surname, second, form, first, year, letter, continuation of author-year citations in prose.
 
     Forms: solo `A (2001a)`, pair `A and B (2001)`, etal `A et al. (2001)`. A
     list of years, `A (2001a, b; 2003)`, gives a row for each: all but the
-    first continue it, and a letter alone belongs to the year before. Names
+    first continue it, and a letter alone belongs to the year before. first:
+    the word with a capital before a lone surname, perhaps a first name. Names
     within longer lists of authors are left to rejected_mentions.
     """
-    found = _scanned(docs, key).filter("accepted").select(key, "n", "surname", "second", "form", F.posexplode("years").alias("i", "y"))
-    return found.select(key, "n", "surname", "second", "form", "y.year", "y.letter", (F.col("i") > 0).alias("continuation"))
+    found = _scanned(docs, key).filter("accepted").select(key, "n", "surname", "second", "form", "first", F.posexplode("years").alias("i", "y"))
+    return found.select(key, "n", "surname", "second", "form", "first", "y.year", "y.letter", (F.col("i") > 0).alias("continuation"))
 
 
 def rejected_mentions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
