@@ -159,3 +159,62 @@ def letters(works: DataFrame, group: list[str], order: list[str], taint: str | N
     bad = F.max(F.col(taint).cast("int")).over(w) == 1 if taint else F.lit(False)
     out = out.withColumn("__bad", bad)
     return out.withColumn("letter", F.when(~F.col("__bad") & F.col("__n").between(2, 26), F.chr(F.lit(96) + F.col("__rn")))).drop("__n", "__rn", "__bad")
+
+
+def marked_removed(keywords: Column) -> Column:
+    """Names of the fields that a cleaning marker says were removed; changes of year or type are none."""
+    listed = F.regexp_extract(F.coalesce(keywords, F.lit("")), r"METADATA\\*_CLEANED:\s*(.*)$", 1)
+    return F.array_distinct(F.filter(F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x))), lambda x: (x != "") & ~F.contains(x, F.lit(":"))))
+
+
+def cited_groups(entries: DataFrame) -> DataFrame:
+    """key, group of cited entries (key, doi, work): equal DOIs are one work, and so are equal work keys unless their DOIs differ.
+
+    Under a work key with several DOIs each DOI is a group of its own, and the
+    entries without one are a group, too: nothing says whose copies they are.
+    The order of the entries plays no part. Null and empty keys join nothing.
+    """
+    doi, work = F.nullif(F.col("doi"), F.lit("")), F.nullif(F.col("work"), F.lit(""))
+    own = entries.select("key", doi.alias("doi"), work.alias("work"))
+    dois = own.filter("work IS NOT NULL").groupBy("work").agg(F.min("doi").alias("low"), F.max("doi").alias("high"))
+    sole = F.when(F.col("low") == F.col("high"), F.col("low"))
+    met = own.join(dois.select("work", sole.alias("sole")), "work", "left")
+    by_doi = F.concat(F.lit("doi "), F.coalesce("doi", "sole"))
+    return met.select("key", F.coalesce(by_doi, F.concat(F.lit("work "), "work"), F.concat(F.lit("key "), "key")).alias("group"))
+
+
+def cited_merge(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One survivor for each group of cited entries (key, doi, work, fields), and where every entry went.
+
+    Survivors: key, fields, members, suffix_conflict. Redirects: key, survivor.
+    The entry with most fields of substance survives, of equals the one with the
+    least key. Its gaps are filled from the next best that has the field. What
+    another entry's marker says was removed is taken out and named in the
+    survivor's marker; what any marker names fills no gap. A year_suffix that
+    lacks is taken over; if two differ, the survivor's stays and the conflict
+    is told. A total order decides all, so the order of rows changes nothing,
+    and a group of any size is aggregated before it meets in one row.
+    """
+    field = lambda name: F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+    score = F.size(F.filter(F.array(*[field(f) for f in SUBSTANCE]), lambda v: F.trim(v) != ""))
+    own = entries.join(cited_groups(entries), "key").select("group", "key", "fields", F.struct((-score).alias("s"), "key").alias("rank"), marked_removed(field("keywords")).alias("removed"))
+    own = written(own, "cited")
+    head = own.groupBy("group").agg(F.min_by(F.struct("key", "fields", "removed"), "rank").alias("w"), F.count(F.lit(1)).alias("members"))
+    gone = own.select("group", "key", F.explode("removed").alias("k")).groupBy("group", "k").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    gone = gone.join(head.select("group", "w.key"), "group")
+    others = (F.col("low") != F.col("key")) | (F.col("high") != F.col("key"))
+    gone = gone.groupBy("group").agg(F.array_sort(F.collect_set("k")).alias("blocked"), F.array_sort(F.collect_set(F.when(others, F.col("k")))).alias("verdicts"))  # names of fields: few
+    given = own.select("group", "rank", F.explode(F.map_filter("fields", lambda k, v: (k.isin(*SUBSTANCE) | (k == "year_suffix")) & (F.trim(v) != ""))).alias("k", "v"))
+    fill = given.groupBy("group", "k").agg(F.min_by("v", "rank").alias("v"), (F.min("v") != F.max("v")).alias("differ"))
+    fill = fill.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fill"), F.bool_or((F.col("k") == "year_suffix") & F.col("differ")).alias("conflict"))
+    none = F.array().cast("array<string>")
+    met = head.join(gone, "group", "left").join(fill, "group", "left").withColumn("blocked", F.coalesce("blocked", none)).withColumn("verdicts", F.coalesce("verdicts", none))
+    has = lambda k: F.trim(F.coalesce(F.try_element_at("w.fields", k), F.lit(""))) != ""
+    filled = F.map_filter(F.coalesce("fill", F.create_map().cast("map<string,string>")), lambda k, v: ~has(k) & ~F.array_contains("blocked", k))
+    kept = F.map_filter(F.coalesce("w.fields", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains("verdicts", k) & ~F.map_contains_key("filled", k) & (k != "keywords"))
+    words = F.regexp_replace(F.coalesce(F.try_element_at("w.fields", F.lit("keywords")), F.lit("")), r"[\s,]+$", "")
+    news = F.array_join(F.array_except("verdicts", F.col("w.removed")), ", ")
+    marked = F.when(news == "", words).when(words.rlike(r"METADATA\\*_CLEANED:"), F.concat_ws(", ", words, news)).otherwise(F.concat_ws(", ", F.nullif(words, F.lit("")), F.concat(F.lit("METADATA_CLEANED: "), news)))
+    keywords = F.map_filter(F.create_map(F.lit("keywords"), F.nullif(marked, F.lit(""))), lambda k, v: v.isNotNull())
+    survivors = met.withColumn("filled", filled).select(F.col("w.key").alias("key"), F.map_concat(kept, "filled", keywords).alias("fields"), "members", F.coalesce("conflict", F.lit(False)).alias("suffix_conflict"))
+    return survivors, own.join(head.select("group", F.col("w.key").alias("survivor")), "group").select("key", "survivor")
