@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     each in its own, and of those of one group the one with the least hash stays.
     A group in which no document has a doc_id has no smallest one and stays.
     """
-    of_text = F.xxhash64("text").alias("__hash")
+    of_text = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("__hash")
     found = written(simhash.near_groups(docs.select("doc_id", "text", of_text)).select("doc_id", "__hash", "component_id", "__label"), "components")
     least = found.filter("doc_id = component_id").groupBy("__label", "doc_id", "__hash").count()
     kept = written(least.groupBy("__label").agg(F.min(F.struct("__hash", "doc_id", "count")).alias("k")).select("k.*"), "survivors")
