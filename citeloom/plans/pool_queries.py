@@ -12,6 +12,8 @@ from citeloom.session import shared_dir
 
 #: Documents in a file of the pool.
 FILE = 100
+#: Buckets of its index.
+BUCKETS = 32
 
 
 def _pool(docs, shift):
@@ -33,7 +35,7 @@ def pool_index_updates(spark, sf_dir):
     out = f"{shared_dir(spark)}/pool-{uuid.uuid4().hex}"
     first = named(_pool(docs, 0).filter("f % 3 = 0")).unionByName(named(_pool(docs, 5).filter("f % 3 = 1")))
     lost = named(_pool(docs, 1).filter("f = 0")).withColumn("file", F.lit("lost.json"))
-    pool_index.update(first.unionByName(lost), out)
+    pool_index.update(first.unionByName(lost), out, BUCKETS)
     pool_index.update(named(_pool(docs, 0)), out)
     index = pool_index.read(spark, out)
     return index.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("file").alias("files"), F.min("value").alias("least_value"), F.max("file").alias("last_file"))
