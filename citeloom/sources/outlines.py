@@ -13,6 +13,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ ENDS_P = TAKEN - {"time"} | {"div", "section", "article", "main", "nav", "header
 BIBLIOGRAPHY, LEAST_LINE = ("bibliography", "references", "works cited", "further reading"), 21
 #: How many paragraphs a review's summary has, and the least length of one.
 PARAGRAPHS, LEAST_PARAGRAPH = 8, 50
+#: Bytes of pages that a task parses before it hands their blocks on.
+SLICE = 4 << 20
 
 BLOCK = T.StructType([T.StructField(n, T.IntegerType()) for n in ("no", "end", "parent", "place")] + [T.StructField(n, T.StringType()) for n in ("tag", "above", "mark", "text", "tight")])
 ROOT = T.StructType([T.StructField(n, T.IntegerType()) for n in ("no", "end")])
@@ -136,12 +139,25 @@ def _outline(page: str | None) -> dict:
     reader = _Blocks()
     error = _fed(reader, page)
     reader._close(0)
-    blocks = [b | {"text": " ".join(p), "tight": "".join(p)} for b, p in zip(reader.blocks, reader.parts)]
-    h1 = [b for b in blocks if b["tag"] == "h1"]
-    title = next((b["tight"] for b in h1 if "entry-title" in b["mark"].split()), None) or next((b["tight"] for b in h1), None) or "".join(reader.title) or None
+    blocks = [b | {"text": " ".join(p), "tight": "".join(p) if len(p) > 1 else None} for b, p in zip(reader.blocks, reader.parts)]
+    h1 = [(b["mark"].split(), b["tight"] or b["text"]) for b in blocks if b["tag"] == "h1"]
+    title = next((t for marks, t in h1 if "entry-title" in marks), None) or next((t for _, t in h1), None) or "".join(reader.title) or None
     return {"title": title, "blocks": blocks, "roots": list(reader.roots.items()), "meta": list(reader.meta.items()), "error": error}
 
 
+def _pieces(batch: pa.RecordBatch, column: str):
+    """The batch in slices whose pages have about SLICE bytes; a longer page is a slice of its own."""
+    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    start = size = 0
+    for i, n in enumerate(lengths):
+        if i > start and size + (n or 0) > SLICE:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if len(lengths) > start:
+        yield batch.slice(start)
+
+
 def outlines(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without the html, with title, blocks, roots (elements that may hold the article), meta and error.
 
@@ -155,13 +171,18 @@ def outlines(pages: DataFrame, column: str = "html") -> DataFrame:
         schema = schema.add(name, kind)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _pieces(whole, column)):
             found = [_outline(x) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array([f[n] for f in found], kind) for n, kind in _NEW.items())], names=[*keep, *NEW])
 
     return pages.select(*keep, column).mapInArrow(run, schema)
 
 
+def _tight(b: Column) -> Column:
+    """A block's pieces of text without anything between them; kept apart only where there are several."""
+    return F.coalesce(b["tight"], b["text"])
+
+
 def _root(*names: str) -> Column:
     return F.coalesce(*[F.try_element_at("roots", F.lit(n)) for n in names])
 
@@ -192,12 +213,12 @@ def with_parts(read: DataFrame) -> DataFrame:
     ends = F.coalesce(_first(own, lambda b: b["tag"].isin(*HEADS) | listed(b))["no"], F.lit(2**31 - 1))
     before = let(ends, lambda end: F.filter(own, lambda b: (b["tag"] == "p") & (b["text"] != "") & (b["no"] < end)))
     contents = _root("toc-div", "toc-nav", "toc-ol")
-    links = F.transform(F.filter("blocks", lambda b: (b["tag"] == "a") & _in(contents, b)), lambda b, i: F.struct((i + 1).cast("string").alias("id"), b["tight"].alias("title"), F.lit(1).alias("level"), b["mark"].alias("mark")))
+    links = F.transform(F.filter("blocks", lambda b: (b["tag"] == "a") & _in(contents, b)), lambda b, i: F.struct((i + 1).cast("string").alias("id"), _tight(b).alias("title"), F.lit(1).alias("level"), b["mark"].alias("mark")))
     toc = F.transform(F.filter(links, lambda x: F.startswith(x["mark"], F.lit("#"))), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["level"].alias("level")))
-    over = _first(F.col("blocks"), lambda b: b["tag"].isin(*HEADS) & F.contains(F.lower(b["tight"]), F.lit("author")))
+    over = _first(F.col("blocks"), lambda b: b["tag"].isin(*HEADS) & F.contains(F.lower(_tight(b)), F.lit("author")))
     staged = read.withColumn("preamble", F.nullif(F.array_join(F.transform(before, lambda b: b["text"]), " "), F.lit(""))).withColumn("toc", toc)
     staged = staged.withColumn("__next", let(over, _after))
-    said = F.when(F.col("__next.tag") == "p", F.col("__next.tight"))
+    said = F.when(F.col("__next.tag") == "p", _tight(F.col("__next")))
     email = F.nullif(F.regexp_extract(said, r"[\w.-]+@[\w.-]+\.\w+", 0), F.lit(""))
     return staged.withColumn("author", F.coalesce(said, F.try_element_at("meta", F.lit("author")))).withColumn("email", email).drop("__next")
 
@@ -212,22 +233,21 @@ def sections(read: DataFrame, key: str) -> DataFrame:
     any paragraph is no section.
     """
     root = _root("article", "entry-content")
-    rows = read.select(key, F.explode(F.filter("blocks", lambda b: _in(root, b) & (b["tag"].isin(*HEADS) | ((b["tag"] == "p") & ~b["above"].isin("p", "blockquote") & (b["text"] != ""))))).alias("b")).select(key, "b.no", "b.tag", "b.text", "b.tight")
+    rows = read.select(key, F.explode(F.filter("blocks", lambda b: _in(root, b) & (b["tag"].isin(*HEADS) | ((b["tag"] == "p") & ~b["above"].isin("p", "blockquote") & (b["text"] != ""))))).alias("b")).select(key, "b.no", "b.tag", "b.text", _tight(F.col("b")).alias("tight"))
     head = F.col("tag").isin(*HEADS)
     w = Window.partitionBy(key).orderBy("no")
     numbered = rows.withColumn("section", F.sum(head.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("section > 0")
     # Each section's parts, not the page's: a section is one row.
     parts = F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("no", "text")))), lambda p: p["text"])
     each = numbered.groupBy(key, "section").agg(F.max(F.when(head, F.substring("tag", 2, 1).cast("int"))).alias("level"), F.max(F.when(head, F.col("tight"))).alias("title"), F.trim(F.array_join(parts, " ")).alias("content"))
-    by = Window.partitionBy(key).orderBy("section")
-    so_far, to_come = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    by = Window.partitionBy(key).orderBy("section")  # one specification: one sort serves all that follows
+    so_far, to_come, all_ = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     up = lambda top: F.max(F.when(F.col("level") < top, F.col("section"))).over(so_far)
     down = lambda top: F.min(F.when(F.col("level") <= top, F.col("section"))).over(to_come)
     pick = lambda f: F.when(F.col("level") == 2, f(2)).when(F.col("level") == 3, f(3)).otherwise(f(4))
-    total = F.max("section").over(Window.partitionBy(key))
-    tree = each.filter("content != ''").select(key, F.col("section").alias("__s")).groupBy(key).agg(F.max("__s").alias("__full"))
-    ends = each.join(tree, key, "left").withColumn("__total", total).filter("section < __total OR section = __full")
-    return ends.select(key, F.col("section").cast("int").alias("section"), "level", pick(up).cast("int").alias("parent"), F.coalesce(pick(down) - 1, F.max("section").over(Window.partitionBy(key))).cast("int").alias("last"), "title", "content")
+    total, full = F.max("section").over(all_), F.max(F.when(F.col("content") != "", F.col("section"))).over(all_)
+    ends = each.select(key, "section", "level", pick(up).cast("int").alias("parent"), pick(down).alias("__next"), (total - F.coalesce((full < total).cast("int"), F.lit(1))).alias("__kept"), "title", "content")
+    return ends.filter("section <= __kept").select(key, F.col("section").cast("int").alias("section"), "level", "parent", F.coalesce(F.col("__next") - 1, F.col("__kept")).cast("int").alias("last"), "title", "content")
 
 
 def bibliography_lines(read: DataFrame, key: str) -> DataFrame:
@@ -238,7 +258,7 @@ def bibliography_lines(read: DataFrame, key: str) -> DataFrame:
     which ends it. parsed: what operators/bibliography reads in the line, with
     its confidence.
     """
-    heading = _first(F.col("blocks"), lambda b: b["tag"].isin(*HEADS) & F.exists(F.array(*map(F.lit, BIBLIOGRAPHY)), lambda k: F.contains(F.lower(b["tight"]), k)))
+    heading = _first(F.col("blocks"), lambda b: b["tag"].isin(*HEADS) & F.exists(F.array(*map(F.lit, BIBLIOGRAPHY)), lambda k: F.contains(F.lower(_tight(b)), k)))
 
     def listed(h: Column) -> Column:
         beside = F.filter("blocks", lambda b: (b["parent"] == h["parent"]) & (b["no"] > h["no"]))
@@ -260,12 +280,12 @@ def reviews(read: DataFrame) -> DataFrame:
     with a bracket and does not stand in round ones.
     """
     root = _root("review", "article", "content", "main")
-    plain = lambda b: ~F.startswith(b["tight"], F.lit("[")) & ~(F.startswith(b["tight"], F.lit("(")) & F.endswith(b["tight"], F.lit(")")))
-    kept = F.filter("blocks", lambda b: (b["tag"] == "p") & _in(root, b) & (F.length(b["tight"]) >= LEAST_PARAGRAPH) & plain(b))
-    paragraphs = F.coalesce(F.slice(F.transform(kept, lambda b: b["tight"]), 1, PARAGRAPHS), F.array().cast("array<string>"))
+    plain = lambda b: ~F.startswith(_tight(b), F.lit("[")) & ~(F.startswith(_tight(b), F.lit("(")) & F.endswith(_tight(b), F.lit(")")))
+    kept = F.filter("blocks", lambda b: (b["tag"] == "p") & _in(root, b) & (F.length(_tight(b)) >= LEAST_PARAGRAPH) & plain(b))
+    paragraphs = F.coalesce(F.slice(F.transform(kept, lambda b: _tight(b)), 1, PARAGRAPHS), F.array().cast("array<string>"))
     meta = lambda name: F.nullif(F.try_element_at("meta", F.lit(name)), F.lit(""))
-    byline = _first(F.col("blocks"), lambda b: (b["tag"] == "p") & F.rlike(F.lower(b["mark"]), F.lit("byline|author|reviewer")))["tight"]
+    byline = _first(F.col("blocks"), lambda b: (b["tag"] == "p") & F.rlike(F.lower(b["mark"]), F.lit("byline|author|reviewer")))
     time = _first(F.col("blocks"), lambda b: b["tag"] == "time")
-    dated = F.coalesce(F.substring(meta("article:published_time"), 1, 10), F.nullif(time["mark"], F.lit("")), time["tight"])
-    out = read.withColumn("reviewer", F.coalesce(meta("author"), byline)).withColumn("review_date", dated).withColumn("paragraphs", paragraphs)
+    dated = F.coalesce(F.substring(meta("article:published_time"), 1, 10), F.nullif(time["mark"], F.lit("")), _tight(time))
+    out = read.withColumn("reviewer", F.coalesce(meta("author"), _tight(byline))).withColumn("review_date", dated).withColumn("paragraphs", paragraphs)
     return out.withColumn("paragraph_count", F.size("paragraphs")).withColumn("summary_text", F.array_join("paragraphs", "\n\n"))
