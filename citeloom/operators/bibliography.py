@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.keys import let, title_key
+from citeloom.operators.matching import names_with_years
 
 LONGEST = 2000
 YEAR = r"(?i)^([0-9]{4}|forthcoming)$"
@@ -61,14 +62,13 @@ def with_carried_authors(lines: DataFrame, article: str = "article_id") -> DataF
 
 
 def entry_lines(entries: DataFrame, lines: DataFrame, least: int = 2, coverage: float = 0.5) -> DataFrame:
-    """entry, article_id, matches: entries (entry, surname, year, title) met by lines of surname, year and title words.
+    """entry, article_id, matches: entries (entry, surname, year, title) met by lines (article_id, line_no, raw) of surname, year and title words.
 
     Two title words and half of them must agree. More than one match is ambiguous.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(title_key(c), " "), lambda w: F.length(w) >= 3))
-    own = entries.withColumn("w", words(F.col("title")))
-    other = lines.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), F.lit(1)))))
-    met = own.join(other, "year").filter(F.rlike("raw", F.concat(F.lit(r"\b\Q"), "surname", F.lit(r"\E\b"))))
+    own = entries.select("entry", "surname", "year", words(F.col("title")).alias("w")).filter(F.size("w") >= least)
+    met = names_with_years(lines.select("article_id", "line_no", "raw"), ["article_id", "line_no"], "raw", own)
     shared = F.size(F.array_intersect("w", words(F.col("raw"))))
     good = met.filter((shared >= least) & (shared >= coverage * F.size("w")))
     return good.groupBy("entry", "article_id").agg(F.count(F.lit(1)).alias("matches"))

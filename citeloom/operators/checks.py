@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.matching import names_with_years
+
 #: Forms of verbs that report a position, and forms that credit it with success.
 ATTRIBUTION = ("argue", "argues", "argued", "assert", "asserts", "asserted", "claim", "claims", "claimed", "concede", "concedes", "conceded", "contend", "contends", "contended", "defend", "defends", "defended", "deny", "denies", "denied", "endorse", "endorses", "endorsed", "hold", "holds", "maintain", "maintains", "maintained", "objected", "press", "presses", "pressed", "propose", "proposes", "proposed", "reject", "rejects", "rejected", "reply", "replies", "replied", "respond", "responds", "responded")
 SUCCESS = ("challenged", "conclude", "concludes", "concluded", "demonstrate", "demonstrates", "demonstrated", "develop", "develops", "developed", "establish", "establishes", "find", "finds", "found", "identify", "identifies", "identified", "occupy", "occupies", "occupied", "prove", "proves", "proved", "show", "shows", "showed", "shown", "trace", "traces", "traced")
@@ -43,10 +45,9 @@ def slug_manifest(files: DataFrame) -> DataFrame:
 def reporting_verbs(docs: DataFrame, cited: DataFrame) -> DataFrame:
     """Sentences that name a weakly evidenced work (surname, year, tier or null) and hold a verb of the lists, each once."""
     verbs = r"(?i)\b(?:" + "|".join(ATTRIBUTION + SUCCESS) + r")\b"
-    sentences = docs.select("doc_id", F.explode(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?])\s")).alias("sentence")).filter(F.col("sentence").rlike(verbs))
-    named = sentences.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), F.lit(1)))))
-    weak = cited.filter(F.col("tier").isNull() | F.col("tier").isin(*WEAK))
-    hit = named.join(weak, "year").filter(F.rlike("sentence", F.concat(F.lit(r"\b\Q"), "surname", F.lit(r"\E\b"))))
+    sentences = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?])\s")).alias("place", "sentence")).filter(F.col("sentence").rlike(verbs))
+    weak = cited.select("surname", "year", "tier").filter(F.col("tier").isNull() | F.col("tier").isin(*WEAK))
+    hit = names_with_years(sentences, ["doc_id", "place"], "sentence", weak)
     return hit.select("doc_id", "surname", "year", F.coalesce("tier", F.lit("unstamped")).alias("tier"), "sentence").distinct()
 
 

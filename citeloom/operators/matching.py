@@ -63,6 +63,45 @@ def resolve(entries: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select(*entries.columns, "outcome", record.alias("record"))
 
 
+RUNS = r"[A-Za-z0-9_]+|[^\x00-\x7F]"
+
+
+def name_anchor(name: Column) -> Column:
+    """The longest run of ASCII word characters of a name, else its first other letter; null if it has neither.
+
+    A text that holds the name at word bounds has this as one of its name_runs.
+    """
+    runs = F.regexp_extract_all(name, F.lit(RUNS), F.lit(0))
+    best = F.array_max(F.transform(runs, lambda r: F.struct(F.rlike(r, F.lit("^[A-Za-z0-9_]")).alias("ascii"), F.length(r).alias("n"), r.alias("r"))))
+    return best["r"]
+
+
+def name_runs(text: Column) -> Column:
+    """The different runs of a text that a name's anchor can be."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)))
+
+
+def years_in(text: Column) -> Column:
+    """The different numbers of exactly four digits."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), F.lit(1)))
+
+
+def names_with_years(texts: DataFrame, key: list[str], text: str, works: DataFrame) -> DataFrame:
+    """texts (key, text) with each work (surname, year and more) whose name, at word bounds, and year they hold.
+
+    Works and texts meet in year and name, not in years alone, and only keys
+    are dealt for it: a year with a third of all rows brings no pairs together.
+    A work without a name or year meets nothing.
+    """
+    own = works.withColumn("__run", name_anchor(F.col("surname"))).filter("__run IS NOT NULL AND year IS NOT NULL")
+    wanted = own.select("year", "__run").distinct()
+    dated = texts.select(*key, years_in(F.col(text)).alias("years"), F.col(text).alias("__t")).filter(F.size("years") > 0)
+    each = dated.select(*key, F.explode("years").alias("year"), name_runs(F.col("__t")).alias("runs")).select(*key, "year", F.explode("runs").alias("__run"))
+    places = each.join(wanted, ["year", "__run"]).distinct()
+    held = texts.join(places, key).filter(F.array_contains(years_in(F.col(text)), F.col("year")))
+    return held.join(own, ["year", "__run"]).filter(F.rlike(text, F.concat(F.lit(r"\b\Q"), "surname", F.lit(r"\E\b")))).drop("__run")
+
+
 def within(a: DataFrame, b: DataFrame, group: str, pos_a: str, pos_b: str, width: int) -> DataFrame:
     """Rows of a and b of one group at most `width` apart: a range join by buckets of that width.
 

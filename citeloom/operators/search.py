@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Score floors of a metadata match with and without an author, and the share of title words that must agree.
 FLOOR_WITH_AUTHOR, FLOOR_ALONE, TITLE_SHARE = 30, 50, 0.5
-#: Acceptance of a review's slug, with its author confirmed and without.
-SLUG_CONFIRMED, SLUG_ALONE = 0.60, 0.75
+#: Acceptance of a review's slug, with its author confirmed and without, and what a confirmed author adds to its score.
+SLUG_CONFIRMED, SLUG_ALONE, BONUS = 0.60, 0.75, 0.15
 
 
 def search(records: DataFrame, terms: str = "", years: tuple[int | None, int | None] = (None, None), least_citations: int | None = None, kind: str | None = None, open_only: bool = False, order: str = "score", limit: int = 20) -> DataFrame:
@@ -89,18 +89,29 @@ def site_results(results: DataFrame, path: str, id_pattern: str) -> DataFrame:
 def best_review(books: DataFrame, slugs: DataFrame) -> DataFrame:
     """book, slug, score: the best slug of each book (book, title, author) that is good enough; the first among equals.
 
-    Only pairs that share a title token are scored.
+    Equal books are looked up once. A title of n tokens whose slug must have m
+    of them has one of its n - m + 1 rarest in common with every good slug: only
+    such pairs are scored, so that common words bring none together.
     """
     from citeloom.functions.keys import title_tokens
     from citeloom.operators.matching import slug_score
 
-    own = books.withColumn("token", F.explode(title_tokens("title")))
-    other = slugs.select("slug", "ord", F.explode(title_tokens(F.replace("slug", F.lit("-"), F.lit(" ")))).alias("token"))
-    pairs = own.join(other, "token").select("book", "title", "author", "slug", "ord").distinct()
-    confirmed = (F.coalesce("author", F.lit("")) != "") & F.contains(F.replace("slug", F.lit("-"), F.lit(" ")), F.lower("author"))
-    scored = pairs.withColumn("score", slug_score(F.col("title"), F.col("slug"), F.coalesce("author", F.lit("")))).withColumn("sure", F.coalesce(confirmed, F.lit(False)))
-    good = scored.filter((F.col("score") >= SLUG_ALONE) | (F.col("sure") & (F.col("score") >= SLUG_CONFIRMED)))
-    return good.groupBy("book").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "slug")).alias("b")).select("book", "b.slug", "b.score")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    asked = books.select("book", text("title").alias("title"), text("author").alias("author"))
+    once = asked.select("title", "author").distinct()
+    other = slugs.groupBy("slug").agg(F.min("ord").alias("ord")).withColumn("theirs", title_tokens(F.replace("slug", F.lit("-"), F.lit(" "))))
+    each = other.select("slug", "ord", F.explode("theirs").alias("token"))
+    frequency = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # The least share that may do: a confirmed author adds BONUS.
+    need = F.greatest(F.lit(1), F.ceil((SLUG_CONFIRMED - BONUS) * F.size("r") - 1e-6)).cast("int")
+    by_rarity = once.select("title", "author", F.explode(title_tokens("title")).alias("token")).join(frequency, "token", "left").groupBy("title", "author").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
+    rare = by_rarity.select("title", "author", F.explode(F.slice(F.col("r.token"), F.lit(1), F.size("r") - need + 1)).alias("token"))
+    pairs = rare.join(each, "token").select("title", "author", "slug", "ord").distinct()
+    confirmed = (F.col("author") != "") & F.contains(F.replace("slug", F.lit("-"), F.lit(" ")), F.lower("author"))
+    scored = pairs.withColumn("score", slug_score(F.col("title"), F.col("slug"), F.col("author")))
+    good = scored.filter((F.col("score") >= SLUG_ALONE) | (confirmed & (F.col("score") >= SLUG_CONFIRMED)))
+    best = good.groupBy("title", "author").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "slug")).alias("b"))
+    return asked.join(best, ["title", "author"]).select("book", "b.slug", "b.score")
 
 
 def metadata_match(candidates: DataFrame) -> DataFrame:

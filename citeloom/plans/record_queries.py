@@ -48,7 +48,7 @@ def record_shapes(spark, sf_dir):
 RECORD_SHAPES = f"""
 WITH s AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 29 = 0 THEN 'no_object' WHEN doc_id % 13 > 10 THEN 'version' WHEN doc_id % 11 > 8 THEN 'resolved' WHEN doc_id % 11 > 6 THEN 'ok' WHEN doc_id % 7 > 3 THEN 'h_index' WHEN doc_id % 5 = 4 THEN 'is_core' WHEN doc_id % 3 = 2 THEN 'is_in_doaj' ELSE 'ok' END AS shape FROM documents),
 f AS (SELECT *, CASE WHEN shape = 'ok' THEN CASE doc_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 14 WHEN 2 THEN 15 END END AS h, shape = 'ok' AND doc_id % 11 < 7 AND doc_id % 7 < 2 AND doc_id % 5 < 3 AS flagged FROM s)
-SELECT doc_id, shape, CASE WHEN shape <> 'ok' THEN NULL WHEN doc_id % 7 < 3 THEN h END AS h_index, flagged,
+SELECT doc_id, shape, CAST(h AS BIGINT) AS h_index, flagged,
   shape = 'ok' AND CASE WHEN flagged THEN doc_id % 17 <> 0 AND {NOW} - (doc_id % 100 + 900) <= {FLAGGED_TTL} ELSE coalesce(n_chars BETWEEN 0 AND {TTL}, false) END AS usable FROM f
 """
 
@@ -77,7 +77,7 @@ def recommendations(spark, sf_dir):
     wanted = own.filter("key % 20 < 2").select(F.col("label").alias("request"), "key", F.lit(1).alias("sign"))
     not_wanted = own.filter("key % 20 = 2").select(((F.col("label") + 9) % 10).alias("request"), "key", F.lit(-1).alias("sign"))
     done = recommend.recommendations(vectors, wanted.unionByName(not_wanted), BEST, F.col("key") % 2 == 0)
-    return done.select("request", F.col("key").alias("vec_id"), "place", F.round("score", 4).alias("score"))
+    return done.select("request", F.col("key").alias("vec_id"), "place", F.round(F.col("score") * 1e6).cast("long").alias("millionths"))
 
 
 _USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -88,7 +88,7 @@ c AS (SELECT request, i, avg(val) FILTER (sign > 0) AS p, avg(val) FILTER (sign
 d AS (SELECT request, list(p - coalesce(n, 0) ORDER BY i) AS d FROM c GROUP BY 1 HAVING count(p) = count(*)),
 s AS (SELECT request, vec_id, round(list_cosine_similarity(e, d), 6) AS score FROM v, d WHERE vec_id % 2 = 0 AND len(e) = len(d) AND NOT EXISTS (SELECT 1 FROM x WHERE x.request = d.request AND x.vec_id = v.vec_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, vec_id) AS place FROM s)
-SELECT request, vec_id, place, round(score, 4) AS score FROM r WHERE place <= {BEST}
+SELECT request, vec_id, place, CAST(round(score * 1e6) AS BIGINT) AS millionths FROM r WHERE place <= {BEST}
 """
 
 QUERIES = {

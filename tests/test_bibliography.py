@@ -41,3 +41,14 @@ def test_dashes_and_entries(spark):
     found = b.entry_lines(entries, whole)
     assert sorted((r.entry, r.article_id, r.matches) for r in found.collect()) == [(1, "s", 1), (1, "t", 2), (2, "s", 1)]
     assert sorted((r.entry, r.article_id) for r in b.first_article(found).collect()) == [(1, "s"), (2, "s")]
+
+
+def test_names_meet_years(spark):
+    from citeloom.operators.matching import name_anchor, names_with_years
+
+    names = spark.createDataFrame([("van der Waals",), ("Müller",), ("李",), ("",), (None,), ("-",), ("O'Neill-Smith",)], "s string")
+    assert [r.a for r in names.select(name_anchor(F.col("s")).alias("a")).collect()] == ["Waals", "ller", "李", None, None, None, "Smith" if "Smith" > "Neill" else "Neill"]
+    texts = spark.createDataFrame([(1, "Müller 1999, van der Waals (1999) and Lee 2001, 1999"), (1, "Lee 2002"), (2, "Leeds 2001; x_Lee 2001"), (5, "Lee 12001"), (3, None), (4, "Lee.2001")], "k int, t string")
+    works = spark.createDataFrame([("Müller", "1999"), ("van der Waals", "1999"), ("Lee", "2001"), ("Lee", "2002"), ("", "2001"), (None, "2001"), ("Lee", None)], "surname string, year string")
+    got = sorted((r.k, r.surname, r.year) for r in names_with_years(texts, ["k"], "t", works).collect())
+    assert got == [(1, "Lee", "2001"), (1, "Lee", "2002"), (1, "Müller", "1999"), (1, "van der Waals", "1999"), (4, "Lee", "2001")]

@@ -40,3 +40,21 @@ def test_titles_and_terms(spark):
     assert [r.v for r in df.select(search.title_agrees(F.col("a"), F.col("b")).alias("v")).collect()] == [True, False, False]
     venues = spark.createDataFrame([("Mind",), ("mind",), ("Nous",), ("",)], "v string")
     assert [(r.key, r.raw) for r in search.sampled_terms(venues, F.lower("v"), "v", 1).collect()] == [("mind", "Mind")]
+
+
+def test_reviews_equal_a_scan(spark):
+    import random
+
+    from citeloom.operators.matching import slug_score
+
+    rng = random.Random(3)
+    words = ["mind", "will", "free", "action", "reason", "nature", "virtue", "truth", "being", "time"]
+    titles = [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(80)] + ["", None]
+    books = spark.createDataFrame([(i, t, rng.choice(["smith", "Lee", "", None])) for i, t in enumerate(titles)] + [(500, titles[0], "smith")], "book int, title string, author string")
+    slugs = spark.createDataFrame([("-".join(rng.choices(words, k=rng.randint(1, 6)) + rng.choice([[], ["smith"], ["lee"]])), i) for i in range(120)], "slug string, ord int")
+    author = F.coalesce("author", F.lit(""))
+    sure = (author != "") & F.contains(F.replace("slug", F.lit("-"), F.lit(" ")), F.lower(author))
+    every = books.crossJoin(slugs).withColumn("score", slug_score(F.coalesce("title", F.lit("")), F.col("slug"), author)).filter((F.col("score") >= 0.75) | (sure & (F.col("score") >= 0.6)))
+    want = every.groupBy("book").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "slug")).alias("b")).select("book", "b.slug", "b.score")
+    got = search.best_review(books, slugs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
