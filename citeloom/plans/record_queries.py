@@ -57,7 +57,7 @@ def cache_statistics(spark, sf_dir):
     """Documents kept as one file for each language and source: files and bytes of each language, and whether ages are sound."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ").alias("value"))
     path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
-    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    docs.hint("rebalance", "lang", "source").write.partitionBy("lang", "source").text(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "length", "modificationTime")
     named = files.withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
     done = captures.cache_statistics(named, F.unix_micros(F.now()) / 1e6 + 1, ["lang"])
