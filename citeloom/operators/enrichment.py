@@ -58,7 +58,7 @@ def answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(c, F.lit(""))
     usable = F.when(F.col("source").isin(*BY_DOI_ONLY), text(F.col("abstract")) != "").otherwise(F.length(text(F.col("abstract"))) > LONGER_FOUND)
     given = answers.filter(F.col("source").isin(*SOURCES) & usable).select(
-        keys.doi_key("doi").alias("doi"), F.lower(F.trim(text(F.col("title")))).alias("theirs"), F.lower(text(F.col("surname"))).alias("surname"), F.struct(rank.alias("rank"), "ord", "source", "abstract").alias("answer")
+        keys.doi_key("doi").alias("doi"), F.lower(F.trim(text(F.col("title")))).alias("theirs"), F.lower(text(F.col("surname"))).alias("surname"), F.struct(rank.alias("rank"), "ord", "source", F.sha2("abstract", 256).alias("digest")).alias("answer")
     )
     first = F.min("answer").alias("answer")
     of_doi = given.filter((F.col("doi") != "") & F.col("answer.source").isin(*BY_DOI_ONLY)).groupBy("doi").agg(first)
@@ -75,7 +75,10 @@ def answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
     found = found.unionByName(each.filter("doi != ''").join(of_work, "doi").filter(agree).select(*question, "answer"))
     found = found.unionByName(no_doi.filter("surname != ''").join(of_author, ["head", "surname"]).select(*question, "answer"))
     found = found.unionByName(no_doi.filter("surname = ''").join(of_title, "head").select(*question, "answer"))
-    return found.groupBy(*question).agg(F.min("answer").alias("a")).select(*question, "a.abstract", "a.source")
+    best = found.groupBy(*question).agg(F.min("answer").alias("a")).select(*question, "a.source", "a.digest")
+    # Only digests were dealt so far; each text that won is fetched once.
+    texts = answers.filter("abstract IS NOT NULL").select(F.sha2("abstract", 256).alias("digest"), "abstract").join(best.select("digest").distinct(), "digest", "left_semi")
+    return best.join(texts.groupBy("digest").agg(F.first("abstract").alias("abstract")), "digest").select(*question, "abstract", "source")
 
 
 def with_marks(keywords: Column) -> Column:
@@ -92,6 +95,16 @@ def without_marks(keywords: Column) -> Column:
     return F.nullif(F.array_join(words, ", "), F.lit(""))
 
 
+def asked_columns() -> list[Column]:
+    """What an entry (entry_type, fields) is asked about, without its texts."""
+    value = lambda name: field(F.col("fields"), name)
+    held = F.length(F.trim(value("abstract"))) > LONGER
+    return [
+        F.lower("entry_type").alias("kind"), held.alias("held"), F.when(held, keys.abstract_hash(value("abstract"))).alias("own_sha256"), F.lower(F.trim(value("abstract_source"))).alias("own_source"), value("keywords").alias("keywords"),
+        keys.doi_key(value("doi")).alias("doi"), F.trim(value("title")).alias("title"), first_surname(value("author")).alias("surname"),
+    ]
+
+
 def plan(entries: DataFrame, answers: DataFrame, ledger: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """bib_file, entry_ord, key, outcome, abstract_source, abstract_sha256, edits for entries (bib_file, entry_ord, key, entry_type, fields).
 
@@ -101,12 +114,11 @@ def plan(entries: DataFrame, answers: DataFrame, ledger: DataFrame, reviews: Dat
     knows may take the summary of a review (slug, ord, summary_text) instead.
     Source and hash are null where nothing is attested now.
     """
-    value = lambda name: field(F.col("fields"), name)
-    held = F.length(F.trim(value("abstract"))) > LONGER
-    own = entries.select(
-        "bib_file", "entry_ord", "key", F.lower("entry_type").alias("entry_type"), held.alias("held"), F.when(held, keys.abstract_hash(value("abstract"))).alias("own_sha256"),
-        F.lower(F.trim(value("abstract_source"))).alias("own_source"), value("keywords").alias("keywords"), keys.doi_key(value("doi")).alias("doi"), F.trim(value("title")).alias("title"), first_surname(value("author")).alias("surname"),
-    )
+    return decided(entries.select("bib_file", "entry_ord", "key", *asked_columns()), answers, ledger, reviews)
+
+
+def decided(own: DataFrame, answers: DataFrame, ledger: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """The plan for entries that have asked_columns."""
     last = ledger.groupBy("bib_file", "key").agg(F.max_by(F.struct(F.lower(F.trim("abstract_source")).alias("source"), F.col("abstract_sha256").alias("sha256")), F.struct("abstract_source", "abstract_sha256")).alias("prior"))
     own = own.join(last, ["bib_file", "key"], "left")
     attested = F.coalesce(F.col("held") & (F.col("prior.sha256") == F.col("own_sha256")) & (F.col("own_source") != "") & (F.col("prior.source") == F.col("own_source")), F.lit(False))
@@ -115,8 +127,8 @@ def plan(entries: DataFrame, answers: DataFrame, ledger: DataFrame, reviews: Dat
     told = answered(own.filter("NOT attested AND (doi != '' OR title != '')"), answers).withColumn("sha256", keys.abstract_hash("abstract"))
     new = own.filter("NOT attested").join(told, question, "left")
     if reviews is not None:
-        eligible = (F.col("entry_type") == "book") & ~F.col("held") & F.col("source").isNull() & F.arrays_overlap(F.transform(F.split("keywords", ","), lambda w: F.trim(w)), F.array(F.lit("High"), F.lit("Medium"))) & (F.col("title") != "")
-        books = own.filter("NOT attested AND NOT held AND entry_type = 'book'").select("title", "surname").distinct()
+        eligible = (F.col("kind") == "book") & ~F.col("held") & F.col("source").isNull() & F.arrays_overlap(F.transform(F.split("keywords", ","), lambda w: F.trim(w)), F.array(F.lit("High"), F.lit("Medium"))) & (F.col("title") != "")
+        books = own.filter("NOT attested AND NOT held AND kind = 'book'").select("title", "surname").distinct()
         named = books.select(F.struct("title", "surname").alias("book"), "title", F.col("surname").alias("author"))
         best = best_review(named, reviews.select("slug", "ord")).join(reviews.groupBy("slug").agg(F.min_by("summary_text", "ord").alias("summary")), "slug").filter(F.length("summary") > LONGER_FOUND)
         new = new.join(best.select("book.title", "book.surname", "summary"), ["title", "surname"], "left")
@@ -173,27 +185,25 @@ def enrich_files(texts: DataFrame, answers: DataFrame, out: str, reviews: DataFr
     spark = texts.sparkSession
     before = current(spark, out)
     prior = before[1] if before else spark.createDataFrame([], LEDGER)
-    parsed = written(bibtex.parse(texts), "entries")
-    shapes = parsed.groupBy("bib_file").agg(F.count("error").alias("bad"), F.count("key").alias("entries"))
-    state = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty").when(F.coalesce("bad", F.lit(0)) > 0, "broken").when(F.coalesce("entries", F.lit(0)) == 0, "unread").otherwise("done")
-    files = written(texts.join(shapes, "bib_file", "left").select("bib_file", state.alias("state")), "files")
+    # Without the fields: their texts stand in raw.
+    parsed = written(bibtex.parse(texts).select("bib_file", "entry_ord", "raw", "entry_type", "key", "error", *asked_columns()), "entries")
+    shapes = parsed.groupBy("bib_file").agg(F.count("error").alias("bad"), F.count("key").alias("entries"), F.coalesce(F.bool_or(F.trim("raw") != ""), F.lit(False)).alias("some"))
+    state = F.when(~F.coalesce("some", F.lit(False)), "empty").when(F.col("bad") > 0, "broken").when(F.col("entries") == 0, "unread").otherwise("done")
+    files = written(texts.select("bib_file").distinct().join(shapes, "bib_file", "left").select("bib_file", state.alias("state")), "files")
     sound = parsed.join(files.filter("state = 'done'").select("bib_file"), "bib_file", "left_semi")
-    entries = sound.filter("key IS NOT NULL").select("bib_file", "entry_ord", "key", "entry_type", "fields")
-    planned = written(plan(entries, answers, prior, reviews), "plan")
-    own = parsed.select("bib_file", "entry_ord", "raw", "entry_type", "key", "fields")
-    touched = planned.filter(F.size("edits") > 0).select("bib_file", "entry_ord", "edits", F.lit(None).cast("string").alias("new_type"))
-    place = ["bib_file", "entry_ord"]
-    new = written(bibtex.spliced(own.join(touched, place)), "spliced")
-    whole = own.join(touched, place, "left_anti").unionByName(new.drop("refusal"))
-    refused = new.filter("refusal IS NOT NULL").select(*place, F.lit(True).alias("__no"))
-    done = planned.join(refused, place, "left")
-    no = F.col("__no").isNotNull()
-    done = done.select(*place, "key", F.when(no, "refused").otherwise(F.col("outcome")).alias("outcome"), *[F.when(~no, F.col(c)).alias(c) for c in ("abstract_source", "abstract_sha256")])
+    asked = sound.filter("key IS NOT NULL").select("bib_file", "entry_ord", "key", *[c for c in parsed.columns if c not in ("bib_file", "entry_ord", "key", "raw", "entry_type", "error")])
+    planned = decided(asked, answers, prior, reviews).drop("key")
+    chunks = parsed.select("bib_file", "entry_ord", "raw", "entry_type", "key").join(planned, ["bib_file", "entry_ord"], "left")
+    none = F.create_map().cast("map<string,string>")
+    touched = chunks.withColumn("edits", F.coalesce("edits", none)).withColumn("new_type", F.lit(None).cast("string"))
+    whole = written(bibtex.spliced(touched.filter(F.size("edits") > 0)).unionByName(touched.filter(F.size("edits") == 0).drop("edits", "new_type").withColumn("refusal", F.lit(None).cast("string"))), "spliced")
+    no = F.col("refusal").isNotNull()
+    done = whole.filter("outcome IS NOT NULL").select("bib_file", "entry_ord", "key", F.when(no, "refused").otherwise(F.col("outcome")).alias("outcome"), *[F.when(~no, F.col(c)).alias(c) for c in ("abstract_source", "abstract_sha256")])
     fresh = done.filter("abstract_sha256 IS NOT NULL").groupBy("bib_file", "key").agg(F.max_by(F.struct("abstract_source", "abstract_sha256"), "entry_ord").alias("a")).select("bib_file", "key", "a.*")
     stay = prior.join(done.select("bib_file", "key").distinct(), ["bib_file", "key"], "left_semi").join(fresh, ["bib_file", "key"], "left_anti")
     # Ledgers of files that could not be read are as they were: their entries are not known to be gone.
     unread = prior.join(files.filter("state IN ('broken', 'unread')").select("bib_file"), "bib_file", "left_semi")
     ledger = stay.unionByName(fresh).unionByName(unread)
     counts = written(counted(done, files), "counts")
-    versions.commit(spark, out, lambda path: counts.write.json(path), {"ledger": lambda path: ledger.write.json(path), "bib": lambda path: bibtex.write_texts(bibtex.to_text(whole), path)})
+    versions.commit(spark, out, lambda path: counts.write.json(path), {"ledger": lambda path: ledger.write.json(path), "bib": lambda path: bibtex.write_texts(bibtex.to_text(whole.withColumn("fields", F.create_map().cast("map<string,string>"))), path)})
     return counts
