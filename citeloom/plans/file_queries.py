@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from citeloom.plans.tables import table
+from citeloom.plans.tables import bib_safe, table
 from citeloom.session import shared_dir
 from citeloom.sources import bibtex
 
@@ -17,7 +17,7 @@ FILE = 500
 def _raw(text):
     """The text of an entry for a document: values with inner braces, in quotes, bare, and joined."""
     d = F.col("doc_id")
-    safe = F.translate(F.coalesce(text, F.lit("")), '{}@"', "()a'")
+    safe = bib_safe(text)
     opening = F.when(d % 4 == 0, "@Article(").when(d % 4 == 1, "@book{").otherwise("@misc {")
     abstract = F.when(d % 3 == 0, F.concat(F.lit('"A {B {"C"}} '), safe, F.lit(' |"'))).otherwise(F.concat(F.lit("{A {B {C}} "), safe, F.lit(" |}")))
     return F.concat(

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,9 +158,11 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     order = order.groupBy("bib_file").agg(F.min("file_ord").alias("file_ord"))
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     texts = spark.read.text(list(dict.fromkeys(paths)), wholetext=True).select(plain(path).alias("bib_file"), F.col("value").alias("content"))
-    return texts.join(order, "bib_file", "left").select("bib_file", F.coalesce("file_ord", F.lit(len(paths))).alias("file_ord"), "content")
+    return texts.join(F.broadcast(order), "bib_file", "left").select("bib_file", F.coalesce("file_ord", F.lit(len(paths))).alias("file_ord"), "content")
 
 
+#: Fixed value: characters of raw text after which Python hands its rows on.
+SLICE = 1 << 21
 PLACES = "array<struct<name:string,head:int,start:int,end:int,line:int>>"
 
 
@@ -188,16 +190,18 @@ def parse(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for name, order, content in zip(*(batch.column(c).to_pylist() for c in ("bib_file", "file_ord", "content")), strict=True):
+            for name, order, content in zip(*(batch.column(c) for c in ("bib_file", "file_ord", "content")), strict=True):
                 held, size = [], 0
-                for row in rows(name, order, content or ""):
+                for row in rows(name.as_py(), order.as_py(), content.as_py() or ""):  # one file's text at a time
                     held.append(row)
                     size += len(row[6])
-                    if size > 1 << 23 or len(held) == 5_000:
+                    if size > SLICE or len(held) == 5_000:
                         yield _batch(held, kinds, names)
                         held, size = [], 0
                 if held:
                     yield _batch(held, kinds, names)
+                del content, held
+            del batch  # before the next one is read
 
     return texts.select("bib_file", F.col("file_ord").cast("int").alias("file_ord"), "content").mapInArrow(run, schema)
 
@@ -321,14 +325,29 @@ def splice(raw: str, edits: dict[str, str | None], kind: str | None = None) -> t
 
 
 def spliced(entries: DataFrame) -> DataFrame:
-    """entries (raw, edits: map of field to value or null, new_type) with the new raw and refusal (null if none), without edits and new_type."""
+    """entries (raw, edits: map of field to value or null, new_type) with the new raw and refusal (null if none), without edits and new_type.
+
+    Rows whose edits and new_type are null stay as they are, unread.
+    """
     keep = [c for c in entries.columns if c not in ("raw", "edits", "new_type", "refusal")]
 
+    def part(batch, begin, done):
+        texts = [pa.array(x, pa.string()) for x in zip(*done, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).slice(begin, len(done)) for k in keep), *texts], names=[*keep, "raw", "refusal"])
+
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("raw", "edits", "new_type")), strict=True)
-            done = [splice(raw or "", dict(edits or []), kind) for raw, edits, kind in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names=[*keep, "raw", "refusal"])
+            done, size, begin = [], 0, 0
+            for raw, edits, kind in zip(*(batch.column(c) for c in ("raw", "edits", "new_type")), strict=True):  # one entry at a time
+                raw, edits, kind = raw.as_py() or "", edits.as_py(), kind.as_py()
+                done.append((raw, None) if edits is None and kind is None else splice(raw, dict(edits or []), kind))
+                size += len(done[-1][0])
+                if size > SLICE:
+                    yield part(batch, begin, done)
+                    done, size, begin = [], 0, begin + len(done)
+            if done:
+                yield part(batch, begin, done)
+            del batch, done  # before the next one is read
 
     return entries.select(*keep, "raw", "edits", "new_type").mapInArrow(run, entries.select(*keep).schema.add("raw", "string").add("refusal", "string"))
 
@@ -348,10 +367,15 @@ def write_texts(texts: DataFrame, path: str) -> None:
     """Files of texts (bib_file, content), each in a folder of its name under path, byte for byte; empty ones have no file.
 
     Spark ends each text with a separator: here it is the text's own last character.
+    Most end with a line, so these are written first, in the pass that counts the others.
     """
     rows = texts.filter("content != ''").select("bib_file", F.right("content", F.lit(1)).alias("last"), F.substr("content", F.lit(1), F.length("content") - 1).alias("value"))
-    for last in [r["last"] for r in rows.select("last").distinct().collect()]:  # as many as there are characters, at most
-        rows.filter(F.col("last") == last).select("value", "bib_file").write.mode("append").option("lineSep", last).partitionBy("bib_file").text(path)
+    write = lambda rows, last: rows.filter(F.col("last") == last).select("value", "bib_file").write.mode("append").option("lineSep", last).partitionBy("bib_file").text(path)
+    seen = Observation()
+    write(rows.observe(seen, F.count_if(F.col("last") != "\n").alias("others")), "\n")
+    if seen.get["others"]:
+        for last in [r["last"] for r in rows.filter(F.col("last") != "\n").select("last").distinct().collect()]:  # as many as there are characters, at most
+            write(rows, last)
 
 
 # ---------------------------------------------------------------- checks of raw text

@@ -137,3 +137,46 @@ def test_edits_of_many_entries_and_violations(spark):
     found = {(r.bib_file, r.step, r.key, r.line, r.detail) for r in bibtex.violations(texts).collect()}
     assert ("x", 2, "a", 2, "first on line 1") in found and ("x", 3, "a", 1, "title x2") in found and ("x", 4, "a", None, "journal") in found
     assert ("y", 1, "open", 3, "unclosed value in title") in found and not any(f == "y" and s > 3 for f, s, *_ in found)
+
+
+def counting(df, seen):
+    """df, whose rows are counted as often as they are made."""
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_texts_are_made_once_to_be_written(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([("a", "one\ntwo\n"), ("b", "\n"), ("c", "")], "bib_file string, content string")
+    bibtex.write_texts(counting(texts, seen), f"{tmp_path}/lines")
+    assert seen.value == 3
+    back = lambda path: {r.bib_file: r.value for r in spark.read.text(path, wholetext=True).collect()}
+    assert back(f"{tmp_path}/lines") == {"a": "one\ntwo\n", "b": "\n"}
+    other = spark.createDataFrame([("a", "one\n"), ("b", "two}"), ("d", "é")], "bib_file string, content string")
+    bibtex.write_texts(other, f"{tmp_path}/mixed")
+    assert back(f"{tmp_path}/mixed") == {"a": "one\n", "b": "two}", "d": "é"}
+    bibtex.write_texts(texts.limit(0), f"{tmp_path}/none")
+    assert bibtex.parse(bibtex.read_texts(spark, [f"{tmp_path}/lines"])).count() == 2
+
+
+def test_texts_are_not_dealt_to_be_read(spark, tmp_path):
+    (tmp_path / "a.bib").write_text("@misc{a, x = {1}}\n")
+    plan = bibtex.read_texts(spark, [f"{tmp_path}/a.bib"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rows_leave_python_in_slices(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"f{i}", 0, "".join(f"@misc{{k{j}, n = {{{i}}}}}\n" for j in range(i))) for i in range(6)], "bib_file string, file_ord int, content string").coalesce(1)
+    whole = sorted(map(str, bibtex.parse(texts).collect()))
+    edits = F.when(F.col("entry_ord") % 2 == 0, F.create_map(F.lit("n"), F.concat("bib_file", F.lit("-"), "entry_ord")))
+    asked = bibtex.parse(texts).select("bib_file", "entry_ord", "raw", edits.alias("edits"), F.lit(None).cast("string").alias("new_type"))
+    done = sorted(map(str, bibtex.spliced(asked).collect()))
+    monkeypatch.setattr(bibtex, "SLICE", 20)
+    assert sorted(map(str, bibtex.parse(texts).collect())) == whole and sorted(map(str, bibtex.spliced(asked).collect())) == done
+    left = spark.createDataFrame([("no entry", None, None)], "raw string, edits map<string,string>, new_type string")
+    assert [(r.raw, r.refusal) for r in bibtex.spliced(left).collect()] == [("no entry", None)]
