@@ -60,6 +60,7 @@ def answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
     given = answers.filter(F.col("source").isin(*SOURCES) & usable).select(
         keys.doi_key("doi").alias("doi"), F.lower(F.trim(text(F.col("title")))).alias("theirs"), F.lower(text(F.col("surname"))).alias("surname"), F.struct(rank.alias("rank"), "ord", "source", F.sha2("abstract", 256).alias("digest")).alias("answer")
     )
+    given = written(given, "given")  # texts are digested once, not for each way of asking
     first = F.min("answer").alias("answer")
     of_doi = given.filter((F.col("doi") != "") & F.col("answer.source").isin(*BY_DOI_ONLY)).groupBy("doi").agg(first)
     core = given.filter(~F.col("answer.source").isin(*BY_DOI_ONLY))
@@ -75,7 +76,7 @@ def answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
     found = found.unionByName(each.filter("doi != ''").join(of_work, "doi").filter(agree).select(*question, "answer"))
     found = found.unionByName(no_doi.filter("surname != ''").join(of_author, ["head", "surname"]).select(*question, "answer"))
     found = found.unionByName(no_doi.filter("surname = ''").join(of_title, "head").select(*question, "answer"))
-    best = found.groupBy(*question).agg(F.min("answer").alias("a")).select(*question, "a.source", "a.digest")
+    best = written(found.groupBy(*question).agg(F.min("answer").alias("a")).select(*question, "a.source", "a.digest"), "best")
     # Only digests were dealt so far; each text that won is fetched once.
     texts = answers.filter("abstract IS NOT NULL").select(F.sha2("abstract", 256).alias("digest"), "abstract").join(best.select("digest").distinct(), "digest", "left_semi")
     return best.join(texts.groupBy("digest").agg(F.first("abstract").alias("abstract")), "digest").select(*question, "abstract", "source")
@@ -170,8 +171,22 @@ def current(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame] | None
     folder = versions.current(spark, out)
     if folder is None:
         return None
+    return _texts(spark, folder), _ledger(spark, folder)
+
+
+def current_ledger(spark: SparkSession, out: str) -> DataFrame | None:
+    """The ledger alone: the texts' folders, one a file, are not listed."""
+    folder = versions.current(spark, out)
+    return None if folder is None else _ledger(spark, folder)
+
+
+def _ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LEDGER).json(f"{folder}/ledger")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
     texts = spark.read.schema("value string, bib_file string").text(f"{folder}/bib", wholetext=True)
-    return texts.select("bib_file", F.lit(0).alias("file_ord"), F.col("value").alias("content")), spark.read.schema(LEDGER).json(f"{folder}/ledger")
+    return texts.select("bib_file", F.lit(0).alias("file_ord"), F.col("value").alias("content"))
 
 
 def enrich_files(texts: DataFrame, answers: DataFrame, out: str, reviews: DataFrame | None = None) -> DataFrame:
@@ -183,20 +198,20 @@ def enrich_files(texts: DataFrame, answers: DataFrame, out: str, reviews: DataFr
     that are no longer there.
     """
     spark = texts.sparkSession
-    before = current(spark, out)
-    prior = before[1] if before else spark.createDataFrame([], LEDGER)
+    before = current_ledger(spark, out)
+    prior = spark.createDataFrame([], LEDGER) if before is None else before
     # Without the fields: their texts stand in raw.
-    parsed = written(bibtex.parse(texts).select("bib_file", "entry_ord", "raw", "entry_type", "key", "error", *asked_columns()), "entries")
-    shapes = parsed.groupBy("bib_file").agg(F.count("error").alias("bad"), F.count("key").alias("entries"), F.coalesce(F.bool_or(F.trim("raw") != ""), F.lit(False)).alias("some"))
+    parsed = written(bibtex.parse(texts).select("bib_file", "entry_ord", "raw", "entry_type", "key", "error", (F.trim("raw") != "").alias("some"), *asked_columns()), "entries")
+    shapes = parsed.groupBy("bib_file").agg(F.count("error").alias("bad"), F.count("key").alias("entries"), F.coalesce(F.bool_or("some"), F.lit(False)).alias("some"))
     state = F.when(~F.coalesce("some", F.lit(False)), "empty").when(F.col("bad") > 0, "broken").when(F.col("entries") == 0, "unread").otherwise("done")
     files = written(texts.select("bib_file").distinct().join(shapes, "bib_file", "left").select("bib_file", state.alias("state")), "files")
     sound = parsed.join(files.filter("state = 'done'").select("bib_file"), "bib_file", "left_semi")
-    asked = sound.filter("key IS NOT NULL").select("bib_file", "entry_ord", "key", *[c for c in parsed.columns if c not in ("bib_file", "entry_ord", "key", "raw", "entry_type", "error")])
+    asked = sound.filter("key IS NOT NULL").select("bib_file", "entry_ord", "key", *[c for c in parsed.columns if c not in ("bib_file", "entry_ord", "key", "raw", "entry_type", "error", "some")])
     planned = decided(asked, answers, prior, reviews).drop("key")
     chunks = parsed.select("bib_file", "entry_ord", "raw", "entry_type", "key").join(planned, ["bib_file", "entry_ord"], "left")
-    none = F.create_map().cast("map<string,string>")
-    touched = chunks.withColumn("edits", F.coalesce("edits", none)).withColumn("new_type", F.lit(None).cast("string"))
-    whole = written(bibtex.spliced(touched.filter(F.size("edits") > 0)).unionByName(touched.filter(F.size("edits") == 0).drop("edits", "new_type").withColumn("refusal", F.lit(None).cast("string"))), "spliced")
+    # One pass over all chunks: those without edits go through it as they are.
+    touched = chunks.withColumn("edits", F.when(F.size("edits") > 0, F.col("edits"))).withColumn("new_type", F.lit(None).cast("string"))
+    whole = written(bibtex.spliced(touched), "spliced")
     no = F.col("refusal").isNotNull()
     done = whole.filter("outcome IS NOT NULL").select("bib_file", "entry_ord", "key", F.when(no, "refused").otherwise(F.col("outcome")).alias("outcome"), *[F.when(~no, F.col(c)).alias(c) for c in ("abstract_source", "abstract_sha256")])
     fresh = done.filter("abstract_sha256 IS NOT NULL").groupBy("bib_file", "key").agg(F.max_by(F.struct("abstract_source", "abstract_sha256"), "entry_ord").alias("a")).select("bib_file", "key", "a.*")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from citeloom.operators import enrichment
-from citeloom.plans.tables import table
+from citeloom.plans.tables import bib_safe, table
 from citeloom.session import shared_dir
 
 #: Documents in a file.
@@ -16,7 +16,7 @@ FILE = 200
 
 def _abstract(text):
     """A document's text as an abstract whose braces are balanced."""
-    return F.concat(F.lit("A "), F.translate(F.coalesce(text, F.lit("")), '{}@"', "()a'"), F.lit(" |"))
+    return F.concat(F.lit("A "), bib_safe(text), F.lit(" |"))
 
 
 def _texts(docs):
@@ -54,7 +54,7 @@ def enrichment_runs(spark, sf_dir):
     out = f"{shared_dir(spark)}/enriched-{uuid.uuid4().hex}"
     enrichment.enrich_files(_texts(docs), _answers(docs, ["s2", "openalex"]), out)
     enrichment.enrich_files(enrichment.current(spark, out)[0], _answers(docs, ["s2", "openalex", "core"]), out)
-    return enrichment.current(spark, out)[1].select(F.expr("cast(substr(key, 2) AS bigint)").alias("doc_id"), "bib_file", "abstract_source", "abstract_sha256")
+    return enrichment.current_ledger(spark, out).select(F.expr("cast(substr(key, 2) AS bigint)").alias("doc_id"), "bib_file", "abstract_source", "abstract_sha256")
 
 
 _TEXT = """'A ' || translate(coalesce(text, ''), '{}@"', '()a''') || ' |'"""

@@ -102,3 +102,25 @@ def test_files_in_runs(spark, tmp_path, monkeypatch):
     short = spark.createDataFrame([("01", 0, "@misc{b, doi={10.1/b}, abstract={an abstract of b}, abstract_source={openalex}}")], "bib_file string, file_ord int, content string")
     assert e.enrich_files(short, other, out).first().attested == 1
     assert [(r.key, r.abstract_source) for r in e.current(spark, out)[1].collect()] == [("b", "openalex")]
+
+
+def test_answers_are_read_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("s2", "10.1/a", "", "", "of s2", 1), ("openalex", "10.1/b", "", "", "of openalex", 2), ("core", "", "A title", "lee", LONG, 3), ("core", "10.1/c", "C title", "kim", LONG + " c", 4)]
+    answers = spark.createDataFrame(rows, ANSWERS).mapInArrow(run, ANSWERS)
+    asked = spark.createDataFrame([("10.1/a", "", ""), ("10.1/b", "", ""), ("", "A title", "lee"), ("", "a title", ""), ("10.1/c", "C title", "")], "doi string, title string, surname string")
+    assert sorted(r.abstract for r in e.answered(asked, answers).collect()) == sorted(["of s2", "of openalex", LONG, LONG, LONG + " c"])
+    assert seen.value <= 2 * len(rows)
+
+
+def test_characters_of_the_files(spark):
+    from citeloom.plans.tables import bib_safe
+
+    df = spark.createDataFrame([(None,), ("",), ("plain é",), ('a{b}c@d"e{{}}',), ("}",), ('"',), ("@",)], "t string")
+    assert all(r.a == r.b for r in df.select(bib_safe(F.col("t")).alias("a"), F.translate(F.coalesce("t", F.lit("")), '{}@"', "()a'").alias("b")).collect())
